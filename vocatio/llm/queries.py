@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocatio.llm import packing, scratch, wavelet
+from vocatio.llm import mixing, oracles, packing, quality, scratch, simhash, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queued = mixing.queued(_documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id"])
+    return queued.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(_documents(spark, sf_dir))
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", fingerprint, "component_id")
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "wavelet")
     wavelet.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -30,8 +45,14 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op9_wavelet_tokens": op9_wavelet_tokens}
+    return {
+        "op1_packing": op1_packing,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_mixing": op7_mixing,
+        "op8_simhash": op8_simhash,
+        "op9_wavelet_tokens": op9_wavelet_tokens,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": oracles.QUALITY, "op7_mixing": oracles.MIXING}
