@@ -91,8 +91,8 @@ def queued(
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """The mixed corpus in the order of virtual finish times, with the columns of ``docs``: a
-    document appears once for every service; one that is served in part has its first words, up
-    to the last one taken."""
+    document appears once for every service; one that is served in part has its first words,
+    joined by blanks."""
     q = queued(docs, weights, max_epochs)
     served = q.select(
         "row",
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     left = F.greatest(F.lit(0), F.least(F.col("taken") - F.col("epoch") * F.col("size"), F.col("size")))
     served = served.withColumn("left", left.cast("int")).filter("left > 0")
     text = F.col("row")["text"]
-    part = F.regexp_extract(text, F.concat(F.lit(r"^(?:[ \t-\r]*[^ \t-\r]+){"), F.col("left").cast("string"), F.lit("}")), 0)
+    part = F.array_join(F.slice(words(text), 1, F.col("left")), " ")
     whole = F.col("left") == F.col("size")
     out = []
     for c in docs.columns:

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from vocatio.llm.license_scan import NOTICES
+
 QUALITY = r"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -76,3 +78,38 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(floor(target)::BIGINT - 2 * source_size - before, size)))::BIGINT AS taken
 FROM p
 """
+
+TOP_K = r"""
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS z
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_inner_product(q.z, c.z)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def license_scan() -> str:
+    values = ", ".join("({!r}, {!r})".format(*n) for n in NOTICES)
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {values}) t(name, text)),
+words AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id,
+         regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g') AS t FROM documents
+  UNION ALL
+  SELECT 't', name, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g') FROM t),
+w AS (SELECT side, id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM words),
+g AS (
+  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(2, len(w) - 3))) u(i) WHERE len(w) > 0),
+n AS (SELECT id AS name, count(*) AS shingles FROM g WHERE side = 't' GROUP BY id),
+m AS (
+  SELECT d.id::BIGINT AS doc_id, s.id AS name, count(*) AS found
+  FROM g d JOIN g s ON d.g = s.g AND d.side = 'd' AND s.side = 't' GROUP BY ALL)
+SELECT doc_id, name, shingles, found, found / shingles AS containment
+FROM m JOIN n USING (name) WHERE found >= 0.8 * shingles
+"""

@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocatio.llm import langid, mixing, oracles, packing, pii, quality, scratch, simhash, wavelet
+from vocatio.llm import (
+    hmm,
+    langid,
+    license_scan,
+    mixing,
+    oracles,
+    packing,
+    pii,
+    quality,
+    scratch,
+    simhash,
+    topk,
+    wavelet,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +40,16 @@ def _residue(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = (_residue(10) == 0).alias("held_out")
+    return hmm.scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_documents(spark, sf_dir))
 
@@ -72,17 +95,29 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_hmm": op2_hmm,
+        "op3_license_scan": op3_license_scan,
         "op4_pii": op4_pii,
         "op5_language": op5_language,
         "op6_quality_rules": op6_quality_rules,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
         "op9_wavelet_tokens": op9_wavelet_tokens,
+        "op10_top_k": op10_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": oracles.QUALITY, "op7_mixing": oracles.MIXING}
+    return {
+        "op3_license_scan": oracles.license_scan(),
+        "op6_quality_rules": oracles.QUALITY,
+        "op7_mixing": oracles.MIXING,
+        "op10_top_k": oracles.TOP_K,
+    }
