@@ -1,0 +1,212 @@
+"""SPEC: operators that are specified for later phases: classification, requirements, links to
+majors, freshness, review, and the questions they answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from vocatio.functions.text import collapsed
+
+YEARS = r"(?i)(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*(?:years|yrs)|(\d{1,2})\s*(\+?)\s*(?:or more\s+)?(?:years|yrs)"
+DEGREE_WORDS = [
+    ("doctorate", r"(?i)\b(ph\.?d|doctorate|doctoral)\b"),
+    ("masters", r"(?i)\b(master'?s?|m\.?s\.?c?|mba)\b"),
+    ("bachelors", r"(?i)\b(bachelor'?s?|b\.?s\.?c?|b\.?a\.?)\b"),
+    ("associate", r"(?i)\bassociate'?s? degree\b"),
+    ("certificate", r"(?i)\bcertificate\b"),
+    ("high_school", r"(?i)\b(high school|ged)\b"),
+]
+
+
+def title_key(title: Column) -> Column:
+    return collapsed(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", " "))
+
+
+def trigrams(key: Column) -> Column:
+    padded = F.concat(F.lit("  "), key, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def exact_titles(postings: DataFrame, names: DataFrame) -> DataFrame:
+    """Tier 1: (posting_id, code, confidence 0.90, method) where normalized titles agree."""
+    p = postings.select("posting_id", title_key(F.col("title")).alias("key"))
+    n = names.select("code", title_key(F.col("name")).alias("key")).distinct()
+    return p.join(n, "key").select("posting_id", "code", F.lit(0.90).alias("confidence"), F.lit("exact").alias("method"))
+
+
+def fuzzy_titles(postings: DataFrame, names: DataFrame, least: float = 0.5) -> DataFrame:
+    """Tier 2: best code by trigram Jaccard of ``least`` or more, confidence from 0.70 to 0.85."""
+    titles = postings.select(title_key(F.col("title")).alias("key")).distinct()
+    p = titles.select("key", trigrams(F.col("key")).alias("g"))
+    n = names.select("code", title_key(F.col("name")).alias("name_key")).distinct().select("code", "name_key", trigrams(F.col("name_key")).alias("ng"))
+    common = p.select("key", F.size("g").alias("a"), F.explode("g").alias("gram")).join(
+        n.select("code", "name_key", F.size("ng").alias("b"), F.explode("ng").alias("gram")), "gram"
+    )
+    both = common.groupBy("key", "a", "code", "name_key", "b").agg(F.count("*").alias("n"))
+    both = both.withColumn("similarity", F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).filter(F.col("similarity") >= least)
+    best = both.groupBy("key").agg(F.min_by(F.struct("code", "similarity"), F.struct(-F.col("similarity"), "code")).alias("b"))
+    scaled = F.round(0.70 + 0.15 * (F.col("b.similarity") - least) / (1 - least), 6)
+    hit = best.select("key", "b.code", scaled.alias("confidence"), F.lit("fuzzy").alias("method"))
+    return postings.select("posting_id", title_key(F.col("title")).alias("key")).join(hit, "key").drop("key")
+
+
+def cosine_titles(vectors: DataFrame, references: DataFrame, block: str = "label") -> DataFrame:
+    """Tier 3 (not in the default cascade): best reference by cosine of given vectors within a block."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = vectors.join(references, block)
+    cos = dot(F.col("vector"), F.col("reference")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("reference"), F.col("reference")))
+    pairs = pairs.withColumn("cosine", cos).filter("cosine >= 0.5")
+    best = pairs.groupBy("posting_id").agg(F.min_by(F.struct("code", "cosine"), F.struct(-F.col("cosine"), "code")).alias("b"))
+    return best.select("posting_id", "b.code", F.least(0.5 + 0.2 * (F.col("b.cosine") - 0.5) / 0.5, F.lit(0.7)).alias("confidence"), F.lit("vector").alias("method"))
+
+
+def cascade(*tiers: DataFrame) -> DataFrame:
+    """All classifications, one of each posting primary: the most confident, then by code."""
+    rows = tiers[0]
+    for t in tiers[1:]:
+        rows = rows.unionByName(t)
+    best = Window.partitionBy("posting_id").orderBy(F.desc("confidence"), "code")
+    return rows.withColumn("is_primary", F.row_number().over(best) == 1)
+
+
+def tier_quality(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """method, n, correct, precision, recall against ``truth`` (posting_id, code)."""
+    total = truth.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
+    joined = predicted.join(truth.withColumnRenamed("code", "truth"), "posting_id")
+    by = joined.groupBy("method").agg(F.count("*").alias("n"), F.count_if(F.col("code") == F.col("truth")).alias("correct"))
+    by = by.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    return by.select("method", "n", "correct", F.round(F.col("correct") / F.col("n"), 6).alias("precision"), F.round(F.col("correct") / F.col("total"), 6).alias("recall"))
+
+
+def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Pairs of wrong and right codes by how often they occur."""
+    joined = predicted.join(truth.withColumnRenamed("code", "truth"), "posting_id").filter("code <> truth")
+    return joined.groupBy("code", "truth").agg(F.count("*").alias("n"))
+
+
+def years(text: Column) -> Column:
+    """Struct min_years, max_years of ``3-5 years``, ``5+ years`` or ``2 years``; null if none."""
+    g = lambda k: F.expr("try_cast('' AS int)") if k is None else F.nullif(F.regexp_extract(text, YEARS, k), F.lit("")).cast("int")
+    low, high, single = g(1), g(2), g(3)
+    plus = F.regexp_extract(text, YEARS, 4) == "+"
+    value = F.struct(F.coalesce(low, single).alias("min_years"), F.coalesce(high, F.when(~plus, single)).alias("max_years"))
+    return F.when(text.rlike(YEARS), value)
+
+
+def degree_level(text: Column) -> Column:
+    """Highest of the degree words, or ``none`` if it says that none is needed; null if it says nothing."""
+    out = F.when(text.rlike(r"(?i)no degree (is )?required"), "none")
+    for name, pattern in DEGREE_WORDS:
+        out = out.when(text.rlike(pattern), name)
+    return out
+
+
+def strength(sentence: Column) -> Column:
+    return F.when(sentence.rlike(r"(?i)\b(preferred|nice to have|a plus|bonus|desired)\b"), "preferred").when(
+        sentence.rlike(r"(?i)\b(required|must|minimum|need)\b"), "required"
+    ).otherwise("unknown")
+
+
+def requirements(postings: DataFrame) -> DataFrame:
+    """Sentences of ``postings`` (posting_id, text) that state years, a degree or a clearance, with
+    their offsets in code points (start counts from 1)."""
+    pieces = F.filter(F.split("text", r"(?<=[.!?\n])"), lambda s: s != "")
+    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(s)))
+    rows = postings.select("posting_id", "text", F.posexplode(pieces).alias("k", "sentence"), ends.alias("ends"))
+    start = F.coalesce(F.get(F.col("ends"), F.col("k") - 1), F.lit(0)) + 1
+    s = F.col("sentence")
+    rows = rows.select(
+        "posting_id", "text", start.alias("start"), F.substring(s, 1, 300).alias("excerpt"), years(s).alias("years"),
+        degree_level(s).alias("degree"), s.rlike(r"(?i)\b(clearance|ts/sci)\b").alias("clearance"), strength(s).alias("strength"),
+    )
+    return rows.filter("years IS NOT NULL OR degree IS NOT NULL OR clearance")
+
+
+def evidenced(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose excerpt stands at its offset, and the others."""
+    there = F.substring(F.col("text"), F.col("start"), F.length("excerpt")) == F.col("excerpt")
+    good = F.coalesce(there & (F.length("excerpt") <= 300), F.lit(False))
+    return found.filter(good), found.filter(~good)
+
+
+def explicit_links(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Postings (posting_id, alias) to majors by alias, the most specific level."""
+    met = texts.withColumn("alias", F.lower("alias")).join(aliases.withColumn("alias", F.lower("alias")), "alias")
+    best = met.groupBy("posting_id", "alias").agg(F.max_by(F.struct("cip_code", "level"), F.struct("level", "cip_code")).alias("b"))
+    return best.select("posting_id", "b.cip_code", F.lit("explicit").alias("link_type")).distinct()
+
+
+def inferred_links(classified: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Postings to majors through occupations: confidence falls with the occupation's fan-out."""
+    fan = pairs.groupBy("code").agg(F.count_distinct("cip_code").alias("fan_out"))
+    met = classified.join(pairs, "code").join(fan, "code")
+    value = F.round(F.least(F.lit(0.60), F.col("confidence") / F.log2(2.0 + F.col("fan_out"))), 6)
+    return met.groupBy("posting_id", "cip_code").agg(F.max(value).alias("confidence")).withColumn("link_type", F.lit("inferred"))
+
+
+def refreshed(heads: DataFrame, listing: DataFrame, crawled: DataFrame, now: Column, stale_days: int = 45) -> DataFrame:
+    """Heads (source_id, source_posting_id, status, last_seen_at, misses) after a listing: seen ones
+    are active; ones absent from two good crawls are closed; a failed crawl (``crawled``: source_id,
+    ok) changes nothing; active ones unseen for long are stale."""
+    seen = listing.select("source_id", "source_posting_id", F.lit(True).alias("seen")).distinct()
+    rows = heads.join(seen, ["source_id", "source_posting_id"], "left").join(crawled, "source_id", "left")
+    ok, here = F.coalesce("ok", F.lit(False)), F.coalesce("seen", F.lit(False))
+    misses = F.when(~ok, F.col("misses")).when(here, 0).otherwise(F.col("misses") + 1)
+    rows = rows.withColumn("misses", misses).withColumn("last_seen_at", F.when(ok & here, now).otherwise(F.col("last_seen_at")))
+    old = F.datediff(now, F.col("last_seen_at")) > stale_days
+    status = F.when(ok & here, "active").when(ok & (F.col("misses") >= 2), "closed").when((F.col("status") == "active") & old, "stale").otherwise(F.col("status"))
+    return rows.withColumn("status", status).select(*heads.columns)
+
+
+def ledger(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per source: postings, and how many became active, stale or closed."""
+    keys = ["source_id", "source_posting_id"]
+    met = after.join(before.select(*keys, F.col("status").alias("was")), keys, "left")
+    turned = lambda s: F.count_if((F.col("status") == s) & ~F.col("was").eqNullSafe(F.lit(s))).alias(f"became_{s}")
+    return met.groupBy("source_id").agg(F.count("*").alias("n"), *[turned(s) for s in ("active", "stale", "closed")])
+
+
+def review_queue(classified: DataFrame, failed: DataFrame, ambiguous: DataFrame, views: DataFrame, below: float = 0.75, top: int = 20) -> DataFrame:
+    """(subject, reason): unsure classifications, failures, ambiguous names, most viewed postings."""
+    unsure = classified.filter(F.col("is_primary") & (F.col("confidence") < below)).select(F.col("posting_id").cast("string").alias("subject"), F.lit("low_confidence").alias("reason"))
+    lost = failed.select(F.col("url").alias("subject"), F.lit("failed").alias("reason"))
+    names = ambiguous.select(F.col("normalized_name").alias("subject"), F.lit("ambiguous").alias("reason"))
+    seen = views.orderBy(F.desc("n_views"), "posting_id").limit(top).select(F.col("posting_id").cast("string").alias("subject"), F.lit("top_viewed").alias("reason"))
+    return unsure.unionByName(lost).unionByName(names).unionByName(seen).distinct()
+
+
+def corrected(classified: DataFrame, corrections: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Classifications with the reviewers' codes (posting_id, code, reviewer) in place, and the log
+    rows to append."""
+    c = corrections.select("posting_id", F.col("code").alias("new_code"), "reviewer")
+    rows = classified.join(c, "posting_id", "left")
+    log = rows.filter("new_code IS NOT NULL AND is_primary").select("posting_id", F.col("code").alias("old_code"), "new_code", "reviewer", now.alias("at"))
+    kept = rows.withColumn("code", F.coalesce("new_code", "code")).withColumn("method", F.when(F.col("new_code").isNotNull(), "review").otherwise(F.col("method")))
+    return kept.select(*classified.columns), log
+
+
+def hiring_companies(links: DataFrame, postings: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """Companies per major by active postings of the last ``days``."""
+    recent = postings.filter((F.col("status") == "active") & (F.datediff(now, F.col("posted_at")) <= days))
+    return links.join(recent, "posting_id").groupBy("cip_code", "company_id").agg(F.count_distinct("posting_id").alias("n_postings"))
+
+
+def top_credentials(found: DataFrame, n: int = 25) -> DataFrame:
+    """The credentials asked for most, each with one excerpt."""
+    rows = found.groupBy("credential").agg(F.count("*").alias("n"), F.min_by("excerpt", F.struct("posting_id", "start")).alias("example"))
+    return rows.orderBy(F.desc("n"), "credential").limit(n)
+
+
+def years_by_degree(found: DataFrame) -> DataFrame:
+    return found.groupBy("degree", "min_years").agg(F.count("*").alias("n"))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    counts = [F.count_if(F.col("link_type") == t).alias(t) for t in ("explicit", "inferred")]
+    return links.groupBy("cip_code").agg(*counts)
+
+
+def naming_postings(links: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Postings that name a major, with the sentence (posting_id, alias, sentence)."""
+    return links.filter("link_type = 'explicit'").join(sentences, "posting_id").filter(F.contains(F.lower("sentence"), F.lower("alias")))
