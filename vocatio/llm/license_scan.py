@@ -78,7 +78,11 @@ def strings(words: Column) -> Column:
 
 def _bands(of: Column) -> list[Column]:
     """Per band, the MinHash of an array of shingle hashes, marked by its band."""
-    return [F.array_min(F.transform(of, lambda x, b=b: F.xxhash64(x, F.lit(b)))) for b in range(BANDS)]
+
+    def smallest(band: int) -> Column:
+        return F.array_min(F.transform(of, lambda x: F.xxhash64(x, F.lit(band))))
+
+    return [smallest(b) for b in range(BANDS)]
 
 
 def text_keys(h: Column) -> Column:
