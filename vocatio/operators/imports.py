@@ -10,7 +10,7 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,18 @@ def members(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return read, rows.filter("reason IS NOT NULL").select("export_id", "member_name", "reason")
 
 
+def _header_row(heads: Column, wanted: list[str]) -> Column:
+    """Number (from 1) of the first row with one of the names, 0 if there is none."""
+    names = F.array(*map(F.lit, wanted))
+    return F.array_position(F.transform(heads, lambda r: F.arrays_overlap(r, names)), True).cast("int")
+
+
+def _leftmost(head: Column, names: list[str]) -> Column:
+    """Number (from 1) of the first column with one of the names."""
+    places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(head, n))
+    return F.array_min(F.filter(places, lambda p: p > 0)).cast("int")
+
+
 def records(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the members as (export_id, kind, row_no, values map), and members without the columns
     they need.  The header is the first of ten rows that names an identifying column; of several
@@ -84,17 +96,17 @@ def records(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = F.transform(F.slice("rows", 1, HEADER_ROWS), lambda r: F.transform(r, lambda c: header_name(c)))
     parsed = parsed.withColumn("heads", heads)
     at = F.when(F.lit(False), F.lit(0))
+    for kind, (_, columns, identifies) in SPECS.items():
+        at = at.when(F.col("kind") == kind, _header_row(F.col("heads"), [a for f in identifies for a in columns[f]]))
+    parsed = parsed.withColumn("at", F.coalesce(at, F.lit(0)))
+    head = F.coalesce(F.get(F.col("heads"), F.col("at") - 1), F.array().cast("array<string>"))
     picked = F.when(F.lit(False), F.create_map(F.lit(""), F.lit(0)))
     needed = F.when(F.lit(False), F.array(F.lit("")))
     for kind, (_, columns, identifies) in SPECS.items():
-        wanted = F.array(*[F.lit(a) for f in identifies for a in columns[f]])
-        hit = F.array_position(F.transform("heads", lambda r, w=wanted: F.arrays_overlap(r, w)), True)
-        at = at.when(F.col("kind") == kind, hit.cast("int"))
-        head = F.coalesce(F.get(F.col("heads"), F.col("at") - 1), F.array().cast("array<string>"))
-        places = [F.lit(x) if isinstance(x, str) else x for f, names in columns.items() for x in (f, F.array_min(F.filter(F.transform(F.array(*map(F.lit, names)), lambda a, h=head: F.array_position(h, a)), lambda p: p > 0)).cast("int"))]
+        places = [x for f, names in columns.items() for x in (F.lit(f), _leftmost(head, names))]
         picked = picked.when(F.col("kind") == kind, F.create_map(*places))
         needed = needed.when(F.col("kind") == kind, F.array(*map(F.lit, identifies)))
-    parsed = parsed.withColumn("at", F.coalesce(at, F.lit(0))).withColumn("picked", picked).withColumn("needed", needed)
+    parsed = parsed.withColumn("picked", picked).withColumn("needed", needed)
     body = F.slice("rows", F.col("at") + 1, F.lit(MAX_ROWS))
     good = parsed.filter("at > 0").withColumn("n_rows", F.size("rows") - F.col("at"))
     rows = good.select("export_id", "kind", "needed", "picked", (F.col("n_rows") > MAX_ROWS).alias("capped"), F.posexplode(body).alias("row_no", "r"))

@@ -262,6 +262,10 @@ def to_tables(profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parent = profiles.drop("coursework", "skills", "honors", "certifications")
     rows = profiles.select("profile_id", F.posexplode("coursework").alias("position", "c")).select("profile_id", "position", "c.*")
     kinds = (("skills", "skill"), ("honors", "honor"), ("certifications", "certification"))
-    arrays = [F.transform(F.col(c), lambda v, i, k=k: F.struct(F.lit(k).alias("attribute_type"), i.alias("position"), v.alias("value"))) for c, k in kinds]
+
+    def entries(column: str, kind: str) -> Column:
+        return F.transform(column, lambda v, i: F.struct(F.lit(kind).alias("attribute_type"), i.alias("position"), v.alias("value")))
+
+    arrays = [entries(c, k) for c, k in kinds]
     attributes = profiles.select("profile_id", F.explode(F.concat(*arrays)).alias("a")).select("profile_id", "a.*").filter("trim(value) <> ''")
     return parent, rows, attributes

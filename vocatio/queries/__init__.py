@@ -1,5 +1,5 @@
 """Registered queries of the library: name to (query, DuckDB SQL or none)."""
 
-from vocatio.queries import text
+from vocatio.queries import matching, profiles, tables, text
 
-REGISTERED = text.QUERIES
+REGISTERED = text.QUERIES | tables.QUERIES | matching.QUERIES | profiles.QUERIES

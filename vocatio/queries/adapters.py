@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+    return spark.sql(re.sub(r"(?<=\s)@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
 def plain(sql: str) -> str:
-    return re.sub(r"@(\w+)", r"\1", sql)
+    return re.sub(r"(?<=\s)@(\w+)", r"\1", sql)
 
 
 def pick(values: list[str], key: str) -> str:
