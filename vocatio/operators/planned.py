@@ -51,14 +51,14 @@ def fuzzy_titles(postings: DataFrame, names: DataFrame, least: float = 0.5) -> D
     return postings.select("posting_id", title_key(F.col("title")).alias("key")).join(hit, "key").drop("key")
 
 
-def cosine_titles(vectors: DataFrame, references: DataFrame, block: str = "label") -> DataFrame:
+def cosine_titles(vectors: DataFrame, references: DataFrame, block: str = "label", least: float = 0.5) -> DataFrame:
     """Tier 3 (not in the default cascade): best reference by cosine of given vectors within a block."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     pairs = vectors.join(references, block)
     cos = dot(F.col("vector"), F.col("reference")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("reference"), F.col("reference")))
-    pairs = pairs.withColumn("cosine", cos).filter("cosine >= 0.5")
+    pairs = pairs.withColumn("cosine", cos).filter(F.col("cosine") >= least)
     best = pairs.groupBy("posting_id").agg(F.min_by(F.struct("code", "cosine"), F.struct(-F.col("cosine"), "code")).alias("b"))
-    return best.select("posting_id", "b.code", F.least(0.5 + 0.2 * (F.col("b.cosine") - 0.5) / 0.5, F.lit(0.7)).alias("confidence"), F.lit("vector").alias("method"))
+    return best.select("posting_id", "b.code", F.least(0.5 + 0.2 * (F.col("b.cosine") - least) / (1 - least), F.lit(0.7)).alias("confidence"), F.lit("vector").alias("method"))
 
 
 def cascade(*tiers: DataFrame) -> DataFrame:
