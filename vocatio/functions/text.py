@@ -25,7 +25,7 @@ def blank_to_null(c: Column) -> Column:
 
 def collapsed(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(c, r"\s+", " "))
+    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def norm(c: Column) -> Column:

@@ -24,8 +24,8 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     """Pairs of ``texts`` (text_id, text, ...) and ``phrases`` (phrase, ...) where the phrase stands
     alone in the text; all columns of both.  ``on``: columns that must be equal besides.
 
-    A phrase without a letter or digit has no word to meet on; such phrases are compared with every
-    text (of its ``on`` group), and are few.
+    A phrase without a letter or digit meets texts on its first sign.  The empty phrase matches
+    nothing.
     """
     on = on or []
     different = phrases.select("phrase").distinct()
@@ -38,11 +38,10 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     keyed = phrases.join(keyed, "phrase")
     exploded = texts.withColumn("word", F.explode(words_of(F.col("text"))))
     met = exploded.join(keyed, [*on, "word"]).drop("word")
-    bare = phrases.filter(F.size(words_of(F.col("phrase"))) == 0)
-    if on:
-        rest = texts.join(bare, on)
-    else:
-        rest = texts.withColumn("_one", F.lit(1)).join(F.broadcast(bare.limit(1000).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    signs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[^a-z0-9]"), F.lit(0)))
+    bare = phrases.filter((F.size(words_of(F.col("phrase"))) == 0) & (F.col("phrase") != ""))
+    bare = bare.withColumn("word", F.substring(F.lower("phrase"), 1, 1))
+    rest = texts.withColumn("word", F.explode(signs)).join(bare, [*on, "word"]).drop("word")
     return met.unionByName(rest).filter(stands_alone(F.col("text"), F.col("phrase")))
 
 

@@ -20,7 +20,8 @@ def unmatched(links: DataFrame, occupations: DataFrame) -> DataFrame:
 def referential(pairs: DataFrame, majors: DataFrame, occupations: DataFrame) -> DataFrame:
     """Pairs both of whose ends exist."""
     pairs = pairs.join(majors.select("cip_code"), "cip_code", "left_semi")
-    return pairs.join(occupations.select("onet_soc_code"), "onet_soc_code", "left_semi")
+    pairs = pairs.join(occupations.select("onet_soc_code"), "onet_soc_code", "left_semi")
+    return pairs.select("cip_code", "onet_soc_code")
 
 
 def without_orphans(majors: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_INDEX = 1000
+
 # Patterns of role texts in order of precedence, and their keys.
 ROLE_KEYS = [
     (r"petroleum|reservoir|drilling|upstream energy", "petroleum"),
@@ -49,8 +51,10 @@ def keyed(roles: DataFrame, index: DataFrame) -> DataFrame:
 
 def local_hits(queries: DataFrame, index: DataFrame, limit: int = 8) -> DataFrame:
     """First ``limit`` index entries, in index order, whose name or alternate contains the query.
-    The index is a short hand-kept list (``max_index`` rows), so it is the broadcast side."""
-    entry = F.broadcast(index.limit(1000).withColumn("_k", F.lit(1)))
+    The index is a short hand-kept list: it is broadcast, and refused beyond ``MAX_INDEX`` rows."""
+    if index.count() > MAX_INDEX:
+        raise ValueError(f"the index has more than {MAX_INDEX} rows")
+    entry = F.broadcast(index.withColumn("_k", F.lit(1)))
     rows = queries.withColumn("_k", F.lit(1)).join(entry, "_k").drop("_k")
     q = F.lower("query")
     hit = F.contains(F.lower("name"), q) | F.exists("alternates", lambda a: F.contains(F.lower(a), q))
