@@ -71,6 +71,12 @@ def _gathered(rows: DataFrame, size: int, scale: float) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
+def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stored ids and the vectors that belong to them (of no component, where ``dim`` is 0)."""
+    known = np.frombuffer(ids, "<i8")
+    return known, np.frombuffer(vectors).reshape(len(known), dim)
+
+
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Integer inner products (float64 where sums stay below 2^53, Python's integers elsewhere)."""
     top = np.sqrt((queries**2).sum(1).max(initial=0) * (vectors**2).sum(1).max(initial=0))
@@ -124,10 +130,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q = np.frombuffer(r["q"]).reshape(-1, r["dim"])
-                q_ids = np.frombuffer(r["q_ids"], "<i8")
-                v = np.frombuffer(r["v"]).reshape(-1, r["dim"])
-                ids = np.frombuffer(r["ids"], "<i8")
+                q_ids, q = _matrix(r["q_ids"], r["q"], r["dim"])
+                ids, v = _matrix(r["ids"], r["v"], r["dim"])
                 score = _exact(q, v)
                 found = [_best(s, ids, own, k, -np.inf) for s, own in zip(score, q_ids)]
                 bound = np.array([s[f[-1]] if len(f) == k else -LONG for s, f in zip(score, found)], np.float64)
@@ -155,10 +159,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q = np.frombuffer(r["q"]).reshape(-1, r["dim"])
-                q_ids = np.frombuffer(r["q_ids"], "<i8")
-                v = np.frombuffer(r["v"]).reshape(-1, r["dim"])
-                ids = np.frombuffer(r["ids"], "<i8")
+                q_ids, q = _matrix(r["q_ids"], r["q"], r["dim"])
+                ids, v = _matrix(r["ids"], r["v"], r["dim"])
                 bound = np.frombuffer(r["bounds"])
                 norms = np.sqrt((v**2).sum(1))
                 kept = [survivors(x, v, norms, b) for x, b in zip(q, bound)]
