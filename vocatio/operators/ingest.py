@@ -29,7 +29,7 @@ def resolve_companies(existing: DataFrame, mentions: DataFrame, now: Column) ->
     """
     m = mentions.withColumn("normalized_name", company_key(F.col("name")))
     counts = existing.groupBy("normalized_name").agg(
-        F.count("*").alias("n"), F.min("company_id").alias("only"), F.collect_set("company_id").alias("candidates")
+        F.count("*").alias("n"), F.min("company_id").alias("only")
     )
     exact = existing.filter("domain IS NOT NULL").groupBy("normalized_name", "domain").agg(F.min("company_id").alias("exact"))
     m = m.join(counts, "normalized_name", "left").join(exact, ["normalized_name", "domain"], "left")

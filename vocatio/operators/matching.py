@@ -29,8 +29,10 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     """
     on = on or []
     different = phrases.select("phrase").distinct()
-    word = texts.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     parts = different.select("phrase", F.explode(words_of(F.col("phrase"))).alias("word"))
+    # only words of phrases are counted, so that a text's other words stop before the shuffle
+    word = texts.select(F.explode(words_of(F.col("text"))).alias("word")).join(parts.select("word").distinct(), "word", "left_semi")
+    word = word.groupBy("word").agg(F.count("*").alias("df"))
     # a phrase with a word that no text has cannot match
     keyed = parts.join(word, "word", "left").groupBy("phrase").agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word")

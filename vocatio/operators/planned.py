@@ -87,7 +87,7 @@ def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 def years(text: Column) -> Column:
     """Struct min_years, max_years of ``3-5 years``, ``5+ years`` or ``2 years``; null if none."""
-    g = lambda k: F.expr("try_cast('' AS int)") if k is None else F.nullif(F.regexp_extract(text, YEARS, k), F.lit("")).cast("int")
+    g = lambda k: F.nullif(F.regexp_extract(text, YEARS, k), F.lit("")).cast("int")
     low, high, single = g(1), g(2), g(3)
     plus = F.regexp_extract(text, YEARS, 4) == "+"
     value = F.struct(F.coalesce(low, single).alias("min_years"), F.coalesce(high, F.when(~plus, single)).alias("max_years"))
