@@ -117,7 +117,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEA
     known = known.filter("size(s) > 0")
     short = F.size("h") < 3 * BLOCK
     keyed = known.select("name", "s", short.alias("short"), F.when(short, F.col("h")).otherwise(template_keys(F.col("h"))).alias("k"))
-    rows = keyed.limit(MAX_KEYS).collect()
+    rows = keyed.limit(MAX_KEYS + 1).collect()
     if sum(len(r["k"]) for r in rows) > MAX_KEYS:
         raise ValueError(f"templates have more than {MAX_KEYS} index keys; scan them in parts")
     single = sorted({k for r in rows if r["short"] for k in r["k"]})
