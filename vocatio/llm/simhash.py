@@ -179,7 +179,7 @@ def deduplicated(docs: DataFrame, max_bits: int = 4, shingle: int = SHINGLE) ->
     found = scratch.written(grouped(docs, max_bits, shingle), "groups")
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("best")).select("best.*")
     best = best.select(F.col("doc_id").alias("best_id"), F.col("tie").alias("best_tie"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("best_id")) & (F.xxhash64("text") == F.col("best_tie"))
+    on = docs["doc_id"].cast("long").eqNullSafe(best["best_id"]) & (F.xxhash64(docs["text"]) == best["best_tie"])
     kept = docs.join(best, on, "left_semi")
     repeated = found.groupBy("doc_id", "tie").count().filter("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if not repeated.isEmpty() else kept
