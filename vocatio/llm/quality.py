@@ -138,17 +138,19 @@ def fences(measured: DataFrame, min_docs: int = 30, accuracy: int = 5000) -> Dat
     return joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *columns)
 
 
-def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with base_failed and kept; ``limits`` is a written table."""
+def _fenced(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` (lang, source, ...) with the fences of their group; ``limits`` is a written table."""
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     on = F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source"))
-    inside = F.lit(True)
-    for k, value in _ratios(F.col("f")).items():
+    return rows.join(limits, on, "left")
+
+
+def _passes(f: Column) -> Column:
+    inside = ~base_failed(f)
+    for k, value in _ratios(f).items():
         inside &= F.coalesce(value >= F.col(f"{k}_low"), F.lit(True)) & F.coalesce(value <= F.col(f"{k}_high"), F.lit(True))
-    failed = base_failed(F.col("f"))
-    kept = (~failed & inside).alias("kept")
-    return measured.join(limits, on, "left").select(*measured.columns, failed.alias("base_failed"), kept)
+    return inside
 
 
 def judge(docs: DataFrame, min_docs: int = 30) -> DataFrame:
@@ -156,15 +158,16 @@ def judge(docs: DataFrame, min_docs: int = 30) -> DataFrame:
     measured = docs.select("doc_id", "lang", "source", features(F.col("text")).alias("f"))
     measured = scratch.written(measured, "quality-features")
     limits = scratch.written(fences(measured, min_docs), "quality-fences")
-    judged = _judged(measured, limits)
-    return judged.select("doc_id", *[F.col("f")[k].alias(k) for k in NAMES], "base_failed", "kept")
+    f = F.col("f")
+    verdicts = [base_failed(f).alias("base_failed"), _passes(f).alias("kept")]
+    return _fenced(measured, limits).select("doc_id", *[f[k].alias(k) for k in NAMES], *verdicts)
 
 
 def keep(docs: DataFrame, min_docs: int = 30) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.  Features are computed a second time
     beside the text, which costs less than moving every text to a join."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    measured = docs.select(row, F.col("lang"), F.col("source"), features(F.col("text")).alias("f"))
-    narrow = scratch.written(measured.select("lang", "source", "f"), "quality-features")
-    limits = scratch.written(fences(narrow, min_docs), "quality-fences")
-    return _judged(measured, limits).filter("kept").select("row.*")
+    measured = scratch.written(docs.select("lang", "source", features(F.col("text")).alias("f")), "quality-features")
+    limits = scratch.written(fences(measured, min_docs), "quality-fences")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source", "text")
+    # one expression, or the optimizer copies the features into every part of the condition
+    return _fenced(rows, limits).filter(_let(features(F.col("text")), _passes)).select("row.*")
