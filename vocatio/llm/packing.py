@@ -61,11 +61,13 @@ def term_statistics(tokens: DataFrame, dtype: str, vocab: int) -> tuple[np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocab + 2, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                got = np.frombuffer(ids, dtype)
-                df[np.unique(got)] += 1
-                df[vocab] += 1
-                df[vocab + 1] += len(got)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.column(0).slice(at, 1024).to_pylist()
+                ids = np.frombuffer(b"".join(rows), dtype)
+                doc = np.repeat(np.arange(len(rows)), [len(r) // ids.itemsize for r in rows])
+                df[:vocab] += np.bincount(np.unique(doc * vocab + ids) % vocab, minlength=vocab)
+                df[vocab] += len(rows)
+                df[vocab + 1] += len(ids)
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "n"])
 
