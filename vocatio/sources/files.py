@@ -132,7 +132,8 @@ def transcripts(texts: DataFrame, least: int = 40) -> tuple[DataFrame, DataFrame
 
 
 def triaged(files: DataFrame, least: int = 1, most: int = 15 * 1024 * 1024) -> DataFrame:
-    """``binaryFile`` rows with the first reason to refuse an upload, or null."""
+    """``binaryFile`` rows with the first reason to refuse an upload, or null.  (The reader itself
+    skips files without a byte.)"""
     name = F.col("path")
     magic = F.substring(F.col("content"), 1, 5).cast("string")
     reason: Column = (
