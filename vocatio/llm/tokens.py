@@ -18,7 +18,12 @@ _WS = r"\t-\r \x85\xa0  -     　"
 #: A run of other characters with one blank before it, white space up to the last one before
 #: other characters, or that last one.
 _SPACED = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
-MAX_PIECES = 400_000
+#: What keeps a text from being cut at single blanks and newlines alone: other white space (and NUL,
+#: which marks the first word), and white space next to white space.
+_OTHER = [chr(c) for c in (0, 9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUNS = ["  ", " \n", "\n ", "\n\n"]
+#: Pieces a worker remembers, and words in one call.
+MAX_PIECES, WORDS_A_CALL = 900_000, 500
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -31,40 +36,112 @@ def encoder(path: str, keeps_space: bool) -> "Encoder":
 
 
 class Encoder:
-    """``keeps_space``: the vocabulary encodes white space (byte level); else it drops it."""
+    """``keeps_space``: the vocabulary encodes white space (byte level); else it drops it, and case
+    with it."""
 
     def __init__(self, path: str, keeps_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # words of a-z (and A-Z, where case counts) need no normalizing and no pattern
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict = {}
+        self.edge = np.zeros(size, bool)  # ids that open a word after a blank, or that end a word
+        for token, n in self.tokenizer.get_vocab().items():
+            self.edge[n] = token.startswith("\u0120") if keeps_space else token.endswith("</w>")
+        self.known: dict = {}  # piece to ids
+        self.keyed: dict = {}  # key of a text's piece to ids
+        # marks that are tokens of their own after a letter, so that a word is learned without them
+        self.marks = {m if keeps_space else m.encode(): self._packed(m) for m in ".,;:!?"}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _packed(self, string: str) -> bytes:
+        return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _pieces(self, text: str | None) -> list:
+        """Keys of a text's pieces.  Where white space counts, a word after a blank is its own key,
+        one after a newline has the newline before it, and NUL stands before any other piece."""
         if not text:
             return []
         if not self.keeps_space:
-            return text.encode().split()
+            raw = text.encode()
+            return raw.split() if b"<|" in raw else raw.lower().split()
         if any(s in text for s in self.special):
-            return [text]
-        return _SPACED.findall(text)
+            return ["\0" + text]
+        if any(r in text for r in _RUNS) or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _OTHER):
+            return ["\0" + p for p in _SPACED.findall(text)]
+        return ("\0" + text.replace("\n", " \n")).split(" ")
+
+    def _learn_words(self, words: list) -> None:
+        """Encode new keys that are one word of letters each, many in one call: edge ids tell a word
+        from its neighbours."""
+        width, keyed = self.dtype.itemsize, self.keyed
+        simple = [w for w in words if w.isascii() and (self.keeps_space or w.islower())]
+        marked = [w for w in words if not (w.isascii() and (self.keeps_space or w.islower()))]
+        for tokenizer, some in ((self.of_words, simple), (self.tokenizer, marked)):
+            groups = [some[k : k + WORDS_A_CALL] for k in range(0, len(some), WORDS_A_CALL)]
+            if not self.keeps_space:
+                texts = [b" ".join(g).decode() for g in groups]
+            elif tokenizer is self.of_words:  # byte-level vocabularies write the blank before a word as a letter
+                texts = ["\u0120" + " \u0120".join(g) for g in groups]
+            else:
+                texts = [" " + " ".join(g) for g in groups]
+            for at in range(0, len(groups), 100):
+                found = tokenizer.encode_batch_fast(texts[at : at + 100], add_special_tokens=False)
+                for group, got in zip(groups[at : at + 100], found):
+                    ids = np.array(got.ids, self.dtype)
+                    edges = (np.flatnonzero(self.edge[ids]) * width).tolist()
+                    if len(edges) != len(group):
+                        self._learn_others(group)
+                        continue
+                    packed = ids.tobytes()
+                    if self.keeps_space:
+                        cuts = map(slice, edges, [*edges[1:], len(packed)])
+                    else:
+                        ends = [e + width for e in edges]
+                        cuts = map(slice, [0, *ends], ends)
+                    keyed.update(zip(group, map(packed.__getitem__, cuts)))
+
+    def _learn_others(self, keys: list) -> None:
+        """Encode new keys of any kind, each piece by itself."""
+        parts = [self._parts(key) for key in keys]
+        new = list({p for some in parts for p in some}.difference(self.known))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            strings = some if self.keeps_space else [p.decode() for p in some]
+            for piece, e in zip(some, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
+                self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+        for key, some in zip(keys, parts):
+            self.keyed[key] = b"".join([self.known[p] for p in some])
+
+    def _parts(self, key) -> list:
+        """Pieces that a key stands for."""
+        if not self.keeps_space:
+            return [key]
+        if key[:1] == "\0":
+            return [key[1:]]
+        return ["\n", key[1:]] if key[:1] == "\n" else [" " + key]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed little-endian in ``dtype``; null counts as empty."""
         cut = [self._pieces(t) for t in texts]
-        if len(self.known) > MAX_PIECES:
+        if len(self.keyed) > MAX_PIECES:
+            self.keyed.clear()
             self.known.clear()
-        known = self.known
-        new = [p for p in set(chain.from_iterable(cut)) if p not in known]
-        strings = new if self.keeps_space else [p.decode() for p in new]
-        for at in range(0, len(new), 20_000):
-            got = self.tokenizer.encode_batch_fast(strings[at : at + 20_000], add_special_tokens=False)
-            for piece, e in zip(new[at : at + 20_000], got):
-                known[piece] = self._bytes(e.ids)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        keyed, marks = self.keyed, self.marks
+        new = list(set(chain.from_iterable(cut)).difference(keyed))
+        strings = new if self.keeps_space or not new else b"\n".join(new).decode().split("\n")
+        words = [key for key, s in zip(new, strings) if s.isalpha()]
+        rest = [key for key, s in zip(new, strings) if not s.isalpha()]
+        ended = [key for key in rest if key[-1:] in marks and key[:-1].isalpha()]
+        words += {key[:-1] for key in ended}.difference(keyed, words)
+        self._learn_words(words)
+        for key in ended:
+            keyed[key] = keyed[key[:-1]] + marks[key[-1:]]
+        self._learn_others([key for key in rest if key not in keyed])
+        return [b"".join(map(keyed.__getitem__, keys)) for keys in cut]
