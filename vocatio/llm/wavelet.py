@@ -42,7 +42,7 @@ class WaveletMatrix:
         planes = np.zeros((bits, -(-n // BLOCK) * BLOCK // 8), np.uint8)
         zeros, now = [], ids
         for level in range(bits):
-            on = (now >> ids.dtype.type(bits - 1 - level)) & ids.dtype.type(1) != 0
+            on = now & ids.dtype.type(1 << (bits - 1 - level)) != 0
             packed = np.packbits(on)
             planes[level, : len(packed)] = packed
             off = now[~on]
@@ -126,12 +126,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, undoing the planes from the last to the first."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(len(self.zeros) - 1, -1, -1):
             on = np.unpackbits(self.planes[level], count=self.n).view(bool)
             back, z = np.empty_like(now), self.zeros[level]
             back[~on] = now[:z]
-            back[on] = now[z:] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            back[on] = now[z:] | kind(1 << (len(self.zeros) - 1 - level))
             now = back
         return now
 
