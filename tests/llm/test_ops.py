@@ -211,6 +211,30 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_finds_all_standard_notices(spark):
+    known = dict(license_scan.NOTICES)
+    assert len(known) == len(license_scan.NOTICES) >= 200
+    assert {"bsd", "bsd-3-clause", "lgpl-2.1", "mpl-2.0", "gpl-2.0", "isc", "cc-by-sa-4.0"} <= {n.split("/")[0] for n in known}
+    random.seed(1)
+    fill = lambda: " ".join(f"w{random.randrange(500)}" for _ in range(random.randrange(40)))
+    for cut in (0, 1):  # whole, and without the words that may be missing at the ends
+        rows = []
+        for i, (name, text) in enumerate(license_scan.NOTICES):
+            w = text.split()
+            said = re.sub(r"[^\w\s]", "", text.lower()).split()
+            spare = len({tuple(said[k : k + 5]) for k in range(len(said) - 4)}) // 5 if cut else 0
+            w = w[: len(w) - spare] if i % 2 else w[spare:]
+            rows.append((i, " ".join([fill(), *w, fill()])))
+        got = {(r.doc_id, r.name) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+        assert {(i, n) for i, n in enumerate(known)} <= got
+
+
+def test_license_windows_scale():
+    size = lambda n: license_scan.window_of(n, n, 0.8)
+    assert [size(n) for n in (1, 2, 5, 6, 12, 13, 19, 20, 23, 24, 500)] == [1, 2, 2, 4, 4, 8, 8, 4, 4, 16, 16]
+    assert license_scan.window_of(10, 9, 0.8) == 1
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

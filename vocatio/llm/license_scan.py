@@ -1,12 +1,18 @@
 """License scan, in DataFrame functions only.
 
-Texts are reduced to lower-case letters and digits and cut to shingles of five words.  Overlapping
-windows of 16 shingles (every 8) get ``BANDS`` MinHash bands of one value each; templates are
-indexed under the windows at all their offsets.  A run of 24 shingles shared with a template holds
-one whole aligned window, which collides with certainty; a window that agrees with a template's in
-three fifths of their shingles collides with probability 1 - 0.4 ** BANDS.  Templates of fewer than
-24 shingles are indexed under each of their shingles, so that one shared shingle retrieves them.
-Retrieved templates are verified by exact containment of their shingles in the text.
+Texts are reduced to lower-case letters and digits and cut to shingles of five words.  Templates
+are retrieved by MinHash bands over windows of shingles and verified by exact containment of their
+shingles in the text.
+
+Windows come in five sizes (``SIZES``); a text has those that start at every half size, a template
+those at all its offsets, in the size that fits its length.  A run of one and a half windows that
+text and template share holds one whole window of the text, which collides with certainty.
+Templates of 24 shingles or more have windows of 16 with ``BANDS`` bands; a window that agrees with
+theirs in three fifths of the shingles collides with probability 1 - 0.4 ** BANDS.  Shorter ones have
+one band and the largest window that fits the run which ``least`` leaves of them (``window_of``), so
+that they are missed only in a text that scatters their shingles by saying four words twice at each
+break.  Only templates of one shingle, those of which ``least`` leaves no run of two, and short ones
+that repeat a shingle go by single shingles.
 
 Null text counts as empty.  A template shorter than five words is one shingle of all its words, and
 is found only in a text that is exactly that.  Repeated and null ids keep their rows.  No match, or
@@ -15,12 +21,17 @@ an empty table, gives no row.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocatio.llm.license_notices import STANDARD
 from vocatio.llm.quality import SPACE, _let
 
 SHINGLE, BLOCK, BANDS = 5, 8, 8
+SIZES = (1, 2, 4, 8, 2 * BLOCK)
 LEAST = 0.8
 MAX_KEYS = 100_000
 
@@ -43,6 +54,7 @@ NOTICES = [
         "option) any later version.",
     ),
 ]
+NOTICES += [n for n in STANDARD if re.findall(r"\w+", n[1].lower()) not in [re.findall(r"\w+", t.lower()) for _, t in NOTICES]]
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -86,7 +98,7 @@ def _bands(of: Column) -> list[Column]:
 
 
 def text_keys(h: Column) -> Column:
-    """Band values of the windows of a text: the smaller ones of each two neighbouring blocks."""
+    """Band values of the windows of 16 of a text: the smaller ones of each two neighbouring blocks."""
     blocks = F.transform(
         F.sequence(F.lit(0), F.greatest(F.floor(F.size(h) / BLOCK).cast("int") - 1, F.lit(0))),
         lambda j: F.array(*_bands(F.slice(h, j * BLOCK + 1, F.lit(BLOCK)))),
@@ -97,13 +109,39 @@ def text_keys(h: Column) -> Column:
             m, lambda x, j: F.array(*[F.least(x[b], F.coalesce(F.get(F.get(m, j + 1), F.lit(b)), x[b])) for b in range(BANDS)])
         ),
     )
-    return F.when(F.size(h) >= 2 * BLOCK, F.array_distinct(F.flatten(pairs))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(h) >= 2 * BLOCK, F.flatten(pairs)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _pairs(m: Column) -> Column:
+    """The smaller one of each two neighbours (``least`` skips the null behind the last)."""
+    return F.transform(m, lambda x, i: F.least(x, F.get(m, i + 1)))
+
+
+def _halved(m: Column) -> Column:
+    """The smaller one of elements 0 and 1, of 2 and 3, and so on; an odd last one is left out."""
+    at = F.slice(F.sequence(F.lit(0), F.floor(F.size(m) / 2).cast("int")), 1, F.floor(F.size(m) / 2).cast("int"))
+    return F.transform(at, lambda j: F.least(F.get(m, 2 * j), F.get(m, 2 * j + 1)))
+
 
+def window_of(n: int, different: int, least: float) -> int:
+    """The window size of a template of ``n`` shingles.  At most n - kept shingles may be missing;
+    fewer than SHINGLE - 1 can only be missing at the ends, as a change inside costs that many."""
+    if n >= 3 * BLOCK:
+        return 2 * BLOCK
+    if different < n:
+        return 1
+    kept = min(n, max(1, math.ceil(least * n)))
+    run = math.ceil(kept / ((n - kept) // (SHINGLE - 1) + 1))
+    return max(w for w in SIZES[:-1] if w == 1 or w + w // 2 - 1 <= run)
 
-def template_keys(h: Column) -> Column:
-    """Band values of a template's windows at all offsets."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(h) - (2 * BLOCK - 1), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*_bands(F.slice(h, s, F.lit(2 * BLOCK)))))))
+
+def template_keys(h: Column, size: int) -> Column:
+    """Band values of a template's windows of ``size`` shingles at all offsets."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(h) - (size - 1), F.lit(1)))
+    window = lambda s: F.slice(h, s, F.lit(size))
+    if size == SIZES[-1]:
+        return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*_bands(window(s))))))
+    return F.array_distinct(F.transform(starts, lambda s: F.array_min(window(s))))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
@@ -115,21 +153,29 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEA
     known = known.select("name", shingle_words(F.col("text")).alias("w"))
     known = known.select("name", hashes(F.col("w")).alias("h"), F.array_distinct(strings(F.col("w"))).alias("s"))
     known = known.filter("size(s) > 0")
-    short = F.size("h") < 3 * BLOCK
-    keyed = known.select("name", "s", short.alias("short"), F.when(short, F.col("h")).otherwise(template_keys(F.col("h"))).alias("k"))
-    rows = keyed.limit(MAX_KEYS + 1).collect()
-    if sum(len(r["k"]) for r in rows) > MAX_KEYS:
+    keyed = known.select("name", "s", F.size("h").alias("n"), *[template_keys(F.col("h"), w).alias(f"k{w}") for w in SIZES])
+    rows = [(r["name"], list(r["s"]), w, set(r[f"k{w}"])) for r in keyed.limit(MAX_KEYS + 1).collect() for w in [window_of(r["n"], len(r["s"]), least)]]
+    if sum(len(k) for *_, k in rows) > MAX_KEYS:
         raise ValueError(f"templates have more than {MAX_KEYS} index keys; scan them in parts")
-    single = sorted({k for r in rows if r["short"] for k in r["k"]})
-    window = sorted({k for r in rows if not r["short"] for k in r["k"]})
-    # literal arrays: looked up in each text's row, without one row per shingle
-    wanted = lambda keys: F.array(*map(F.lit, keys)).cast("array<bigint>")
-    hits = lambda h: F.concat(F.array_intersect(h, wanted(single)), F.array_intersect(text_keys(h), wanted(window)))
+    keys = {w: sorted({k for _, _, of, ks in rows if of == w for k in ks}) for w in SIZES}
+
+    def met_in(own: Column, size: int) -> Column:
+        # a literal set: looked up in each text's row, without one row per shingle
+        return F.filter(own, lambda x: x.isin(keys[size])) if keys[size] else F.array().cast("array<bigint>")
+
+    def hits(h: Column) -> Column:
+        def fours(two: Column) -> Column:
+            four = _let(_halved(two), lambda m: met_in(_pairs(m), 8))
+            return F.concat(met_in(_pairs(two), 4), four)
+
+        small = [met_in(h, 1), met_in(_pairs(h), 2), _let(_halved(h), fours)]
+        return F.array_distinct(F.concat(*small, met_in(text_keys(h), SIZES[-1])))
+
     words = shingle_words(F.col("text"))
     met = docs.select("doc_id", "text", _let(hashes(words), hits).alias("hits"))
     met = met.filter("size(hits) > 0").withColumn("row", F.monotonically_increasing_id())
     index = spark.createDataFrame(
-        [(k, r["name"], list(r["s"])) for r in rows for k in set(r["k"])], "key long, name string, s array<string>"
+        [(k, name, s) for name, s, _, ks in rows for k in ks], "key long, name string, s array<string>"
     )
     retrieved = met.select("row", "doc_id", "text", F.explode("hits").alias("key")).join(F.broadcast(index), "key")
     retrieved = retrieved.groupBy("row", "name").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "s")])
