@@ -104,6 +104,33 @@ def test_retrieved_neighbours_share_the_window():
     assert [p[0] for p in pieces[:2]] == [0, 2]
 
 
+def test_neighbours_score_by_all_terms():
+    terms = np.arange(30)
+    ids = np.concatenate([terms, terms[:1], terms[24:]])
+    index = packing.Bm25Index(ids, np.array([0, 30, 31, 37]), np.linspace(2.0, 1.0, 30), 12.0, 1.2, 0.75)
+    assert index.neighbours(0, np.array([False, True, True]))[0] == 2
+
+
+def test_near_copies_share_a_shard(spark):
+    random.seed(3)
+    vocabulary = [w for w in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab() if w.isascii() and w.isalpha() and len(w) > 4]
+    vocabulary = sorted(vocabulary)[::3]
+    rows = []
+    for family in range(120):
+        rare, common = random.sample(vocabulary[200:], 12), random.choices(vocabulary[:200], k=40)
+        rows += [(3 * family + k, " ".join([*rare, *common, *random.choices(vocabulary[:200], k=3)])) for k in range(3)]
+    rows += [(10_000 + k, "hot " + " ".join(vocabulary[:50])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=256, shard_tokens=4000).collect()
+    shards, ids = {}, Counter()
+    for p in pieces:
+        shards[p.doc_id] = p.sequence_id >> 32
+        ids[p.sequence_id >> 32] += p.length
+    assert len(ids) > 8 and max(ids.values()) <= 2 * 4000  # a hot group is dealt to several
+    together = sum(len({shards[3 * f + k] for k in range(3)}) == 1 for f in range(120))
+    assert together >= 100, together
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (700, 5), (3000, 50_000)):

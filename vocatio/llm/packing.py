@@ -1,21 +1,23 @@
 """Lexical retrieval packing.
 
-Every document becomes token ids.  Documents are dealt by hash to shards of about
-``shard_tokens`` ids; each shard holds a BM25 inverted index of its documents with document
+Every document becomes token ids.  Documents are dealt to shards of at most about ``shard_tokens``
+ids by their rarest shared term (the rarest one that another document has too), so that near copies
+and texts on one subject meet at every input size; each shard holds a BM25 inverted index of its documents with document
 frequencies and average length of the whole corpus.  A window starts at a seed document; the
 index returns the seed's unused neighbours by score and they fill the window greedily.  A
 document that overruns the window is cut there and its rest opens the next window as its seed.
 When no neighbour is left, unused documents follow in document order, so that only the last
 window of a shard is short.
 
-A shard is the unit of memory and work: hot groups of copies are spread over all shards by hash.
+A shard is the unit of memory and work.  Terms of few ids share a shard with their neighbours by
+rarity; a term of more than a shard is divided by the documents' second rarest term, and what is
+still more (a hot group of copies) by hash.  A seed asks its own shard only.
 Null text counts as empty (the end id alone).  Repeated and null ids are packed as documents of
 their own.  An empty table gives no piece.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +80,68 @@ def term_statistics(tokens: DataFrame, dtype: str, vocab: int) -> tuple[np.ndarr
     return df[:vocab], int(df[vocab]), int(df[vocab + 1])
 
 
+def rarest_terms(rank: np.ndarray, rows: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the next ``rank`` of each row's ids, len(rank) for none."""
+    ids = np.frombuffer(b"".join(rows), dtype)
+    sizes = np.array([len(r) for r in rows]) // ids.itemsize
+    own, cuts = rank[ids], np.cumsum(sizes) - sizes
+    first = np.minimum.reduceat(own, cuts)
+    second = np.minimum.reduceat(np.where(own == np.repeat(first, sizes), len(rank), own), cuts)
+    return first, second
+
+
+class Deal:
+    """Which shard a document goes to, by its rarest terms' ranks and a hash of its row."""
+
+    def __init__(self, tokens: DataFrame, dtype: str, df: np.ndarray, shard_tokens: int):
+        shared = np.flatnonzero(df > 1)
+        rank = np.full(len(df), len(df), np.int64)
+        rank[shared[np.argsort(df[shared], kind="stable")]] = np.arange(len(shared))
+        self.rank = rank
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    piece = batch.slice(at, 1024)
+                    first, second = rarest_terms(rank, piece.column(0).to_pylist(), dtype)
+                    columns = [pa.array(first), pa.array(second), piece.column(1)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["first", "second", "n"])
+
+        found = tokens.select("ids", F.col("n_tokens").alias("n")).mapInArrow(run, "first long, second long, n long")
+        found = scratch.written(found, "shard-keys")
+        n = np.zeros(len(df) + 1, np.int64)
+        got = found.groupBy("first").agg(F.sum("n").alias("n")).toArrow()
+        n[got.column("first").to_numpy()] = got.column("n").to_numpy()
+        # buckets: one a term, several for a hot one
+        self.parts = np.where(n > shard_tokens, 4 * -(-n // shard_tokens), 1)
+        self.base = np.cumsum(self.parts) - self.parts
+        size = np.zeros(self.parts.sum(), np.int64)
+        size[self.base] = n
+        hot = np.flatnonzero(self.parts > 1).tolist()  # fewer than shards
+        if hot:
+            spark = tokens.sparkSession
+            known = spark.createDataFrame([(t, int(self.parts[t])) for t in hot], "first long, parts long")
+            part = F.pmod(F.col("second") * 40503, F.col("parts")).alias("part")
+            sums = found.join(F.broadcast(known), "first").groupBy("first", part).agg(F.sum("n").alias("n")).toArrow()
+            size[self.base[hot]] = 0
+            size[self.base[sums.column("first").to_numpy()] + sums.column("part").to_numpy()] = sums.column("n").to_numpy()
+        self.salts = np.maximum(1, -(-size // shard_tokens))
+        self.start = np.zeros(len(size), np.int64)
+        shard, filled = 0, 0
+        for b in np.flatnonzero(size).tolist():
+            if filled and filled + size[b] > shard_tokens:
+                shard, filled = shard + 1, 0
+            self.start[b] = shard
+            if self.salts[b] > 1:
+                shard, filled = shard + int(self.salts[b]), 0
+            else:
+                filled += int(size[b])
+
+    def shard(self, first: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        bucket = self.base[first] + second * 40503 % self.parts[first]
+        return self.start[bucket] + salt % self.salts[bucket]
+
+
 class Bm25Index:
     """Inverted index over the documents of one shard."""
 
@@ -94,10 +158,11 @@ class Bm25Index:
         self.post_cuts = np.searchsorted(self.doc_terms[order], np.arange(vocab + 1))
         self.idf, self.n = idf, n
 
-    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int) -> np.ndarray:
-        """Unused documents that share one of the seed's ``query_terms`` rarest terms, best first."""
+    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int | None = None) -> np.ndarray:
+        """Unused documents that share one of the seed's terms (or of its ``query_terms`` rarest
+        ones), best first."""
         terms = self.doc_terms[self.doc_cuts[seed] : self.doc_cuts[seed + 1]]
-        if len(terms) > query_terms:
+        if query_terms is not None and len(terms) > query_terms:
             terms = terms[np.argsort(-self.idf[terms], kind="stable")[:query_terms]]
         spans = [slice(self.post_cuts[t], self.post_cuts[t + 1]) for t in terms]
         docs = np.concatenate([self.post_docs[s] for s in spans])
@@ -153,7 +218,7 @@ def pack(
     window: int = 4096,
     end_id: int = 2,
     shard_tokens: int = 1 << 21,
-    query_terms: int = 24,
+    query_terms: int | None = None,
     k1: float = 1.2,
     b: float = 0.75,
 ) -> DataFrame:
@@ -165,7 +230,7 @@ def pack(
     df, n_docs, n_tokens = term_statistics(tokens, dtype, vocab)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = n_tokens / max(1, n_docs)
-    n_shards = max(1, math.ceil(n_tokens / shard_tokens))
+    deal = docs.sparkSession.sparkContext.broadcast(Deal(tokens, dtype, df, shard_tokens))  # numbers per vocabulary entry and shard
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # one number per vocabulary entry
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -194,5 +259,14 @@ def pack(
             }
         )
 
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(n_shards)).alias("shard")
-    return tokens.select(shard, "doc_id", "ids").groupBy("shard").applyInArrow(run, PIECE_SCHEMA)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                first, second = rarest_terms(deal.value.rank, piece.column(2).to_pylist(), dtype)
+                shards = deal.value.shard(first, second, piece.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(shards), *piece.columns[1:]], names=["shard", "doc_id", "ids"])
+
+    salt = F.xxhash64("doc_id", F.crc32("ids")).alias("salt")
+    placed = tokens.select(salt, "doc_id", "ids").mapInArrow(dealt, "shard long, doc_id long, ids binary")
+    return placed.groupBy("shard").applyInArrow(run, PIECE_SCHEMA)
