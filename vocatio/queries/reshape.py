@@ -72,10 +72,20 @@ def bounded_documents(spark, sf_dir):
 
 BOUNDED_DOCUMENTS = "SELECT doc_id, least(length(text), 1000)::INT AS n, length(text) > 1000 AS was_cut, 'a b' AS card FROM documents"
 
+
+def whole_documents(spark, sf_dir):
+    """With the reader's own limit of 400,000 characters, and a hash of all the text."""
+    d = reshape.bounded(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.length("text").alias("n"), "was_cut", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+WHOLE_DOCUMENTS = "SELECT doc_id, least(length(text), 400000)::INT AS n, length(text) > 400000 AS was_cut, sha256(substr(text, 1, 400000)) AS text_sha256 FROM documents"
+
 QUERIES = {
     "wire_profiles": (wire_profiles, WIRE_PROFILES),
     "form_profiles": (form_profiles, FORM_PROFILES),
     "skills_lines": (skills_lines, SKILLS_LINES),
     "allowed_pages": (allowed_pages, ALLOWED_PAGES),
     "bounded_documents": (bounded_documents, BOUNDED_DOCUMENTS),
+    "whole_documents": (whole_documents, WHOLE_DOCUMENTS),
 }

@@ -176,6 +176,23 @@ FROM (SELECT *, concat('- ', text, ' ', chr(9), chr(7), ' end') AS t FROM conver
 """
 
 
+def whole_turns(spark, sf_dir):
+    """With the operators' own limits of 300 characters, and hashes of all the text."""
+    c = table(spark, sf_dir, "conversations")
+    t = F.concat(F.lit("- "), F.col("text"), F.lit(" \t\x07 end"))
+    lines = F.array_join(text.bullet_lines(F.split(t, "\n")), "|")
+    return c.select("conv_id", "turn", F.sha2(text.cleaned(t), 256).alias("cleaned_sha256"), F.sha2(F.coalesce(lines, F.lit("")), 256).alias("lines_sha256"))
+
+
+WHOLE_TURNS = r"""
+SELECT conv_id, turn, sha256(nullif(substr(trim(regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\s+', ' ', 'g')), 1, 300), '')) AS cleaned_sha256,
+  sha256(coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(t, chr(10)),
+    lambda v: trim(regexp_replace(regexp_replace(regexp_replace(v, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^\s*(?:[-•*‣◦⁃∙]+|\d+[.)])\s*', ''), '\s+', ' ', 'g'))), lambda v: v <> '')[1:4],
+    lambda v: substr(v, 1, 300)), '|'), '')) AS lines_sha256
+FROM (SELECT *, concat('- ', text, ' ', chr(9), chr(7), ' end') AS t FROM conversations)
+"""
+
+
 def unsupported_figures(spark, sf_dir):
     p = table(spark, sf_dir, "orders")
     said = F.concat_ws(" ", F.lit("cut cost by"), (F.col("o_orderkey") % 97).cast("string"), F.lit("percent over"), (F.col("o_custkey") % 7).cast("string"))
@@ -235,6 +252,7 @@ QUERIES = {
     "content_hashes": (content_hashes, CONTENT_HASHES),
     "slugs": (slugs, SLUGS),
     "cleaned_turns": (cleaned_turns, CLEANED_TURNS),
+    "whole_turns": (whole_turns, WHOLE_TURNS),
     "unsupported_figures": (unsupported_figures, UNSUPPORTED_FIGURES),
     "distinct_values": (distinct_values, DISTINCT_VALUES),
     "instants": (instants, INSTANTS),
