@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -58,8 +59,11 @@ def test_pieces_give_the_tokenizers_ids(name, spaced):
     random.seed(7)
     bits = [" ", "  ", "\n", "\t", "a", "B", "É", "é", "İ", "1", "½", ".", ",", "!!", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "\xa0", "\x1c", "\x85", "日本", "\U0001f600", "​", "the.", "x", "_"]
     texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(1500)] + ["", None]
-    for text, got in zip(texts, enc.encode(texts)):
-        assert np.frombuffer(got, enc.dtype).tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+    texts += ["a\x01b \x01", "\x00", "x\x00y", "It's.", "we're!! I'll.?", "\nAb.\nCd,,\n1"]
+    for _ in range(2):  # the second time from what it remembers
+        ids, sizes = enc.encode(pa.array(texts, pa.string()), 2)
+        for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert got.tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
 def test_packing(spark, docs, empty):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocatio.llm import scratch
-from vocatio.llm.tokens import encoder
+from vocatio.llm.tokens import encoder, slices
 
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -38,18 +38,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, keeps_space)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                ids = [x + end for x in enc.encode(piece.column(1).to_pylist())]
+            for piece in slices(batch, 1):
+                ids, sizes = enc.encode(piece.column(1), end_id)
+                cuts = np.concatenate([[0], np.cumsum(sizes) * enc.dtype.itemsize])
+                binary = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0),
-                        pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids"],
+                    [piece.column(0), pa.array(sizes, pa.int64()), binary.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"]
                 )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

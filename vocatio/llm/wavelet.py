@@ -7,7 +7,8 @@ rank/select, and the shard's document table.  Access, counting and occurrence lo
 one file.  A shard is the unit of memory; a single longer document makes a longer shard.
 
 Null text counts as empty (the end id only).  Null ids sort first.  Repeated ids stay separate
-documents, ordered by text.  An empty table makes no shard.
+documents, ordered by the text's hash, and are split over tasks like any others.  An empty table
+makes no shard.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vocatio.llm.tokens import encoder
+from vocatio.llm.tokens import encoder, slices
 
 BLOCK = 512  # bits between two stored counts of ones
+BROADCAST_SHARDS = 500_000
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "zeros array<long>, planes binary, ones binary"
@@ -142,21 +144,17 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
-        end = np.array([end_id], enc.dtype).tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        parts: list[bytes] = []
-        held = 0
+        part, seq, held = TaskContext.get().partitionId(), 0, 0
+        waiting: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []  # doc_ids, sizes, ids
 
         def shard() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(parts), enc.dtype)
-            w = WaveletMatrix.build(all_ids)
+            w = WaveletMatrix.build(np.concatenate([x[2] for x in waiting]))
             columns = [
                 pa.array([part], pa.int32()),
                 pa.array([seq], pa.int32()),
                 pa.array([w.n], pa.int64()),
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([[len(p) // enc.dtype.itemsize for p in parts]], pa.list_(pa.int64())),
+                pa.array([[i for x in waiting for i in x[0]]], pa.list_(pa.int64())),
+                pa.array([np.concatenate([x[1] for x in waiting])], pa.list_(pa.int64())),
                 pa.array([w.zeros], pa.list_(pa.int64())),
                 pa.array([w.planes.tobytes()], pa.binary()),
                 pa.array([w.ones.astype("<u4").tobytes()], pa.binary()),
@@ -164,21 +162,33 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                texts = enc.encode(piece.column(1).to_pylist())
-                for doc_id, got in zip(piece.column(0).to_pylist(), texts):
-                    ids.append(doc_id)
-                    parts.append(got + end)
-                    held += len(parts[-1]) // enc.dtype.itemsize
+            for piece in slices(batch, 1):
+                doc_ids = piece.column(0).to_pylist()
+                ids, sizes = enc.encode(piece.column(1), end_id)
+                ends = np.cumsum(sizes)
+                at = done = 0
+                while at < len(sizes):
+                    # up to the document that fills the shard
+                    to = min(len(sizes), int(np.searchsorted(ends, done + shard_tokens - held)) + 1)
+                    waiting.append((doc_ids[at:to], sizes[at:to], ids[done : ends[to - 1]]))
+                    held += int(ends[to - 1]) - done
+                    at, done = to, int(ends[to - 1])
                     if held >= shard_tokens:
                         yield shard()
-                        seq, held, ids, parts = seq + 1, 0, [], []
-        if parts:
+                        seq, held = seq + 1, 0
+                        waiting.clear()
+        if waiting:
             yield shard()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(build, SHARD_SCHEMA)
+    order = ["doc_id", "tie", "nth"]  # copies of a row differ in its place in the input alone
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.xxhash64("text").alias("tie"),
+        F.monotonically_increasing_id().alias("nth"),
+    )
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "text").mapInArrow(build, SHARD_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 21) -> None:
@@ -189,7 +199,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
     """The stored shards with the number of ids before each.  Totals are first summed within a
-    part; only one row per part (at most the shuffle partitions of the writer) meets in a task."""
+    part; only one row per part (at most the shuffle partitions of the writer) meets in a task.
+    Two numbers a shard are broadcast, or joined where there are more than ``BROADCAST_SHARDS``."""
     table = spark.read.schema(SHARD_SCHEMA).parquet(path)
     sizes = table.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -201,7 +212,8 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
         .join(parts, "part")
         .select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("shard_start"))
     )
-    return table.join(starts, ["part", "seq"])
+    few = sizes.count() <= BROADCAST_SHARDS
+    return table.join(F.broadcast(starts) if few else starts, ["part", "seq"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
