@@ -13,18 +13,35 @@ def test_phrases_against_every_pair(spark):
     bits = ["sql", "c++", "c", "rest", "api", "apis", "é", "+", "go", "node.js", "a1"]
     texts = [(i, " ".join(random.choices(bits, k=6))) for i in range(60)] + [(60, None), (61, "")]
     phrases = ["sql", "C++", "rest api", "+", "é", "absent", "go go", "SQL"]
-    got = matching.phrase_matches(
-        spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
-    )
-    found = {(r.text_id, r.phrase) for r in got.collect()}
+    t, p = spark.createDataFrame(texts + texts[:1], "text_id int, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
     rule = lambda t, p: re.search(r"(?<![a-z0-9])" + re.escape(p.lower()) + r"(?![a-z0-9])", t.lower())
-    assert found == {(i, p) for i, t in texts if t for p in phrases if rule(t, p)}
+    want = sorted((i, p) for i, t in texts + texts[:1] if t for p in phrases if rule(t, p))
+    for limit in (1000, 0):  # phrases to every executor, and joined by word
+        assert sorted((r.text_id, r.phrase) for r in matching.phrase_matches(t, p, broadcast=limit).collect()) == want
+
+
+def test_hot_words_are_split(spark, monkeypatch):
+    monkeypatch.setattr(matching, "HOT_WORD", 7)
+    t = spark.createDataFrame([(i, f"data text {i}") for i in range(50)], "text_id int, text string")
+    p = spark.createDataFrame([("data",), ("text 7",)], "phrase string")
+    got = matching.phrase_matches(t, p, broadcast=0).groupBy("phrase").count().collect()
+    assert {tuple(r) for r in got} == {("data", 50), ("text 7", 1)}
+
+
+def test_jobs_rank_by_sets(spark):
+    jobs = [(k, k, s) for k, s in enumerate([["A", "b"], ["b", "a"], ["c"], ["a"], [], ["a", "a"]])]
+    jobs = spark.createDataFrame(jobs, "job_id int, pos int, skills array<string>")
+    mine = spark.createDataFrame([(1, ["a", "B"]), (2, ["b", "a", "A"]), (3, []), (4, ["c"])], "profile_id int, skills array<string>")
+    got = {(r.profile_id, r.place, r.job_id, r.matched) for r in matching.ranked_jobs(jobs, mine, top=2).collect()}
+    assert got == {(1, 1, 0, 2), (1, 2, 1, 2), (2, 1, 0, 2), (2, 2, 1, 2), (4, 1, 2, 1)}
+    assert matching.ranked_jobs(jobs, mine).filter("profile_id = 1").count() == 4
 
 
 def test_phrase_plan_has_no_nested_loop(spark):
     t = spark.createDataFrame([(1, "a b")], "text_id int, text string")
     p = spark.createDataFrame([("a",)], "phrase string")
-    assert "NestedLoop" not in matching.phrase_matches(t, p)._jdf.queryExecution().executedPlan().toString()
+    for df in (matching.phrase_matches(t, p), matching.skill_frequency(t.withColumnRenamed("text_id", "posting_id"), p)):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def person(spark, **over):

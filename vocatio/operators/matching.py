@@ -1,8 +1,8 @@
 """Profiles against demand: which asked-for skills a profile supports, and by what.
 
-Phrases meet texts on words, not by comparing every pair: a text is exploded to its different
-words, a phrase is keyed by its rarest word in the texts, and only pairs that share that word are
-verified.  A verified phrase always has its key as a word of the text, so nothing is lost.
+Phrases meet texts on words, not by comparing every pair: a phrase is keyed by one of its words, a
+text by all of its different ones, and only pairs that share a key are verified.  A verified phrase
+always has its key in the text, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -14,37 +14,54 @@ from vocatio.functions.text import slug, stands_alone, trimmed
 
 WORD = r"[a-z0-9]+"
 TIERS = ("verified", "coursework", "transferable", "not_verified")
+BROADCAST_PHRASES = 100_000
+HOT_WORD = 1_000_000
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)))
 
 
 def words_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
+    return _parts(text, WORD)
 
 
-def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Pairs of ``texts`` (text_id, text, ...) and ``phrases`` (phrase, ...) where the phrase stands
-    alone in the text; all columns of both.  ``on``: columns that must be equal besides.
+def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None = None, broadcast: int = BROADCAST_PHRASES) -> DataFrame:
+    """Pairs of ``texts`` (text, ...) and ``phrases`` (phrase, ...) where the phrase stands alone in
+    the text; all columns of both.  The empty phrase and null text match nothing.
 
-    A phrase without a letter or digit meets texts on its first sign.  The empty phrase matches
-    nothing.
+    ``on``: columns that must be equal besides; a value of theirs has few phrases (the skills that a
+    role asks for), so each text meets all of them.  Without it, up to ``broadcast`` phrases go to
+    every executor, and texts never move.  More of them are joined by word with the texts' hashes,
+    hot words split over several tasks; a text moves once, to its candidates.
     """
-    on = on or []
-    different = phrases.select("phrase").distinct()
-    parts = different.select("phrase", F.explode(words_of(F.col("phrase"))).alias("word"))
+    phrases = phrases.filter("phrase <> ''")
+    if on:
+        met = texts.join(phrases, on).filter(F.contains(F.lower("text"), F.lower("phrase")))
+        return met.filter(stands_alone(F.col("text"), F.col("phrase")))
+    # a phrase without a letter or digit meets texts on its first sign
+    keys = F.explode(_parts(F.col("text"), WORD + "|[^a-z0-9]"))
+    first_sign = F.substring(F.lower("phrase"), 1, 1)
+    if phrases.count() <= broadcast:
+        longest = F.array_max(F.transform(words_of(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        keyed = phrases.withColumn("_word", F.coalesce(longest, first_sign))
+        met = texts.withColumn("_word", keys).join(F.broadcast(keyed), "_word").drop("_word")
+        return met.filter(stands_alone(F.col("text"), F.col("phrase")))
+    own = words_of(F.col("phrase"))
+    parts = phrases.select("phrase", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(first_sign))).alias("_word")).distinct()
+    hashed = texts.withColumn("_text", F.xxhash64("text"))
+    ids = hashed.select("_text", keys.alias("_word")).distinct()
     # only words of phrases are counted, so that a text's other words stop before the shuffle
-    word = texts.select(F.explode(words_of(F.col("text"))).alias("word")).join(parts.select("word").distinct(), "word", "left_semi")
-    word = word.groupBy("word").agg(F.count("*").alias("df"))
-    # a phrase with a word that no text has cannot match
-    keyed = parts.join(word, "word", "left").groupBy("phrase").agg(
-        F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word")
-    )
-    keyed = phrases.join(keyed, "phrase")
-    exploded = texts.withColumn("word", F.explode(words_of(F.col("text"))))
-    met = exploded.join(keyed, [*on, "word"]).drop("word")
-    signs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[^a-z0-9]"), F.lit(0)))
-    bare = phrases.filter((F.size(words_of(F.col("phrase"))) == 0) & (F.col("phrase") != ""))
-    bare = bare.withColumn("word", F.substring(F.lower("phrase"), 1, 1))
-    rest = texts.withColumn("word", F.explode(signs)).join(bare, [*on, "word"]).drop("word")
-    return met.unionByName(rest).filter(stands_alone(F.col("text"), F.col("phrase")))
+    known = ids.join(parts.select("_word").distinct(), "_word", "left_semi")
+    df = known.groupBy("_word").agg(F.count("*").alias("df"))
+    rarest = parts.join(df, "_word", "left").groupBy("phrase").agg(F.min_by("_word", F.struct(F.coalesce("df", F.lit(0)), "_word")).alias("_word"))
+    salts = F.broadcast(df.filter(F.col("df") > HOT_WORD).select("_word", F.ceil(F.col("df") / HOT_WORD).cast("int").alias("_salts")))
+    n = F.coalesce("_salts", F.lit(1))
+    left = ids.join(salts, "_word", "left").withColumn("_salt", F.pmod(F.col("_text"), n).cast("int"))
+    right = rarest.join(salts, "_word", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    pairs = left.join(right, ["_word", "_salt"]).select("_text", "phrase")
+    met = hashed.join(pairs, "_text").filter(stands_alone(F.col("text"), F.col("phrase"))).drop("_text")
+    return met.join(phrases, "phrase")
 
 
 def evidence_texts(profiles: DataFrame, experience: DataFrame, projects: DataFrame) -> DataFrame:
@@ -124,28 +141,43 @@ def demand_with_verdict(demand: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.coalesce("status", F.lit("not_verified")))
 
 
-def ranked_jobs(jobs: DataFrame, supported: DataFrame) -> DataFrame:
+def ranked_jobs(jobs: DataFrame, supported: DataFrame, top: int | None = None) -> DataFrame:
     """Jobs (job_id, pos, skills) for each profile by how many of their skills it supports
-    (profile_id, skills)."""
-    mine = supported.select("profile_id", F.transform("skills", lambda s: F.lower(s)).alias("mine"))
-    need = jobs.select("job_id", "pos", F.size("skills").alias("asked"), F.posexplode("skills").alias("n", "skill"))
-    need = need.withColumn("skill", F.lower("skill"))
-    hits = need.join(mine.select("profile_id", F.explode(F.array_distinct("mine")).alias("skill")), "skill")
-    hits = hits.groupBy("profile_id", "job_id", "pos", "asked").agg(F.count("*").alias("matched"))
-    order = Window.partitionBy("profile_id").orderBy(F.desc("matched"), "pos")
-    return hits.withColumn("place", F.row_number().over(order))
+    (profile_id, skills); ties by pos.  ``top``: only the first so many of each profile.
+
+    Profiles with equal skills get equal answers, and jobs with equal needs rank by pos, so sets of
+    skills are compared, not profiles and jobs: each different set of either side counts once, and
+    of jobs with one set only the ``top`` first are ranked.
+    """
+
+    def as_set(skills: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(F.transform(skills, lambda s: F.lower(s)), lambda s: s.isNotNull())))
+
+    mine = supported.select("profile_id", as_set(F.col("skills")).alias("mine"))
+    need = jobs.select("job_id", "pos", F.size("skills").alias("asked"), F.sort_array(F.transform("skills", lambda s: F.lower(s))).alias("need"))
+    if top is not None:
+        in_set = Window.partitionBy("need").orderBy("pos", "job_id")
+        need = need.withColumn("_n", F.row_number().over(in_set)).filter(F.col("_n") <= top).drop("_n")
+    sets = mine.select("mine").distinct().select("mine", F.explode("mine").alias("skill"))
+    asks = need.select("need").distinct().select("need", F.posexplode("need").alias("n", "skill"))
+    met = sets.join(asks, "skill").groupBy("mine", "need").agg(F.count("*").alias("matched"))
+    hits = met.join(need, "need")
+    order = Window.partitionBy("mine").orderBy(F.desc("matched"), "pos", "job_id")
+    hits = hits.withColumn("place", F.row_number().over(order))
+    if top is not None:
+        hits = hits.filter(F.col("place") <= top)
+    return mine.join(hits, "mine").select("profile_id", "job_id", "pos", "asked", "matched", "place")
 
 
 def skill_frequency(postings: DataFrame, skills: DataFrame) -> DataFrame:
     """Share of ``postings`` (posting_id, text) that name each skill (phrase), ranked."""
     texts = postings.select(F.col("posting_id").alias("text_id"), "text")
     hits = phrase_matches(texts, skills.select("phrase")).groupBy("phrase").agg(F.count_distinct("text_id").alias("n_postings"))
-    total = postings.agg(F.count_distinct("posting_id").alias("n_all"))
-    share = F.when(F.col("n_all") > 0, F.round(F.col("n_postings") / F.col("n_all"), 6)).otherwise(0.0)
+    total = postings.agg(F.count_distinct("posting_id")).first()[0]
+    share = F.round(F.col("n_postings") / total, 6) if total else F.lit(0.0)
     every = skills.select("phrase").distinct().join(hits, "phrase", "left").fillna(0, ["n_postings"])
     rank = F.row_number().over(Window.orderBy(F.desc("n_postings"), "phrase"))  # a row per skill
-    rows = every.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return rows.select("phrase", "n_postings", share.alias("frequency"), rank.alias("rank"))
+    return every.select("phrase", "n_postings", share.alias("frequency"), rank.alias("rank"))
 
 
 def tagged(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -72,11 +72,10 @@ def cascade(*tiers: DataFrame) -> DataFrame:
 
 def tier_quality(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """method, n, correct, precision, recall against ``truth`` (posting_id, code)."""
-    total = truth.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
+    total = F.lit(truth.count())
     joined = predicted.join(truth.withColumnRenamed("code", "truth"), "posting_id")
     by = joined.groupBy("method").agg(F.count("*").alias("n"), F.count_if(F.col("code") == F.col("truth")).alias("correct"))
-    by = by.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-    return by.select("method", "n", "correct", F.round(F.col("correct") / F.col("n"), 6).alias("precision"), F.round(F.col("correct") / F.col("total"), 6).alias("recall"))
+    return by.select("method", "n", "correct", F.round(F.col("correct") / F.col("n"), 6).alias("precision"), F.round(F.col("correct") / total, 6).alias("recall"))
 
 
 def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_INDEX = 1000
+MAX_INDEX = 500
 
 # Patterns of role texts in order of precedence, and their keys.
 ROLE_KEYS = [
@@ -51,15 +51,19 @@ def keyed(roles: DataFrame, index: DataFrame) -> DataFrame:
 
 def local_hits(queries: DataFrame, index: DataFrame, limit: int = 8) -> DataFrame:
     """First ``limit`` index entries, in index order, whose name or alternate contains the query.
-    The index is a short hand-kept list: it is broadcast, and refused beyond ``MAX_INDEX`` rows."""
+    The index is a short hand-kept list: it becomes a literal, and is refused beyond ``MAX_INDEX`` rows."""
     if index.count() > MAX_INDEX:
         raise ValueError(f"the index has more than {MAX_INDEX} rows")
-    entry = F.broadcast(index.withColumn("_k", F.lit(1)))
-    rows = queries.withColumn("_k", F.lit(1)).join(entry, "_k").drop("_k")
-    q = F.lower("query")
-    hit = F.contains(F.lower("name"), q) | F.exists("alternates", lambda a: F.contains(F.lower(a), q))
-    found = F.slice(F.sort_array(F.collect_list(F.struct("pos", "name"))), 1, limit)
-    return rows.filter(hit).groupBy("query_id").agg(F.transform(found, lambda x: x["name"]).alias("names"))
+    rows = index.select("pos", "name", F.coalesce("alternates", F.array().cast("array<string>")).alias("alternates")).orderBy("pos", "name").collect()
+    lower = lambda s: F.lower(F.lit(s))
+    entries = [
+        F.struct(F.lit(r["name"]).alias("name"), F.array(*[lower(s) for s in (r["name"], *r["alternates"])]).alias("forms")) for r in rows
+    ]
+    if not entries:
+        return queries.filter(F.lit(False)).select("query_id", F.array().cast("array<string>").alias("names"))
+    hits = F.filter(F.array(*entries), lambda e: F.exists(e["forms"], lambda f: F.contains(f, F.lower("query"))))
+    names = F.slice(F.transform(hits, lambda e: e["name"]), 1, limit)
+    return queries.select("query_id", names.alias("names")).filter(F.size("names") > 0)
 
 
 def analysed(role_key: str, frequencies: DataFrame, n: int = 10) -> DataFrame:

@@ -106,7 +106,7 @@ FROM ({plain(PROFILES)}) p JOIN ({DEMAND}) d USING (role_key) LEFT JOIN ({MARKET
 """
 
 _JOBS = """
-SELECT p_partkey AS job_id, p_partkey AS pos, p_partkey % 12 AS a, (p_partkey * 7 + 3) % 12 AS b FROM @part WHERE p_size = 1
+SELECT p_partkey AS job_id, p_partkey AS pos, p_partkey % 12 AS a, (p_partkey * 7 + 3) % 12 AS b FROM @part
 """
 
 
@@ -114,7 +114,7 @@ def job_ranking(spark, sf_dir):
     names = F.array(*map(F.lit, SKILLS))
     jobs = derived(spark, sf_dir, _JOBS).select("job_id", "pos", F.array(F.upper(F.get(names, F.col("a").cast("int"))), F.get(names, F.col("b").cast("int"))).alias("skills"))
     mine = _matches(spark, sf_dir).filter("status <> 'not_verified'").groupBy("profile_id").agg(F.collect_list("skill").alias("skills"))
-    return matching.ranked_jobs(jobs, mine).filter("place <= 5").select("profile_id", "place", "job_id", "asked", "matched")
+    return matching.ranked_jobs(jobs, mine, top=5).select("profile_id", "place", "job_id", "asked", "matched")
 
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in SKILLS) + "]"
