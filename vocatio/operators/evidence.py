@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vocatio.functions.text import norm, stands_alone, trimmed, unsupported_numbers
 from vocatio.operators.matching import phrase_matches
+from vocatio.plans.stored import written
 
 EDUCATION = ("institution", "degree", "degree_level", "major", "minor", "concentration", "graduation_date", "expected_graduation_date", "gpa")
 
@@ -72,6 +73,7 @@ def judged(claims: DataFrame, evidence: DataFrame, matches: DataFrame, profiles:
     missing skill that the cited evidence does not name; no figure that it does not state; then, by
     section, the exact wording, the admissible skill, and no repetition of an earlier kept claim.
     """
+    matches = written(matches.select("profile_id", "rank", "skill", "status", "evidence"), "matches")
     c = claims.filter(trimmed(F.coalesce("text", F.lit(""))) != "").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     cited = c.select("claim_id", "profile_id", F.posexplode("evidence").alias("n", "evidence_id"))
     looked = cited.join(evidence, ["profile_id", "evidence_id"], "left")
@@ -80,7 +82,7 @@ def judged(claims: DataFrame, evidence: DataFrame, matches: DataFrame, profiles:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("n", "text")))), lambda x: x["text"]), " ").alias("evidence_text"),
         F.flatten(F.collect_list(F.coalesce("forms", F.array().cast("array<string>")))).alias("forms"),
     )
-    c = c.join(by, "claim_id", "left")
+    c = written(c.join(by, "claim_id", "left"), "cited-claims")
     gaps = matches.filter("status = 'not_verified'").select("profile_id", F.col("skill").alias("phrase")).distinct()
     named = phrase_matches(c.select("claim_id", "profile_id", "text", "evidence_text"), gaps, ["profile_id"])
     leaks = named.filter(~stands_alone(F.col("evidence_text"), F.col("phrase"))).select("claim_id", F.lit(True).alias("leak")).distinct()

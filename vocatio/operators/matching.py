@@ -36,17 +36,17 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     hot words split over several tasks; a text moves once, to its candidates.
     """
     phrases = phrases.filter("phrase <> ''")
+    # the plain search comes first: most candidates end there, before a pattern is made for them
+    named = F.when(F.contains(F.lower("text"), F.lower("phrase")), stands_alone(F.col("text"), F.col("phrase"))).otherwise(False)
     if on:
-        met = texts.join(phrases, on).filter(F.contains(F.lower("text"), F.lower("phrase")))
-        return met.filter(stands_alone(F.col("text"), F.col("phrase")))
+        return texts.join(phrases, on).filter(named)
     # a phrase without a letter or digit meets texts on its first sign
     keys = F.explode(_parts(F.col("text"), WORD + "|[^a-z0-9]"))
     first_sign = F.substring(F.lower("phrase"), 1, 1)
     if phrases.count() <= broadcast:
         longest = F.array_max(F.transform(words_of(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
         keyed = phrases.withColumn("_word", F.coalesce(longest, first_sign))
-        met = texts.withColumn("_word", keys).join(F.broadcast(keyed), "_word").drop("_word")
-        return met.filter(stands_alone(F.col("text"), F.col("phrase")))
+        return texts.withColumn("_word", keys).join(F.broadcast(keyed), "_word").drop("_word").filter(named)
     own = words_of(F.col("phrase"))
     parts = phrases.select("phrase", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(first_sign))).alias("_word")).distinct()
     hashed = texts.withColumn("_text", F.xxhash64("text"))
@@ -60,7 +60,7 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     left = ids.join(salts, "_word", "left").withColumn("_salt", F.pmod(F.col("_text"), n).cast("int"))
     right = rarest.join(salts, "_word", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
     pairs = left.join(right, ["_word", "_salt"]).select("_text", "phrase")
-    met = hashed.join(pairs, "_text").filter(stands_alone(F.col("text"), F.col("phrase"))).drop("_text")
+    met = hashed.join(pairs, "_text").filter(named).drop("_text")
     return met.join(phrases, "phrase")
 
 
