@@ -7,7 +7,10 @@ work is linear in the text.
 
 Kinds, in the order that breaks ties between spans with one start: email, ip, card and phone (the
 base kinds), then ``address`` (a scheme followed by user information and a host) and ``account``
-(an identifier of six digits or more right after a cue word such as IBAN or passport).
+(an identifier right after a cue word such as IBAN or passport).  A cue stands alone, and its kind
+says how the identifier is written and checked: IBANs by their check digits and length, social
+security numbers by their three groups, passports, tax and account numbers by their digits.  What
+follows must end there; words, years and dates are no identifiers.
 
 Null text counts as empty: no spans.  Offsets are code points, ends exclusive.  Rows are handled
 one by one, so repeated and null ids each keep their row.  An empty table gives an empty result.
@@ -35,8 +38,26 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z]")
 _AUTHORITY = re.compile(r"[^\s/?#@:]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]*[A-Za-z0-9]")
-_ACCOUNT = re.compile(r"(?: ?(?:no|nr|number|id)\.?)? ?[:#=]? ?([A-Z]{0,4}[0-9](?:[ -]?[A-Z0-9])*[0-9])", re.I)
-CUES = ("iban", "passport", "account", "acct", "konto", "compte", "cuenta", "social security", "ssn", "tax id")
+_LEAD = re.compile(r"(?: (?:no|nr|number|num|id)\b\.?)?(?: ?[:#=]){0,2} ?(?:is )?", re.I)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_PASSPORT = re.compile(r"[A-Z]{0,2}[0-9]{6,9}(?![A-Za-z0-9])")
+_SOCIAL = re.compile(r"(?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9])")
+_TAX = re.compile(r"(?:[0-9]{2}-[0-9]{7}|[0-9]{9,11})(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"(?:[0-9]{4}(?: [0-9]{4})+(?: [0-9]{1,4})?|[0-9]+(?:-[0-9]+)+|[0-9]{6,20})(?![A-Za-z0-9])")
+_DATES = re.compile(r"(?:19|20)[0-9]{2}(?:[ -](?:19|20)[0-9]{2}|-[0-9]{1,2}(?:-[0-9]{1,2})?)|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)?[0-9]{2}")
+#: Cue words, and the forms of what may follow them.
+CUES = {
+    "iban": (_IBAN,),
+    "passport": (_PASSPORT,),
+    "social security": (_SOCIAL,),
+    "ssn": (_SOCIAL,),
+    "tax id": (_TAX,),
+    "account": (_IBAN, _NUMBER),
+    "acct": (_IBAN, _NUMBER),
+    "konto": (_IBAN, _NUMBER),
+    "compte": (_IBAN, _NUMBER),
+    "cuenta": (_IBAN, _NUMBER),
+}
 
 
 @cache
@@ -50,8 +71,8 @@ def _anchors():
     found.add_word("+", "plus")
     found.add_word("://", "scheme")
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, "cue")
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title(), cue.title().replace(" Id", " ID"), cue.replace(" id", " ID")}:
+            found.add_word(form, cue)
     found.make_automaton()
     return found
 
@@ -74,6 +95,36 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+def iban(number: str) -> bool:
+    """15 to 34 letters and digits whose check digits hold."""
+    bare = number.replace(" ", "")
+    turned = bare[4:] + bare[:4]
+    return 15 <= len(bare) <= 34 and bare.isascii() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def _account(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The identifier that follows a cue which ends at ``at``."""
+    before = text[at - len(cue) - 1 : at - len(cue)]
+    if before.isalnum() or text[at : at + 1].isalnum():
+        return None
+    start = _LEAD.match(text, at).end()
+    if start == at:
+        return None
+    for form in CUES[cue]:
+        if not (m := form.match(text, start)):
+            continue
+        found = m[0]
+        if form is _IBAN:
+            while " " in found and not iban(found):  # words in capitals may follow
+                found = found.rpartition(" ")[0]
+            if not iban(found):
+                continue
+        elif form is _NUMBER and (not 6 <= len(_digits(found)) <= 20 or _DATES.fullmatch(found)):
+            continue
+        return start, start + len(found)
+    return None
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start, then kind."""
     if not text:
@@ -106,8 +157,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
             start = _left(text, last - 2, 0, _SCHEME)
             if start < last - 2 and (m := _AUTHORITY.match(text, last + 1)):
                 spans.append((start, m.end(), "address"))
-        elif (m := _ACCOUNT.match(text, last + 1)) and len(_digits(m[1])) >= 6:
-            spans.append((m.start(1), m.end(1), "account"))
+        elif (span := _account(text, last + 1, anchor)) is not None:
+            spans.append((*span, "account"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
