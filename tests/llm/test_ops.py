@@ -214,6 +214,62 @@ def test_forward_and_baum_welch():
         before = after
 
 
+def chained(model, t):
+    """Scaled forward-backward of one text, step by step: log10 likelihood and expected counts."""
+    k, n = len(model.first), len(t)
+    alpha, beta, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for i, x in enumerate(t):
+        alpha[i] = (alpha[i - 1] @ model.step if i else model.first) * model.emit[x]
+        scale[i] = alpha[i].sum()
+        alpha[i] /= scale[i]
+    for i in range(n - 2, -1, -1):
+        beta[i] = model.step @ (model.emit[t[i + 1]] * beta[i + 1]) / scale[i + 1]
+    steps = sum((alpha[i][:, None] * model.step * (model.emit[t[i + 1]] * beta[i + 1] / scale[i + 1])[None] for i in range(n - 1)), np.zeros((k, k)))
+    counts = np.zeros_like(model.emit)
+    np.add.at(counts, t, alpha * beta)
+    return np.log10(scale).sum(), (alpha[0] * beta[0], steps, counts)
+
+
+def test_segments_are_exact():
+    rng = np.random.default_rng(5)
+    norm = lambda a, axis: a / a.sum(axis, keepdims=True)
+    m = hmm.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)) ** 4, 1), norm(rng.random((6, 3)) ** 4, 0))
+    texts = [rng.integers(0, 6, n) for n in (1, 7, 3, 40, 6, 9, 100)]
+    want = [chained(m, t) for t in texts]
+    for segment in (1, 3, 7, 1000):
+        assert np.allclose(m.score(texts, segment), [w[0] for w in want])
+        for got, parts in zip(m.expected(texts, segment), zip(*(w[1] for w in want))):
+            assert np.allclose(got, sum(parts), rtol=1e-3, atol=1e-4)
+
+
+def test_hmm_scores_against_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 8)
+    monkeypatch.setattr(hmm, "SEGMENT", 16)
+    real = hmm.lexicon
+    monkeypatch.setattr(hmm, "lexicon", lambda counts, texts: real(counts, texts, 8, 5))
+    d = docs.select("doc_id", F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False)).alias("held_out"), "text").cache()
+    rows = [(r.doc_id, r.held_out, (r.text or "").encode().lower().split()) for r in d.collect()]
+    learned = [words for _, out, words in rows if not out]
+    counts = Counter(w for words in learned for w in words)
+    named = sorted(counts, key=lambda w: (-counts[w], w))[:5]
+    at = {w: i + 2 for i, w in enumerate(named)}
+    rest = [w for w in counts if w not in at]
+    rest_total, rest_distinct = sum(counts[w] for w in rest), len(rest)
+    symbols = lambda words: np.array([*(at.get(w, 1) for w in words), 0])
+    p = np.array([len(learned), rest_total, *(counts[w] for w in named)]) + 0.1
+    model = hmm.first_guess(p / p.sum(), 3)
+    for _ in range(3):
+        sums = [sum(x) for x in zip(*(chained(model, symbols(words))[1] for words in learned))]
+        model = hmm.re_estimated(model, p / p.sum(), *sums)
+    want = Counter()
+    for doc_id, _, words in rows:
+        share = sum(math.log10((counts[w] + 0.1) / (rest_total + 0.1 * (rest_distinct + 1))) for w in words if w not in at)
+        want[doc_id, round((chained(model, symbols(words))[0] + share) / (len(words) + 1), 3)] += 1
+    got = Counter((r["doc_id"], round(r["score"] / r["n_tokens"], 3)) for r in rows_of(hmm.scored(d, states=3, rounds=3)))
+    assert sum((want - got).values()) <= 2  # single precision may round a few apart
+    assert len(got) == len(want)
+
+
 def test_license_scan(spark, empty):
     long = license_scan.NOTICES[4][1].split()
     random.seed(0)
@@ -309,6 +365,33 @@ def test_personal_data(spark, docs, empty):
     assert pii.redact(empty).count() == 0
 
 
+def test_accounts_are_checked_and_end_where_they_end():
+    clean = [
+        "Your account 1 was opened by the client in 2019 at branch 44",
+        "account: 20 apples and 30 pears cost 4500 euro",
+        "the accountant 123456789 and my accounts 123456",
+        "account 2019-2020 and account 2021-05-12 were closed, account 2019 2020 too",
+        "iban DE89 3704 0044 0532 0130 01 is mistyped",
+        "ssn 000-12-3456 or ssn 666121234 or ssn 123-00-1234",
+        "passport no. office in paris on 12 may 2020",
+        "tax id 12345",
+    ]
+    for text in clean:
+        assert [s for s in pii.find_spans(text) if s[2] == "account"] == [], text
+    found = {
+        "passport no. 123456789 issued in paris on 12 may 2020": "123456789",
+        "IBAN: DE89 3704 0044 0532 0130 00 BANK": "DE89 3704 0044 0532 0130 00",
+        "Iban BE68 5390 0754 7034 THEN more": "BE68 5390 0754 7034",
+        "account number 12-345-678 is mine": "12-345-678",
+        "my acct #: 0012345678.": "0012345678",
+        "SSN 123-45-6789": "123-45-6789",
+        "Tax ID: 12-3456789": "12-3456789",
+        "social security number is 123456789": "123456789",
+    }
+    for text, want in found.items():
+        assert [text[a:b] for a, b, k in pii.find_spans(text) if k == "account"] == [want], text
+
+
 def test_language_code_lengths(spark, docs, empty):
     train = docs.filter("lang IS NOT NULL AND text <> ''").select("lang", "text")
     m = langid.train(train)

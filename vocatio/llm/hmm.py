@@ -2,11 +2,15 @@
 
 Symbols are the most frequent words, the text end and one class for all other words; a word of
 that class is further coded by its smoothed share of the class.  Baum-Welch trains the latent
-states: every task runs scaled forward-backward over its texts (in segments of ``SEGMENT`` words)
+states: in each of ``rounds`` passes every task runs scaled forward-backward over its whole texts
 and sends its expected counts, Spark sums them by symbol, and the driver normalizes the bounded
-model.  A few rounds on a bounded random sample of texts only give the first parameters; every
-parameter of the model is then re-estimated from all training texts in each of ``rounds`` passes.
-Scoring is the exact scaled forward recursion over the whole text.
+model.  Every pass covers every training text.  Scoring is the exact scaled forward recursion over
+the whole text.
+
+A text is worked on in segments of at most ``SEGMENT`` symbols.  The state probabilities before and
+after each segment are exact: products of the segment's step matrices, taken for all segments side
+by side, carry them over the borders.  So one very long text is no serial loop, and no step across a
+border is lost.
 
 Counts of the ``HEAD`` most frequent words (of at most ``LONGEST`` bytes) are broadcast; every other
 word of a text, once per text, is joined with the full count table.  Such words are rare by
@@ -34,7 +38,8 @@ from vocatio.llm import scratch
 HEAD = 400_000
 LONGEST = 64
 SYMBOLS = 16_384
-SEGMENT = 256
+SEGMENT = 1024
+RESCALE = 8  # steps between two scalings of a product
 ADD = 0.1
 CHUNK = 1 << 20  # words that a task works on at once
 
@@ -170,71 +175,119 @@ def encoded(docs: DataFrame, lex: Broadcast) -> DataFrame:
     return docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(run, ENCODED)
 
 
+class Segments:
+    """Texts (sequences of symbols) cut to segments of at most ``size`` symbols."""
+
+    def __init__(self, texts: list[np.ndarray], size: int):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.flat = np.concatenate(texts).astype(np.int64)
+        n = -(-lengths // size)
+        self.text = np.repeat(np.arange(len(texts)), n)
+        inside = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
+        self.start = np.repeat(np.cumsum(lengths) - lengths, n) + inside * size
+        self.size = np.minimum(size, np.repeat(lengths, n) - inside * size)
+        self.opens = inside == 0
+        self.closes = np.append(self.opens[1:], True)
+
+    def blocks(self, some: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Segments ``some`` in blocks of about ``limit`` symbols, longest first, each with the number
+        of its segments that are still running at every step."""
+        some = some[np.argsort(-self.size[some], kind="stable")]
+        at = 0
+        while at < len(some):
+            longest = int(self.size[some[at]])
+            block = some[at : at + max(1, limit // longest)]
+            yield block, np.searchsorted(-self.size[block], -np.arange(longest), side="left")
+            at += len(block)
+
+
 @dataclass
 class Hmm:
     first: np.ndarray  # state probabilities at the start
     step: np.ndarray  # from row to column
     emit: np.ndarray  # symbol by state
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+    def _borders(self, s: Segments) -> tuple[np.ndarray, np.ndarray]:
+        """Per segment, the state probabilities before it given all before, and the (scaled)
+        likelihoods of all behind it by the state at its end."""
+        k = len(self.first)
+        before, behind = np.zeros((len(s.text), k)), np.ones((len(s.text), k))
+        some = np.flatnonzero(~(s.opens & s.closes))
+        product = np.zeros((len(s.text) if len(some) else 0, k, k))
+        for block, live in s.blocks(some, CHUNK // 4):
+            emitted = self.emit[s.flat[s.start[block]]]
+            now = np.where(s.opens[block, None, None], np.eye(k), self.step) * emitted[:, None, :]
+            for t in range(1, len(live)):
+                m = live[t]
+                ahead = (now[:m].reshape(-1, k) @ self.step).reshape(m, k, k)
+                np.multiply(ahead, self.emit[s.flat[s.start[block[:m]] + t]][:, None, :], out=now[:m])
+                if not t % RESCALE:
+                    now[:m] /= now[:m].sum((1, 2), keepdims=True)
+            product[block] = now / now.sum((1, 2), keepdims=True)
+        for j in some:
+            if not s.closes[j]:
+                reached = (self.first if s.opens[j] else before[j]) @ product[j]
+                before[j + 1] = reached / reached.sum()
+        for j in some[::-1]:
+            if not s.opens[j]:
+                reached = product[j] @ behind[j]
+                behind[j - 1] = reached / reached.sum()
+        return before, behind
+
+    def score(self, texts: list[np.ndarray], segment: int | None = None) -> np.ndarray:
         """Exact log10 likelihood of each sequence of symbols by the scaled forward recursion, all
-        texts in step."""
-        sizes = np.array([len(t) for t in texts])
-        order = np.argsort(-sizes, kind="stable")
-        flat = np.concatenate(texts).astype(np.int64) if texts else np.zeros(0, np.int64)
-        starts = (np.cumsum(sizes) - sizes)[order]
-        by_size = sizes[order]
-        out = np.zeros(len(texts))
-        live = len(texts)
-        alpha = np.tile(self.first, (live, 1))
-        for t in range(int(by_size[0]) if live else 0):
-            while by_size[live - 1] <= t:
-                live -= 1
-            alpha = (alpha[:live] @ self.step if t else alpha) * self.emit[flat[starts[:live] + t]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            out[order[:live]] += np.log10(scale)
-        return out
-
-    def expected(self, texts: list[np.ndarray], segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, steps, and symbols by state (Baum-Welch), each text cut
-        to segments that start from the model's first-state distribution."""
-        cuts = [t[k : k + segment] for t in texts for k in range(0, len(t), segment)]
-        opens = np.array([k == 0 for t in texts for k in range(0, len(t), segment)])
-        sizes = np.array([len(c) for c in cuts])
-        order = np.argsort(-sizes, kind="stable")
-        n, k = len(cuts), len(self.first)
-        longest = int(sizes.max())
-        obs = np.zeros((longest, n), np.int64)
-        for j, c in enumerate(order):
-            obs[: sizes[c], j] = cuts[c]
-        live = np.searchsorted(-sizes[order], -np.arange(longest), side="left")  # still running at t
+        segments in step."""
+        if not texts:
+            return np.zeros(0)
+        s = Segments(texts, segment or SEGMENT)
+        before, _ = self._borders(s)
+        logs = np.zeros(len(s.text))
+        for block, live in s.blocks(np.arange(len(s.text)), CHUNK):
+            now = np.where(s.opens[block, None], self.first, before[block] @ self.step)
+            for t, m in enumerate(live):
+                now = (now[:m] @ self.step if t else now) * self.emit[s.flat[s.start[block[:m]] + t]]
+                scale = now.sum(1)
+                now /= scale[:, None]
+                logs[block[:m]] += np.log10(scale)
+        return np.bincount(s.text, logs, len(texts))
+
+    def expected(self, texts: list[np.ndarray], segment: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of first states, steps, and symbols by state (Baum-Welch)."""
+        k, v = len(self.first), len(self.emit)
+        firsts, steps, counts = np.zeros(k), np.zeros((k, k)), np.zeros((v, k))
+        s = Segments(texts, segment or SEGMENT)
+        before, behind = self._borders(s)
         step, emit = self.step.astype(np.float32), self.emit.astype(np.float32)
-        alpha = np.zeros((longest, n, k), np.float32)
-        scale = np.ones((longest, n), np.float32)
-        now = np.tile(self.first.astype(np.float32), (n, 1))
-        for t in range(longest):
-            m = live[t]
-            now = (now[:m] @ step if t else now[:m]) * emit[obs[t, :m]]
-            scale[t, :m] = now.sum(1)
-            now /= scale[t, :m, None]
-            alpha[t, :m] = now
-        steps = np.zeros((k, k))
-        beta = np.ones((n, k), np.float32)
-        for t in range(longest - 1, -1, -1):
-            m = live[t]
-            if t + 1 < longest and live[t + 1]:
-                r = live[t + 1]
-                out = emit[obs[t + 1, :r]] * beta[:r] / scale[t + 1, :r, None]
-                steps += alpha[t, :r].T @ out
-                beta[:r] = out @ step.T
-            alpha[t, :m] *= beta[:m]  # now the posterior of the states
-        steps *= self.step
-        used = np.arange(n)[None, :] < live[:, None]
-        posterior, symbol = alpha[used], obs[used]
-        counts = np.stack([np.bincount(symbol, posterior[:, s], len(emit)) for s in range(k)], 1)
-        firsts = alpha[0][opens[order]].sum(0, dtype=np.float64)
-        return firsts, steps, counts
+        for block, live in s.blocks(np.arange(len(s.text)), CHUNK // 2):
+            n, longest, sizes, opens = len(block), len(live), s.size[block], s.opens[block]
+            obs = np.zeros((longest, n), np.int64)
+            for t, m in enumerate(live):
+                obs[t, :m] = s.flat[s.start[block[:m]] + t]
+            alpha = np.zeros((longest, n, k), np.float32)
+            scale = np.ones((longest, n), np.float32)
+            now = np.where(opens[:, None], self.first, before[block] @ self.step).astype(np.float32)
+            for t, m in enumerate(live):
+                now = (now[:m] @ step if t else now) * emit[obs[t, :m]]
+                scale[t, :m] = now.sum(1)
+                now /= scale[t, :m, None]
+                alpha[t, :m] = now
+            beta = behind[block].astype(np.float32)
+            beta /= (alpha[sizes - 1, np.arange(n)] * beta).sum(1, keepdims=True)
+            for t in range(longest - 1, -1, -1):
+                m = live[t]
+                if t + 1 < longest and live[t + 1]:
+                    r = live[t + 1]
+                    out = emit[obs[t + 1, :r]] * beta[:r] / scale[t + 1, :r, None]
+                    steps += alpha[t, :r].T @ out
+                    beta[:r] = out @ step.T
+                alpha[t, :m] *= beta[:m]  # now the posterior of the states
+            out = emit[obs[0]] * beta / scale[0][:, None]
+            steps += before[block[~opens]].T @ out[~opens]
+            used = np.arange(n)[None, :] < live[:, None]
+            posterior, symbol = alpha[used], obs[used]
+            counts += np.stack([np.bincount(symbol, posterior[:, j], v) for j in range(k)], 1)
+            firsts += alpha[0][opens].sum(0, dtype=np.float64)
+        return firsts, steps * self.step, counts
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list]:
@@ -286,43 +339,25 @@ def _sum_counts(obs: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.
     return total[v + k], total[v : v + k], total[:v]
 
 
-def first_guess(unigram: np.ndarray, states: int, seed: int = 7) -> Hmm:
+def first_guess(unigram: np.ndarray, states: int, stay: float = 0.95, seed: int = 7) -> Hmm:
+    """Random emissions around the unigram, and states that mostly stay: texts then draw the states
+    apart within a few passes, where free steps would need dozens."""
     rng = np.random.default_rng(seed)
-    emit = unigram[:, None] * rng.gamma(0.5, 2.0, (len(unigram), states)) + unigram[:, None] * 0.05
-    step = np.full((states, states), 1.0 / states) + 0.2 * rng.random((states, states))
+    emit = unigram[:, None] * (rng.exponential(1.0, (len(unigram), states)) + 0.05)
+    step = np.full((states, states), (1.0 - stay) / states) + stay * np.eye(states)
     return Hmm(np.full(states, 1.0 / states), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(
-    obs: DataFrame, lex: Lexicon, states: int = 8, rounds: int = 2, warm_rounds: int = 12, warm_tokens: int = 1_000_000
-) -> Hmm:
-    """Baum-Welch over all rows of ``obs`` (obs).  The ``warm_rounds`` run in one task on a random
-    sample of about ``warm_tokens`` symbols."""
+def train(obs: DataFrame, lex: Lexicon, states: int = 8, rounds: int = 4) -> Hmm:
+    """Baum-Welch over all rows of ``obs`` (obs), ``rounds`` times."""
     unigram = lex.unigram()
     model = first_guess(unigram, states)
-    if not lex.total:
-        return model
-    share = min(1.0, warm_tokens / lex.total)
-    picked = F.pmod(F.xxhash64("obs"), F.lit(1 << 30)) < int(share * (1 << 30))
-
-    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [g[0] for group in _groups(batches, CHUNK) for g in group]
-        now = model
-        for _ in range(warm_rounds if texts else 0):
-            now = re_estimated(now, unigram, *now.expected(texts))
-        flat = np.concatenate([now.first, now.step.ravel(), now.emit.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["parameters"])
-
-    got = obs.filter(picked).coalesce(1).mapInArrow(warm, "parameters array<double>").toArrow()
-    flat = np.array(got.column(0)[0].as_py())
-    k = states
-    model = Hmm(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(-1, k))
-    for _ in range(rounds):
+    for _ in range(rounds if lex.total else 0):
         model = re_estimated(model, unigram, *_sum_counts(obs, model))
     return model
 
 
-def scored(docs: DataFrame, states: int = 8, rounds: int = 2) -> DataFrame:
+def scored(docs: DataFrame, states: int = 8, rounds: int = 4) -> DataFrame:
     """Every row of ``docs`` (doc_id, held_out, text), the model learned from those not held out:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
