@@ -119,11 +119,29 @@ class _Ranks(dict):
 
 
 def lexicon(counts: DataFrame, texts: int, head: int = HEAD, symbols: int = SYMBOLS) -> Lexicon:
+    """The ``head`` words first by count, then by bytes.  Words are first counted by the size class of
+    their counts, so that only the class in which the head ends is ordered, and no task meets all
+    words."""
     sums = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head).toArrow()
-    n = top.column("n").to_numpy().astype(np.int64)
+    sized = counts.filter(F.length("word") <= LONGEST).withColumn("class", F.floor(16 * F.log2("n")).cast("int"))
+    classes = sorted(sized.groupBy("class").count().collect(), key=lambda r: -r["class"])  # 16 an octave
+    whole, last, room = [], None, head
+    for c, n in classes:
+        if n > room:
+            last = c
+            break
+        whole.append(c)
+        room -= n
+    rows = []
+    if whole:
+        rows.append(sized.filter(F.col("class") >= whole[-1]).select("word", "n").toArrow())
+    if last is not None and room:
+        rows.append(sized.filter(F.col("class") == last).orderBy(F.desc("n"), "word").limit(room).select("word", "n").toArrow())
+    words = [w for t in rows for w in t.column("word").to_pylist()]
+    n = np.concatenate([np.zeros(0, np.int64), *(t.column("n").to_numpy() for t in rows)])
+    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
     distinct = sums[1] + (texts > 0)
-    return Lexicon(top.column("word").to_pylist(), n, texts, (sums[0] or 0) + texts, distinct, symbols)
+    return Lexicon([words[k] for k in order], n[order], texts, (sums[0] or 0) + texts, distinct, symbols)
 
 
 ENCODED = (
