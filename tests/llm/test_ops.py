@@ -550,7 +550,7 @@ def test_simhash(spark, docs, empty):
     assert simhash.grouped(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
-def test_links_lose_nothing(spark):
+def test_links_lose_nothing(spark, monkeypatch):
     """Chains and clusters of fingerprints, also through lists that are dealt out in blocks."""
     random.seed(9)
     fps = set()
@@ -564,8 +564,10 @@ def test_links_lose_nothing(spark):
     of = slow_components(fps)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    for block in (4, 2048):
-        label = {r.node: r.root for r in simhash.components(simhash.links(df, 4, block)).collect()}
+    df = df.withColumn("first", F.when(F.col("fp") % 7 != 0, F.abs(F.col("fp") % 1000)))
+    for block, limit in ((4, 10**6), (2048, 10**6), (4, 0)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        label = {r.node: r.root.fp for r in simhash.components(simhash.links(df, 4, block), df).collect()}
         groups = {}
         for f in fps:
             groups.setdefault(of[f], set()).add(label.get(signed(f), signed(f)))

@@ -6,8 +6,9 @@ their positions.  Postings are keyed by the bytes at three positions, one key fo
 positions of a family that meets every possible set of shared positions (20 triples for four
 bits).  In a posting list shared positional bytes are tallied per pair, pairs under the guaranteed
 minimum are dropped, the rest is verified bit by bit, and the list's links are written as a
-spanning forest: no list emits its pairs.  A list longer than ``block`` is dealt out as pairs of
-blocks, so that no task holds more than two blocks.
+spanning forest: no list emits its pairs.  A list longer than ``block`` is split by each of the five
+other positions (two fingerprints that share four bytes share one of those besides the three), and
+what is longer still is dealt out as pairs of blocks, so that no task holds more than two blocks.
 
 Only distinct fingerprints enter the index; copies follow their fingerprint.  Null and empty texts
 have fingerprint zero and link like any other.  Null ids are carried along and are no group's
@@ -21,13 +22,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio.llm import scratch
 
 SHINGLE = 4
 SEED = 42
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -106,21 +108,32 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints of ``fps`` (column fp) that keep every
     component of the link relation together."""
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    keys = []
+    keys, width = [], len(position_sets(max_bits)[0])
     for n, positions in enumerate(position_sets(max_bits)):
         key = F.lit(n).cast("long")
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte[p])
         keys.append(key)
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    met = postings.join(shared, "key").select("key", "fp", blocks.alias("blocks"))
+    long = scratch.written(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "long-lists")
+    long = small(long.select("key"))  # at most rows * keys / block
+    taken = F.get(F.array(*[F.lit(sum(1 << p for p in t)) for t in position_sets(max_bits)]), F.shiftright("key", 8 * width).cast("int"))
+    fourth = F.array(*[F.struct(F.lit(1 << p).alias("bit"), (F.lit(p << 8) + byte[p]).alias("at")) for p in range(8)])
+    fourth = F.filter(fourth, lambda x: x["bit"].bitwiseAND(taken) == 0)
+    split = postings.join(long, "key", "left_semi").select("fp", "key")
+    if 8 - max_bits > width:
+        split = split.select("fp", "key", F.explode(fourth).alias("x"))
+        split = split.select("fp", (F.shiftleft("key", 11) + F.col("x.at") + F.lit(1 << 60)).alias("key"))
+    blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
+    longer = scratch.written(split.groupBy("key").agg(blocks).filter("blocks > 1"), "longer-lists")
+    met = postings.join(long, "key", "left_anti").select("fp", "key", F.lit(1).alias("blocks"))
+    met = met.unionByName(split.join(small(longer), "key", "left").select("fp", "key", F.coalesce("blocks", F.lit(1)).alias("blocks")))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = met.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lists = met.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list("fp").alias("fps")
     )
+    lists = lists.filter(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,19 +154,31 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     return lists.select("fps").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for the nodes of ``edges`` (a, b): minimum
-    labels pass along edges and jump to their label's label until nothing changes."""
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast where it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and root for the nodes of ``edges`` (a, b): root is the least (none, first, fp) of its
+    component, by the ids of ``nodes`` (fp, first), null last.  Least labels pass along edges and jump
+    to their label's label until nothing changes."""
     both = scratch.written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    own = nodes.select(F.col("fp").alias("node"), F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("own"))
+
+    def heard(labels: DataFrame) -> DataFrame:
+        met = both.join(labels.select(F.col("node").alias("b"), F.col(labels.columns[1]).alias("r")), "b")
+        return met.groupBy(F.col("a").alias("node")).agg(F.min("r").alias("heard"))
+
+    label = own.join(heard(own), "node").select("node", F.least("own", "heard").alias("root"))
     label = scratch.written(label, "labels")
     while True:
-        heard = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b")
-        heard = heard.groupBy(F.col("a").alias("node")).agg(F.min("r").alias("heard"))
-        lower = label.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low"))
+        lower = label.join(heard(label), "node").select("node", "root", F.least("root", "heard").alias("low"))
         lower = scratch.written(lower, "labels")
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        moved = lower.join(jump, "low", "left").select("node", "root", F.least("low", F.coalesce("next", "low")).alias("low"))
+        met = lower.select(F.col("low.fp").alias("node")).distinct()  # labels that are met, each once
+        jump = scratch.written(lower.join(met, "node", "left_semi").select(F.col("node").alias("at"), F.col("low").alias("next")), "jumps")
+        moved = lower.join(small(jump), F.col("low.fp") == F.col("at"), "left")
+        moved = moved.select("node", "root", F.least("low", F.coalesce("next", "low")).alias("low"))
         moved = scratch.written(moved, "labels")
         changed = not moved.filter("low <> root").isEmpty()
         label = moved.select("node", F.col("low").alias("root"))
@@ -165,11 +190,10 @@ def grouped(docs: DataFrame, max_bits: int = 4, shingle: int = SHINGLE) -> DataF
     """doc_id, tie, fp and component_id (the smallest doc_id of its group) of every row."""
     rows = scratch.written(fingerprints(docs, shingle), "fingerprints")
     first = scratch.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    label = components(scratch.written(links(first, max_bits), "links"))
+    label = components(scratch.written(links(first, max_bits), "links"), first)
     linked = first.join(label, F.col("fp") == F.col("node"), "left")
-    linked = linked.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = linked.join(smallest, "root").select("fp", "component_id")
+    smallest = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("root.first"))
+    of = linked.select("fp", smallest.alias("component_id"))
     return rows.join(scratch.written(of, "components"), "fp").select("doc_id", "tie", "fp", "component_id")
 
 
@@ -178,8 +202,16 @@ def deduplicated(docs: DataFrame, max_bits: int = 4, shingle: int = SHINGLE) ->
     (null before any other)."""
     found = scratch.written(grouped(docs, max_bits, shingle), "groups")
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("best")).select("best.*")
-    best = best.select(F.col("doc_id").alias("best_id"), F.col("tie").alias("best_tie"))
-    on = docs["doc_id"].cast("long").eqNullSafe(best["best_id"]) & (F.xxhash64(docs["text"]) == best["best_tie"])
-    kept = docs.join(best, on, "left_semi")
+
+    def same(left: DataFrame, tie: Column, right: DataFrame) -> Column:
+        return left["doc_id"].cast("long").eqNullSafe(right["other_id"]) & (tie == right["other_tie"])
+
+    def others(table: DataFrame) -> DataFrame:
+        return table.select(F.col("doc_id").alias("other_id"), F.col("tie").alias("other_tie"))
+
+    best = others(best)
+    dropped = found.select("doc_id", "tie").join(best, same(found, found["tie"], best), "left_anti").distinct()
+    dropped = small(others(scratch.written(dropped, "dropped")))  # texts stay where they are if few are dropped
+    kept = docs.join(dropped, same(docs, F.xxhash64(docs["text"]), dropped), "left_anti")
     repeated = found.groupBy("doc_id", "tie").count().filter("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if not repeated.isEmpty() else kept
