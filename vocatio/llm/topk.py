@@ -30,6 +30,8 @@ BUCKET, BLOCK = 4096, 256
 COORDINATE_FROM = 0.6
 FOCUS = 4
 SLACK = 1e-9
+#: Rows that are broadcast at most: first buckets (one a dimension), and partitions of buckets.
+BROADCAST_FIRST, BROADCAST_PARTS = 8, 500_000
 ROWS = "id long, dim int, n int, longest double, ids binary, vectors binary"
 LONG = float(np.iinfo(np.int64).max)
 
@@ -71,6 +73,11 @@ def _gathered(rows: DataFrame, size: int, scale: float) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
+def _few(table: DataFrame, most: int) -> DataFrame:
+    """``table``, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Stored ids and the vectors that belong to them (of no component, where ``dim`` is 0)."""
     known = np.frombuffer(ids, "<i8")
@@ -151,9 +158,14 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -
     first = buckets.join(longest.select("id"), "id", "left_semi").select("dim", "ids", F.col("vectors").alias("v"))
     q = blocks.select(F.col("id").alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
     bounded = scratch.written(
-        q.join(first, "dim").mapInArrow(bounds, "block long, dim int, needed double, bounds binary"), "bounds"
+        q.join(_few(first, BROADCAST_FIRST), "dim").mapInArrow(bounds, "block long, dim int, needed double, bounds binary"), "bounds"
     )
-    pairs = bounded.select("block", "dim", "needed").join(buckets.select("id", "dim", "longest"), "dim")
+    # buckets were cut in order of length: a block asks the partitions that reach its bound, and meets
+    # their buckets by the partition, so that the dimension alone is the key of no shuffle
+    part = F.shiftright("id", 32).alias("part")
+    reach = buckets.groupBy(part, "dim").agg(F.max("longest").alias("reach"))
+    pairs = bounded.select("block", "dim", "needed").join(_few(reach, BROADCAST_PARTS), "dim").filter("reach >= needed")
+    pairs = pairs.join(buckets.select("id", "dim", "longest", part), ["part", "dim"])
     pairs = pairs.filter("longest >= needed").select("block", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
