@@ -164,10 +164,9 @@ def judge(docs: DataFrame, min_docs: int = 30) -> DataFrame:
 
 
 def keep(docs: DataFrame, min_docs: int = 30) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.  Features are computed a second time
-    beside the text, which costs less than moving every text to a join."""
-    measured = scratch.written(docs.select("lang", "source", features(F.col("text")).alias("f")), "quality-features")
-    limits = scratch.written(fences(measured, min_docs), "quality-fences")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source", "text")
-    # one expression, or the optimizer copies the features into every part of the condition
-    return _fenced(rows, limits).filter(_let(features(F.col("text")), _passes)).select("row.*")
+    """The rows of ``docs`` that pass, with all their columns.  Rows are written once with their
+    features beside them, which costs less than computing the features twice or moving texts."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    measured = scratch.written(docs.select(row, "lang", "source", features(F.col("text")).alias("f")), "quality-features")
+    limits = scratch.written(fences(measured.select("lang", "source", "f"), min_docs), "quality-fences")
+    return _fenced(measured, limits).filter(_passes(F.col("f"))).select("row.*")
