@@ -56,13 +56,16 @@ def unescaped(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def unescaped_fully(texts: pd.Series) -> pd.Series:
-    """Every entity of the HTML standard; only for texts in which ``unescaped`` leaves some."""
+    """Every entity of the HTML standard."""
     return texts.map(html.unescape, na_action="ignore")
 
 
-def html_to_text(c: Column, full: bool = False) -> Column:
-    """Entities first, so that escaped tags are seen as tags; then tags to blanks."""
-    plain = unescaped_fully(c) if full else unescaped(c)
+def html_to_text(c: Column, full: bool = True) -> Column:
+    """Entities first, so that escaped tags are seen as tags; then tags to blanks.  ``full``: texts in
+    which ``unescaped`` leaves an entity go through the whole table of the HTML standard."""
+    plain = unescaped(c)
+    if full:
+        plain = F.coalesce(unescaped_fully(F.when(plain.rlike("&[#A-Za-z]"), c)), plain)
     return collapsed(F.regexp_replace(F.coalesce(plain, F.lit("")), r"<[^>]+>", " "))
 
 

@@ -124,13 +124,13 @@ def bare_code(value: Column) -> Column:
 
 
 def titles(labels: DataFrame, looked_up: DataFrame, technologies: list[str]) -> DataFrame:
-    """profile_id and the printable course titles in order, each once.  ``looked_up`` (profile_id,
-    code, catalog_title) holds where label and code begin alike."""
+    """profile_id and the printable course titles in order, each once.  ``looked_up`` (profile_id, seq,
+    code, catalog_title) holds where label and code begin alike; the first by seq counts."""
     l = labels.withColumn("bare", bare_code(F.col("label"))).withColumn("lead", F.regexp_extract("bare", "^[A-Z]*", 0))
-    c = looked_up.select("profile_id", bare_code(F.col("code")).alias("bare_code"), F.regexp_extract(bare_code(F.col("code")), "^[A-Z]*", 0).alias("lead"), "catalog_title")
+    c = looked_up.select("profile_id", bare_code(F.col("code")).alias("bare_code"), F.regexp_extract(bare_code(F.col("code")), "^[A-Z]*", 0).alias("lead"), "seq", "catalog_title")
     met = l.join(c, ["profile_id", "lead"], "left")
     alike = F.startswith("bare", F.col("bare_code")) | F.startswith("bare_code", F.col("bare"))
-    best = met.groupBy("profile_id", "pos", "label").agg(F.min(F.when(alike, F.col("catalog_title"))).alias("catalog_title"))
+    best = met.groupBy("profile_id", "pos", "label").agg(F.min_by(F.when(alike, F.col("catalog_title")), F.when(alike, F.col("seq"))).alias("catalog_title"))
     made = best.select("profile_id", "pos", readable_title(F.col("label"), F.col("catalog_title"), technologies).alias("title")).filter("title <> ''")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"])
     return made.groupBy("profile_id").agg(F.array_distinct(ordered).alias("titles"))

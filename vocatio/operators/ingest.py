@@ -11,6 +11,7 @@ from vocatio.functions.location import classify
 from vocatio.functions.redaction import redacted, redacted_by_spans, still_personal
 from vocatio.functions.text import company_key, content_hash, employment_type
 from vocatio.operators.tables import absent, keep_last, outcome_counts, payload_rows, versioned_upsert
+from vocatio.plans.stored import written
 from vocatio.sources.files import job_records
 
 
@@ -64,7 +65,7 @@ def ambiguous_names(companies: DataFrame) -> DataFrame:
     return by.filter("n > 1")
 
 
-def prepared(landed: DataFrame, exact_spans: bool = False) -> DataFrame:
+def prepared(landed: DataFrame, exact_spans: bool = True) -> DataFrame:
     """Records of landed payloads, redacted and located, each with its ``fate``: parse_failed,
     quarantined (personal data survived redaction), excluded_non_us, or null."""
     r = job_records(landed)
@@ -97,7 +98,7 @@ def ingest(
 ) -> Ingested:
     """One batch of landed payloads (source_id, url, fetched_at, payload).  Of several payloads of a
     posting the latest counts; a row that fails never stops the others."""
-    p = prepared(landed)
+    p = written(prepared(landed), "prepared")  # parsed and redacted once for all tables
     fit = keep_last(p.filter("fate IS NULL"), ["source_id", "source_posting_id"], [F.col("fetched_at"), F.col("clean")])
     mention = F.concat_ws("\n", "source_id", "source_posting_id")
     mentions = fit.select(

@@ -3,11 +3,16 @@ majors, freshness, review, and the questions they answer."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions.text import collapsed
 
+MAX_REFERENCES = 20_000
 YEARS = r"(?i)(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*(?:years|yrs)|(\d{1,2})\s*(\+?)\s*(?:or more\s+)?(?:years|yrs)"
 DEGREE_WORDS = [
     ("doctorate", r"(?i)\b(ph\.?d|doctorate|doctoral)\b"),
@@ -17,6 +22,34 @@ DEGREE_WORDS = [
     ("certificate", r"(?i)\bcertificate\b"),
     ("high_school", r"(?i)\b(high school|ged)\b"),
 ]
+# Certifications that postings name, and how they are written.
+CERTIFICATIONS = [
+    ("aws_certified", r"(?i)\baws certified\b"),
+    ("cissp", r"(?i)\bcissp\b"),
+    ("comptia_security_plus", r"(?i)\b(comptia )?security\+"),
+    ("comptia_a_plus", r"(?i)\bcomptia a\+"),
+    ("ccna", r"(?i)\bccna\b"),
+    ("pmp", r"(?i)\b(pmp|project management professional)\b"),
+    ("scrum_master", r"(?i)\b(csm|certified scrum ?master)\b"),
+    ("six_sigma", r"(?i)\bsix sigma\b"),
+    ("cpa", r"(?i)\b(cpa|certified public accountant)\b"),
+    ("cfa", r"(?i)\b(cfa|chartered financial analyst)\b"),
+    ("shrm_cp", r"(?i)\bshrm-c[ps]\b"),
+    ("rn", r"(?i)\b(rn license|registered nurse license|licensed registered nurse)\b"),
+    ("bls", r"(?i)\b(bls|basic life support)\b"),
+    ("acls", r"(?i)\bacls\b"),
+    ("pe", r"(?i)\b(professional engineer license|pe license)\b"),
+    ("fe", r"(?i)\b(fe exam|engineer in training|eit)\b"),
+    ("osha_30", r"(?i)\bosha[- ]?30\b"),
+    ("cdl", r"(?i)\b(cdl|commercial driver'?s license)\b"),
+    ("servsafe", r"(?i)\bservsafe\b"),
+    ("teaching", r"(?i)\bteaching (certificate|certification|license)\b"),
+]
+CUE_PREFERRED = r"(?i)\b(preferred|nice to have|a plus|bonus|desired)\b"
+CUE_REQUIRED = r"(?i)\b(required|must|minimum|need)\b"
+HEADING = r"^\s*(?:#+\s*)?[A-Za-z][A-Za-z '&/]{2,60}:?\s*$"
+HEADING_PREFERRED = r"(?i)\b(preferred|nice to have|bonus|desired)\b"
+HEADING_REQUIRED = r"(?i)\b(required|requirements|qualifications|must have|minimum)\b"
 
 
 def title_key(title: Column) -> Column:
@@ -51,14 +84,35 @@ def fuzzy_titles(postings: DataFrame, names: DataFrame, least: float = 0.5) -> D
     return postings.select("posting_id", title_key(F.col("title")).alias("key")).join(hit, "key").drop("key")
 
 
-def cosine_titles(vectors: DataFrame, references: DataFrame, block: str = "label", least: float = 0.5) -> DataFrame:
-    """Tier 3 (not in the default cascade): best reference by cosine of given vectors within a block."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(references, block)
-    cos = dot(F.col("vector"), F.col("reference")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("reference"), F.col("reference")))
-    pairs = pairs.withColumn("cosine", cos).filter(F.col("cosine") >= least)
-    best = pairs.groupBy("posting_id").agg(F.min_by(F.struct("code", "cosine"), F.struct(-F.col("cosine"), "code")).alias("b"))
-    return best.select("posting_id", "b.code", F.least(0.5 + 0.2 * (F.col("b.cosine") - least) / (1 - least), F.lit(0.7)).alias("confidence"), F.lit("vector").alias("method"))
+def cosine_titles(vectors: DataFrame, references: DataFrame, least: float = 0.5) -> DataFrame:
+    """Tier 3 (not in the default cascade): for each of ``vectors`` (posting_id, vector) the best of
+    ``references`` (code, reference) by cosine, ties to the lower code.  References are the vectors of
+    the occupations, a stated set: at most ``MAX_REFERENCES`` rows, which go to every task, and each
+    vector meets them in one product.  Null vectors, and those without length, are left out."""
+    rows = references.filter("reference IS NOT NULL").orderBy("code").limit(MAX_REFERENCES + 1).collect()
+    if len(rows) > MAX_REFERENCES:
+        raise ValueError(f"there are more than {MAX_REFERENCES} reference vectors")
+    vectors = vectors.filter("vector IS NOT NULL")
+    kind = vectors.schema["posting_id"].dataType.simpleString()
+    schema = f"posting_id {kind}, code string, confidence double, method string"
+    if not rows:
+        return vectors.select("posting_id", F.lit("").alias("code"), F.lit(0.0).alias("confidence"), F.lit("vector").alias("method")).limit(0)
+    codes = np.array([r["code"] for r in rows], object)
+    known = np.array([r["reference"] for r in rows], np.float64)
+    known /= np.maximum(np.sqrt((known**2).sum(1, keepdims=True)), 1e-300)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = np.array(batch["vector"].tolist(), np.float64).reshape(len(batch), -1)
+            length = np.sqrt((v**2).sum(1))
+            cos = v @ known.T / np.maximum(length, 1e-300)[:, None] if len(batch) else np.zeros((0, 1))
+            best = cos.argmax(1)
+            top = cos[np.arange(len(batch)), best]
+            value = np.minimum(0.5 + 0.2 * (top - least) / (1 - least), 0.7)
+            out = pd.DataFrame({"posting_id": batch["posting_id"], "code": codes[best], "confidence": value, "method": "vector"})
+            yield out[(top >= least) & (length > 0)]
+
+    return vectors.select("posting_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(nearest, schema)
 
 
 def cascade(*tiers: DataFrame) -> DataFrame:
@@ -101,25 +155,39 @@ def degree_level(text: Column) -> Column:
     return out
 
 
-def strength(sentence: Column) -> Column:
-    return F.when(sentence.rlike(r"(?i)\b(preferred|nice to have|a plus|bonus|desired)\b"), "preferred").when(
-        sentence.rlike(r"(?i)\b(required|must|minimum|need)\b"), "required"
-    ).otherwise("unknown")
+def strength(sentence: Column, heading: Column | None = None) -> Column:
+    """By a cue in the sentence, else by the heading above it."""
+    out = F.when(sentence.rlike(CUE_PREFERRED), "preferred").when(sentence.rlike(CUE_REQUIRED), "required")
+    if heading is not None:
+        out = out.when(heading.rlike(HEADING_PREFERRED), "preferred").when(heading.rlike(HEADING_REQUIRED), "required")
+    return out.otherwise("unknown")
+
+
+def certifications(text: Column) -> Column:
+    """Names of the certifications that the text asks for."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), name) for name, pattern in CERTIFICATIONS]))
 
 
 def requirements(postings: DataFrame) -> DataFrame:
-    """Sentences of ``postings`` (posting_id, text) that state years, a degree or a clearance, with
-    their offsets in code points (start counts from 1)."""
+    """Sentences of ``postings`` (posting_id, text) that state years, a degree, a certification or a
+    clearance, with their offsets in code points (start counts from 1).  Required or preferred by a
+    cue, else by the last heading (a short line of letters) before the sentence."""
     pieces = F.filter(F.split("text", r"(?<=[.!?\n])"), lambda s: s != "")
     ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(s)))
-    rows = postings.select("posting_id", "text", F.posexplode(pieces).alias("k", "sentence"), ends.alias("ends"))
+    above = F.aggregate(
+        pieces,
+        F.array().cast("array<string>"),
+        lambda a, s: F.array_append(a, F.when(s.rlike(HEADING), s).otherwise(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")))),
+    )
+    rows = postings.select("posting_id", "text", F.posexplode(pieces).alias("k", "sentence"), ends.alias("ends"), above.alias("above"))
     start = F.coalesce(F.get(F.col("ends"), F.col("k") - 1), F.lit(0)) + 1
     s = F.col("sentence")
     rows = rows.select(
         "posting_id", "text", start.alias("start"), F.substring(s, 1, 300).alias("excerpt"), years(s).alias("years"),
-        degree_level(s).alias("degree"), s.rlike(r"(?i)\b(clearance|ts/sci)\b").alias("clearance"), strength(s).alias("strength"),
+        degree_level(s).alias("degree"), s.rlike(r"(?i)\b(clearance|ts/sci)\b").alias("clearance"), strength(s, F.get("above", F.col("k"))).alias("strength"),
+        certifications(s).alias("certifications"),
     )
-    return rows.filter("years IS NOT NULL OR degree IS NOT NULL OR clearance")
+    return rows.filter("years IS NOT NULL OR degree IS NOT NULL OR clearance OR size(certifications) > 0")
 
 
 def evidenced(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,6 +269,19 @@ def years_by_degree(found: DataFrame) -> DataFrame:
     return found.groupBy("degree", "min_years").agg(F.count("*").alias("n"))
 
 
+def years_percentiles(found: DataFrame, at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Per degree, how many state min_years, and its percentiles (interpolated)."""
+    stated = found.filter("min_years IS NOT NULL")
+    return stated.groupBy("degree").agg(F.count("*").alias("n"), *[F.percentile("min_years", p).alias(f"p{round(100 * p)}") for p in at])
+
+
+def asked_credentials(found: DataFrame) -> DataFrame:
+    """Degrees and certifications of requirement rows, one row each: posting_id, start, excerpt,
+    credential."""
+    both = F.array_compact(F.concat(F.array("degree"), F.col("certifications")))
+    return found.select("posting_id", "start", "excerpt", F.explode(both).alias("credential")).filter("credential <> 'none'")
+
+
 def link_counts(links: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("link_type") == t).alias(t) for t in ("explicit", "inferred")]
     return links.groupBy("cip_code").agg(*counts)

@@ -3,7 +3,7 @@ next snapshot (or the rows to append).  Rerunning with the same batch changes no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions.text import payload_key
@@ -129,13 +129,16 @@ def capped(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], root: str) -> DataFrame:
-    """Write all tables to ``root``/<name>, read them back and compare the counts; raises if one
-    differs.  Returns table, n_rows.  ``root`` has to be a folder that all executors share."""
+    """Write all tables to ``root``/<name> and compare what is read back with the rows that went into
+    each write, counted on the way; raises if one differs, before any count is returned.  Returns
+    table, n_rows.  ``root`` has to be a folder that all executors share, and new: readers turn to it
+    once this returns."""
     spark = next(iter(tables.values())).sparkSession
     counts = []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        expected, got = df.count(), spark.read.schema(df.schema).parquet(f"{root}/{name}").count()
+        seen = Observation(f"published {name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/{name}")
+        expected, got = seen.get["n"], spark.read.schema(df.schema).parquet(f"{root}/{name}").count()
         if expected != got:
             raise ValueError(f"{name}: {got} rows written of {expected}")
         counts.append((name, got))

@@ -29,9 +29,10 @@ def build_reference(majors_csv: DataFrame, occupations_csv: DataFrame, titles_cs
 
 
 def refresh(target: DataFrame, incoming: DataFrame, name: str) -> DataFrame:
-    """Next snapshot of a table of ``TABLES``; of repeated keys in the batch one row counts."""
+    """Next snapshot of a table of ``TABLES``; of repeated keys in the batch the last row counts."""
     keys = list(TABLES[name].keys)
-    return upsert(target, incoming.dropDuplicates(keys), keys)
+    numbered = incoming.withColumn("row_no", F.monotonically_increasing_id())
+    return upsert(target, keep_last(numbered, keys, [F.col("row_no")]).drop("row_no"), keys)
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:

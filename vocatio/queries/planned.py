@@ -63,6 +63,7 @@ _SENTENCES = [
     ("Bachelor degree preferred.", None, None, "bachelors", "preferred"),
     ("At least 7+ years and a Master of Arts.", 7, None, "masters", "unknown"),
     ("You must hold a clearance.", None, None, None, "required"),
+    ("A CISSP is desired.", None, None, None, "preferred"),
     ("Free lunch.", None, None, None, None),
 ]
 _ADS = f"SELECT p_partkey AS posting_id, concat('About us.', {pick([s[0] for s in _SENTENCES], 'p_partkey')}, ' Bye.') AS text FROM @part"
@@ -93,13 +94,47 @@ YEARS_BY_DEGREE = f"SELECT degree, min_years, count(*) AS n FROM ({REQUIREMENTS}
 
 
 def top_credentials(spark, sf_dir):
-    found = planned.requirements(derived(spark, sf_dir, _ADS)).filter("degree IS NOT NULL")
-    return planned.top_credentials(found.select("posting_id", "start", "excerpt", F.col("degree").alias("credential")))
+    return planned.top_credentials(planned.asked_credentials(planned.requirements(derived(spark, sf_dir, _ADS))))
 
 
-TOP_CREDENTIALS = f"SELECT degree AS credential, count(*) AS n, min_by(excerpt, posting_id) AS example FROM ({REQUIREMENTS}) WHERE degree IS NOT NULL GROUP BY 1"
+TOP_CREDENTIALS = f"""
+SELECT credential, count(*) AS n, min_by(excerpt, posting_id) AS example
+FROM (SELECT degree AS credential, posting_id, excerpt FROM ({REQUIREMENTS}) WHERE degree IS NOT NULL
+      UNION ALL SELECT 'cissp', posting_id, excerpt FROM ({REQUIREMENTS}) WHERE excerpt LIKE '%CISSP%') GROUP BY 1
+"""
+
+
+_SECTIONED = """
+SELECT p_partkey AS posting_id, concat(p_name, '.', chr(10), CASE WHEN p_size % 2 = 0 THEN 'Preferred Qualifications:' ELSE 'Requirements' END, chr(10),
+  CAST(1 + p_size % 20 AS STRING), '+ years with ', p_type, '.', chr(10), 'Six Sigma or ServSafe.', chr(10), 'About us', chr(10), 'PMP welcome.') AS text FROM @part
+"""
+
+
+def sectioned_requirements(spark, sf_dir):
+    """Requirements below headings, in texts made of the parts' own words."""
+    found = planned.requirements(derived(spark, sf_dir, _SECTIONED))
+    return found.select("posting_id", "excerpt", "strength", F.col("years.min_years").alias("min_years"), F.array_join("certifications", ",").alias("certifications"))
+
+
+SECTIONED_REQUIREMENTS = f"""
+WITH s AS (SELECT p_partkey AS posting_id, p_size, p_type, CASE WHEN p_size % 2 = 0 THEN 'preferred' ELSE 'required' END AS strength FROM part)
+SELECT posting_id, concat((1 + p_size % 20)::VARCHAR, '+ years with ', p_type, '.') AS excerpt, strength, (1 + p_size % 20)::INT AS min_years, '' AS certifications FROM s
+UNION ALL SELECT posting_id, 'Six Sigma or ServSafe.', strength, NULL, 'six_sigma,servsafe' FROM s
+UNION ALL SELECT posting_id, 'PMP welcome.', 'unknown', NULL, 'pmp' FROM s
+"""
+
+
+def years_percentiles(spark, sf_dir):
+    found = planned.requirements(derived(spark, sf_dir, _SECTIONED))
+    return planned.years_percentiles(found.select(F.col("strength").alias("degree"), F.col("years.min_years").alias("min_years")))
+
+
+YEARS_PERCENTILES = f"""
+SELECT strength AS degree, count(min_years) AS n, quantile_cont(min_years, 0.25) AS p25, quantile_cont(min_years, 0.5) AS p50, quantile_cont(min_years, 0.75) AS p75
+FROM ({SECTIONED_REQUIREMENTS}) WHERE min_years IS NOT NULL GROUP BY 1
+"""
 
-_CROSS = "SELECT DISTINCT CAST(c_nationkey AS STRING) AS cip_code, concat('n', CAST(c_custkey % 5 AS STRING)) AS code FROM @customer WHERE c_custkey % 3 = 0"
+_CROSS = "SELECT DISTINCT CAST(c_nationkey AS STRING) AS cip_code, concat('n', CAST((c_nationkey + c_custkey % (1 + c_nationkey % 3)) % 5 AS STRING)) AS code FROM @customer"
 
 
 def inferred_links(spark, sf_dir):
@@ -221,15 +256,19 @@ NAMING_POSTINGS = f"SELECT posting_id, cip_code, concat('We want ', c_mktsegment
 
 
 def vector_titles(spark, sf_dir):
+    """Every vector to the nearest of the labels' mean vectors."""
     e = table(spark, sf_dir, "embeddings")
-    vectors = e.filter("vec_id % 7 <> 0").select(F.col("vec_id").alias("posting_id"), "label", F.col("embedding").alias("vector"))
-    known = e.filter("vec_id % 70 = 0").select(F.col("vec_id").cast("string").alias("code"), "label", F.col("embedding").alias("reference"))
-    return planned.cosine_titles(vectors, known, least=0.2).select("posting_id", "code", F.round("confidence", 5).alias("confidence"))
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"))
+    known = means.select(F.col("label").cast("string").alias("code"), F.transform("p", lambda x: x["x"]).alias("reference"))
+    found = planned.cosine_titles(e.select(F.col("vec_id").alias("posting_id"), F.col("embedding").alias("vector")), known, least=0.2)
+    return found.select("posting_id", "code", F.round("confidence", 5).alias("confidence"))
 
 
 VECTOR_TITLES = """
-WITH p AS (SELECT v.vec_id AS posting_id, r.vec_id::VARCHAR AS code, list_cosine_similarity(v.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS c
-           FROM embeddings v JOIN embeddings r ON v.label = r.label AND v.vec_id % 7 <> 0 AND r.vec_id % 70 = 0)
+WITH u AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i) GROUP BY ALL),
+r AS (SELECT label::VARCHAR AS code, list(x ORDER BY i) AS reference FROM u GROUP BY label),
+p AS (SELECT vec_id AS posting_id, code, list_cosine_similarity(embedding::DOUBLE[], reference) AS c FROM embeddings, r)
 SELECT posting_id, code, round(least(0.5::DOUBLE + 0.2::DOUBLE * (c - 0.2::DOUBLE) / (1 - 0.2::DOUBLE), 0.7::DOUBLE), 5) AS confidence FROM p WHERE c >= 0.2
 QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY c DESC, code) = 1
 """
@@ -250,6 +289,8 @@ QUERIES = {
     "title_confusion": (title_confusion, TITLE_CONFUSION),
     "requirements": (requirements, REQUIREMENTS),
     "years_by_degree": (years_by_degree, YEARS_BY_DEGREE),
+    "sectioned_requirements": (sectioned_requirements, SECTIONED_REQUIREMENTS),
+    "years_percentiles": (years_percentiles, YEARS_PERCENTILES),
     "top_credentials": (top_credentials, TOP_CREDENTIALS),
     "inferred_links": (inferred_links, INFERRED_LINKS),
     "explicit_links": (explicit_links, EXPLICIT_LINKS),

@@ -134,7 +134,7 @@ FROM ({_PARSED})
 
 def course_titles(spark, sf_dir):
     labels = derived(spark, sf_dir, _LABELS)
-    looked = labels.select("profile_id").withColumn("code", F.lit("MATH 251")).withColumn("catalog_title", F.lit("Calculus II"))
+    looked = labels.select("profile_id").withColumn("seq", F.lit(0)).withColumn("code", F.lit("MATH 251")).withColumn("catalog_title", F.lit("Calculus II"))
     t = courses.titles(labels.select("profile_id", "pos", "label"), looked, SKILLS)
     return t.select("profile_id", F.array_join("titles", "|").alias("titles"))
 

@@ -23,6 +23,23 @@ FROM pages
 """
 
 
+_ENTITIES = """
+SELECT page_id, concat('<p>&#', CAST(8200 + page_id % 20 AS STRING), ';x&#x', lower(hex(913 + page_id % 17)), '; caf&eacute; &rsquo;tis &bull; A&amp;amp;B &hellip;</p>', url) AS html FROM @pages
+"""
+
+
+def entity_text(spark, sf_dir):
+    """Named and numeric entities beyond those that the native pass knows."""
+    return derived(spark, sf_dir, _ENTITIES).select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+# white space among the numeric entities is one blank; the others are the characters themselves
+ENTITY_TEXT = r"""
+SELECT page_id, trim(regexp_replace(concat(' ', chr((8200 + page_id % 20)::INT), 'x', chr((913 + page_id % 17)::INT),
+  ' café ’tis • A&amp;B … ', url), '[\s\x{2000}-\x{200A}]+', ' ', 'g')) AS text FROM pages
+"""
+
+
 def payload_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.payload_key(F.col("html")).alias("k")).select("page_id", "k.*")
 
@@ -242,6 +259,7 @@ FROM orders
 
 QUERIES = {
     "html_text": (html_text, HTML_TEXT),
+    "entity_text": (entity_text, ENTITY_TEXT),
     "payload_keys": (payload_keys, PAYLOAD_KEYS),
     "redacted_documents": (redacted_documents, REDACTED_DOCUMENTS),
     "personal_data_by_language": (personal_data_by_language, PERSONAL_DATA_BY_LANGUAGE),

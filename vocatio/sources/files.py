@@ -38,9 +38,9 @@ def majors(raw: DataFrame) -> DataFrame:
 
 
 def zones(raw: DataFrame) -> DataFrame:
-    """Job zone per occupation code; of repeated codes the last row by date counts."""
-    rows = raw.select(trimmed(F.col("O*NET-SOC Code")).alias("onet_soc_code"), F.expr("try_cast(`Job Zone` AS int)").alias("zone"), "Date")
-    return rows.groupBy("onet_soc_code").agg(F.max_by("zone", "Date").alias("job_zone"))
+    """Job zone per occupation code; of repeated codes the last row in file order counts."""
+    rows = raw.select(trimmed(F.col("O*NET-SOC Code")).alias("onet_soc_code"), F.expr("try_cast(`Job Zone` AS int)").alias("zone"), F.monotonically_increasing_id().alias("row_no"))
+    return rows.groupBy("onet_soc_code").agg(F.max_by("zone", "row_no").alias("job_zone"))
 
 
 def occupations(raw: DataFrame, job_zones: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def listed_jobs(landed: DataFrame) -> DataFrame:
     return one.select("source_id", F.col("j.id").alias("source_posting_id"), F.col("j.absolute_url").alias("url"))
 
 
-def job_records(landed: DataFrame, full_entities: bool = False) -> DataFrame:
+def job_records(landed: DataFrame, full_entities: bool = True) -> DataFrame:
     """Landed job payloads (source_id, url, payload, fetched_at) as records; ``rejected`` says why a
     payload gives none."""
     job = F.from_json("payload", JOB)
