@@ -450,6 +450,20 @@ def test_language_accuracy(spark):
     assert sum(hits) / len(hits) > 0.98
 
 
+def test_license_scan_in_parts(spark, monkeypatch):
+    """More templates than one pass looks up, null and repeated ids, and columns with clashing names."""
+    random.seed(4)
+    fill = lambda n: " ".join(f"w{random.randrange(900)}" for _ in range(n))
+    templates = [(f"t{k}", fill(random.choice([6, 20, 60]))) for k in range(30)]
+    texts = [(k // 2 if k % 5 else None, f"{fill(20)} {t} {fill(30)}") for k, (_, t) in enumerate(templates)] + [(7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in texts], "doc_id long, text string, name string, row int, s string")
+    known = spark.createDataFrame(templates, "name string, text string")
+    whole = sorted(map(str, license_scan.scan(docs, known).collect()))
+    assert len(whole) == 30
+    monkeypatch.setattr(license_scan, "MAX_KEYS", 100)
+    assert sorted(map(str, license_scan.scan(docs, known).collect())) == whole
+
+
 def test_quality(spark, docs, empty):
     got = docs.select("text", quality.features(F.col("text")).alias("f")).collect()
     for text, f in got:

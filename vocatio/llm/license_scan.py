@@ -27,6 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocatio.llm import scratch
 from vocatio.llm.license_notices import STANDARD
 from vocatio.llm.quality import SPACE, _let
 
@@ -146,17 +147,27 @@ def template_keys(h: Column, size: int) -> Column:
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, name, shingles (different ones of the template), found and containment, for each
-    template of which a text contains ``least`` or more.  ``templates`` (name, text) may have at
-    most ``MAX_KEYS`` index keys, and is broadcast."""
-    spark = docs.sparkSession
-    known = notices(spark) if templates is None else templates
+    template of which a text contains ``least`` or more.  ``templates`` (name, text) are looked up in
+    one pass over ``docs`` for every ``MAX_KEYS`` of their index keys."""
+    known = notices(docs.sparkSession) if templates is None else templates
     known = known.select("name", shingle_words(F.col("text")).alias("w"))
     known = known.select("name", hashes(F.col("w")).alias("h"), F.array_distinct(strings(F.col("w"))).alias("s"))
-    known = known.filter("size(s) > 0")
-    keyed = known.select("name", "s", F.size("h").alias("n"), *[template_keys(F.col("h"), w).alias(f"k{w}") for w in SIZES])
-    rows = [(r["name"], list(r["s"]), w, set(r[f"k{w}"])) for r in keyed.limit(MAX_KEYS + 1).collect() for w in [window_of(r["n"], len(r["s"]), least)]]
-    if sum(len(k) for *_, k in rows) > MAX_KEYS:
-        raise ValueError(f"templates have more than {MAX_KEYS} index keys; scan them in parts")
+    known = known.filter("size(s) > 0").select("name", "s", F.size("h").alias("n"), *[template_keys(F.col("h"), w).alias(f"k{w}") for w in SIZES])
+    known = scratch.written(known.withColumn("part", F.lit(0)), "templates")
+    n_keys = known.agg(F.sum(sum((F.size(f"k{w}") for w in SIZES[1:]), F.size(f"k{SIZES[0]}")))).first()[0] or 0
+    parts = -(-n_keys // MAX_KEYS)
+    if parts > 1:
+        known = scratch.written(known.withColumn("part", F.pmod(F.xxhash64("name", "s"), F.lit(parts)).cast("int")), "templates")
+    out = None
+    for part in range(max(1, parts)):
+        found = _scanned(docs, known.filter(F.col("part") == part), least)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _scanned(docs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    spark = docs.sparkSession
+    rows = [(r["name"], list(r["s"]), w, set(r[f"k{w}"])) for r in keyed.collect() for w in [window_of(r["n"], len(r["s"]), least)]]
     keys = {w: sorted({k for _, _, of, ks in rows if of == w for k in ks}) for w in SIZES}
 
     def met_in(own: Column, size: int) -> Column:
@@ -174,12 +185,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEA
     words = shingle_words(F.col("text"))
     met = docs.select("doc_id", "text", _let(hashes(words), hits).alias("hits"))
     met = met.filter("size(hits) > 0").withColumn("row", F.monotonically_increasing_id())
-    index = spark.createDataFrame(
-        [(k, name, s) for name, s, _, ks in rows for k in ks], "key long, name string, s array<string>"
-    )
+    index = spark.createDataFrame([(k, i) for i, (_, _, _, ks) in enumerate(rows) for k in ks], "key long, at int")
+    texts = spark.createDataFrame([(i, name, s) for i, (name, s, *_) in enumerate(rows)], "at int, name string, s array<string>")
     retrieved = met.select("row", "doc_id", "text", F.explode("hits").alias("key")).join(F.broadcast(index), "key")
-    retrieved = retrieved.groupBy("row", "name").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "s")])
-    retrieved = retrieved.select("doc_id", "name", "s", strings(words).alias("own"))
+    retrieved = retrieved.groupBy("row", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", "text")])
+    retrieved = retrieved.join(F.broadcast(texts), "at").select("doc_id", "name", "s", strings(words).alias("own"))
     found = F.size(F.array_intersect("s", "own"))
     verified = retrieved.select("doc_id", "name", F.size("s").cast("long").alias("shingles"), found.cast("long").alias("found"))
     verified = verified.filter(F.col("found") >= least * F.col("shingles"))
