@@ -1,35 +1,5 @@
-"""Tables written to the folder that all executors share.
+"""Tables written to the folder that all executors share (``vocatio.plans.stored``)."""
 
-The cluster names that folder in ``spark.checkpoint.dir``; a temporary folder is set only where
-the session leaves it unset (tests, one-machine runs).
-"""
+from vocatio.plans.stored import new_path, root, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="vocatio-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: the lineage ends there, so a
-    lost executor costs a re-read and not a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "root", "written"]
