@@ -491,6 +491,26 @@ def test_quality_adapts(spark):
     assert kept == {r[0] for r in clean + code}
 
 
+def test_quality_fences(spark):
+    """Each fence rejects, limits differ by group, and a source of junk cannot lift its own."""
+    say = lambda i, n, form="w{}": " ".join(form.format(f"{i}x{k}") for k in range(n))
+    lines = lambda i, n, same: "\n".join([say(i, 3)] * same + [f"v{i}y{k} " + say(k, 4, "u{}") for k in range(n)])
+    rows = [(i, say(1000 + i, 40), "en", "a", 1) for i in range(100)]
+    junk = [(200 + i, say(1000 + i, 40, "w{}%%"), "en", "junk", 1) for i in range(20)]
+    junk += [(300 + i, say(1000 + i, 40), "en", "junk", 1) for i in range(20)]
+    listed = [(400 + i, lines(1000 + i, 60, 12), "en", "lists", 1) for i in range(5)]
+    long = [(500 + i, say(1000 + i, 40, "w{}" + "z" * 9), "en", "a", 1) for i in range(5)]
+    german = [(700 + i, say(1000 + i, 40, "w{}" + "z" * 9), "de", "a", 1) for i in range(40)]
+    df = spark.createDataFrame(rows + junk + listed + long + german, DOCS)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(df).collect()}
+    bad = {r[0] for r in junk[:20] + listed + long}
+    assert {i for i, (failed, kept) in got.items() if not kept and not failed} == bad
+    measured = df.select("lang", "source", quality.features(F.col("text")).alias("f"))
+    limit = {(r.fence_lang, r.fence_source): r for r in quality.fences(measured).collect()}
+    assert limit["de", "a"].mean_chars_high > limit["en", "a"].mean_chars_high
+    assert limit["en", "junk"].symbol_ratio_high == limit["en", "a"].symbol_ratio_high
+
+
 def test_mixing(spark, docs, empty):
     q = rows_of(mixing.queued(docs))
     size = Counter()

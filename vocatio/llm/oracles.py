@@ -36,21 +36,32 @@ q AS (
   FROM r WHERE NOT base_failed GROUP BY ROLLUP (lang, source)),
 e AS (
   SELECT lang, source, g, n,
-         a[greatest(1, ceil(0.25 * n))::INT] AS a1, a[greatest(1, ceil(0.75 * n))::INT] AS a3,
-         b[greatest(1, ceil(0.25 * n))::INT] AS b1, b[greatest(1, ceil(0.75 * n))::INT] AS b3,
+         a[greatest(1, ceil(0.25 * n))::INT] AS a1, a[greatest(1, ceil(0.85 * n))::INT] AS a3,
+         b[greatest(1, ceil(0.25 * n))::INT] AS b1, b[greatest(1, ceil(0.85 * n))::INT] AS b3,
          c[greatest(1, ceil(0.25 * n))::INT] AS c1, c[greatest(1, ceil(0.75 * n))::INT] AS c3
   FROM q),
+h AS (
+  SELECT lang, source, g, n, a3 + 2 * (a3 - a1) + 0.05::DOUBLE AS a_high, b3 + 2 * (b3 - b1) + 0.1::DOUBLE AS b_high,
+         c3 + 3 * (c3 - c1) + 0.5 AS c_high, c1 - 3 * (c3 - c1) - 0.5 AS c_low
+  FROM e),
+k AS (
+  SELECT s.lang, s.source, l.n >= 30 AS by_lang,
+         CASE WHEN s.n >= 30 THEN s WHEN l.n >= 30 THEN l WHEN t.n >= 30 THEN t ELSE s END AS z, l AS lang_z
+  FROM (SELECT * FROM h WHERE g = 0) s
+  LEFT JOIN (SELECT * FROM h WHERE g = 1) l ON s.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN (SELECT * FROM h WHERE g = 3) t ON true),
 u AS (
-  SELECT s.lang, s.source, unnest(CASE WHEN s.n >= 30 THEN [struct_pack(a1 := s.a1, a3 := s.a3, b1 := s.b1, b3 := s.b3, c1 := s.c1, c3 := s.c3)]
-         WHEN l.n >= 30 THEN [struct_pack(a1 := l.a1, a3 := l.a3, b1 := l.b1, b3 := l.b3, c1 := l.c1, c3 := l.c3)]
-         WHEN t.n >= 30 THEN [struct_pack(a1 := t.a1, a3 := t.a3, b1 := t.b1, b3 := t.b3, c1 := t.c1, c3 := t.c3)]
-         ELSE [struct_pack(a1 := s.a1, a3 := s.a3, b1 := s.b1, b3 := s.b3, c1 := s.c1, c3 := s.c3)] END) AS z
-  FROM (SELECT * FROM e WHERE g = 0) s
-  LEFT JOIN (SELECT * FROM e WHERE g = 1) l ON s.lang IS NOT DISTINCT FROM l.lang
-  LEFT JOIN (SELECT * FROM e WHERE g = 3) t ON true)
+  SELECT lang, source,
+         CASE WHEN by_lang THEN least(z.a_high, lang_z.a_high) ELSE z.a_high END AS a_high,
+         CASE WHEN by_lang THEN least(z.b_high, lang_z.b_high) ELSE z.b_high END AS b_high,
+         CASE WHEN by_lang THEN least(z.c_high, lang_z.c_high) ELSE z.c_high END AS c_high,
+         CASE WHEN by_lang THEN greatest(z.c_low, lang_z.c_low) ELSE z.c_low END AS c_low
+  FROM k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND coalesce(r.a <= z.a3 + 3 * (z.a3 - z.a1) + 0.1 AND r.b <= z.b3 + 3 * (z.b3 - z.b1) + 0.6
-        AND r.c >= z.c1 - 3 * (z.c3 - z.c1) - 2.5 AND r.c <= z.c3 + 3 * (z.c3 - z.c1) + 4.0, true)) AS kept
+       (NOT base_failed AND coalesce(a <= a_high + 0.5 / sqrt(greatest(n_words, 1)), true)
+        AND coalesce(b <= b_high + 0.75 / sqrt(greatest(n_lines, 1)), true)
+        AND coalesce(c <= c_high + 15 / sqrt(greatest(n_words, 1)), true)
+        AND coalesce(c >= c_low - 15 / sqrt(greatest(n_words, 1)), true)) AS kept
 FROM r LEFT JOIN u ON r.lang IS NOT DISTINCT FROM u.lang AND r.source IS NOT DISTINCT FROM u.source
 """
 

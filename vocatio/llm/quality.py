@@ -4,7 +4,11 @@ Base rules look at one document.  The adaptive ones compare it with its group: q
 of symbols per word, share of repeated lines and mean word length are built per language and
 source (Spark's mergeable rank sketch, summed map-side), rolled up to language and to all for
 groups of fewer than ``min_docs`` documents, and turned into fences
-``quartile +- spread * (q75 - q25) +- slack``.  Features are then joined with their group's fences.
+``top + spread * (top - q25) + room``.  ``top`` is an upper quantile for the two ratios, of which
+most documents have none, and q75 for the word length, which has a fence below too.  A group's fence
+is never wider than its language's, so that a source of junk cannot lift its own limit.  Features are
+then joined with their group's fences; a document has ``noise / sqrt(n)`` besides, what a mean of its
+n words or lines strays by chance, so that short documents are not rejected for one odd word.
 
 Null text counts as no words.  Null language or source is a group of its own.  Rows are judged one
 by one, so repeated ids and rows each get their verdict.  An empty table gives an empty result.
@@ -21,9 +25,12 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Fences: feature, room below q25, room above q75 (none: no fence on that side).
-SLACK = {"symbol_ratio": (None, 0.1), "dup_line_ratio": (None, 0.6), "mean_chars": (2.5, 4.0)}
-SPREAD = 3.0
+#: Fences by ratio: top quantile, spread, room, noise, what the ratio is a mean of, whether there is a fence below.
+FENCES = {
+    "symbol_ratio": (0.85, 2.0, 0.05, 0.5, "n_words", False),
+    "dup_line_ratio": (0.85, 2.0, 0.1, 0.75, "n_lines", False),
+    "mean_chars": (0.75, 3.0, 0.5, 15.0, "n_words", True),
+}
 BROADCAST_GROUPS = 20_000
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -116,25 +123,29 @@ def fences(measured: DataFrame, min_docs: int = 30, accuracy: int = 5000) -> Dat
     sketches = ratios.rollup("lang", "source").agg(
         F.grouping_id().alias("level"),
         F.count("*").alias("n"),
-        *[F.percentile_approx(k, [0.25, 0.75], accuracy).alias(k) for k in SLACK],
+        *[F.percentile_approx(k, [0.25, top], accuracy).alias(k) for k, (top, *_) in FENCES.items()],
     )
+    limits = []
+    for k, (_, spread, room, _, _, below) in FENCES.items():
+        q25, top = F.col(k)[0], F.col(k)[1]
+        low = q25 - spread * (top - q25) - room if below else F.lit(None).cast("double")
+        limits += [low.alias(f"{k}_low"), (top + spread * (top - q25) + room).alias(f"{k}_high")]
+    sketches = sketches.select("lang", "source", "level", "n", F.struct(*limits).alias("own"))
 
     def level(value: int, name: str) -> DataFrame:
-        kept = [F.when(F.col("n") >= min_docs, F.struct(*SLACK)).alias(name)]
+        kept = [F.when(F.col("n") >= min_docs, F.col("own")).alias(name)]
         return sketches.filter(F.col("level") == value).select("lang", "source", *kept)
 
     by_lang = level(1, "b").select(F.col("lang").alias("lang_b"), "b")
     whole = level(3, "c").select("c")
-    group = sketches.filter(F.col("level") == 0).select("lang", "source", "n", F.struct(*SLACK).alias("own"))
+    group = sketches.filter(F.col("level") == 0).select("lang", "source", "n", "own")
     joined = group.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_b")), "left").join(F.broadcast(whole), how="left")
     use = F.coalesce(F.when(F.col("n") >= min_docs, F.col("own")), F.col("b"), F.col("c"), F.col("own"))
-    joined = joined.select("lang", "source", use.alias("q"))
+    joined = joined.select("lang", "source", use.alias("q"), "b")
     columns = []
-    for k, (below, above) in SLACK.items():
-        low, high = F.col("q")[k][0], F.col("q")[k][1]
-        room = SPREAD * (high - low)
-        columns.append((low - room - below if below is not None else F.lit(None).cast("double")).alias(f"{k}_low"))
-        columns.append((high + room + above if above is not None else F.lit(None).cast("double")).alias(f"{k}_high"))
+    for k in FENCES:  # greatest and least skip a null
+        columns.append(F.greatest(F.col("q")[f"{k}_low"], F.col("b")[f"{k}_low"]).alias(f"{k}_low"))
+        columns.append(F.least(F.col("q")[f"{k}_high"], F.col("b")[f"{k}_high"]).alias(f"{k}_high"))
     return joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *columns)
 
 
@@ -149,7 +160,10 @@ def _fenced(rows: DataFrame, limits: DataFrame) -> DataFrame:
 def _passes(f: Column) -> Column:
     inside = ~base_failed(f)
     for k, value in _ratios(f).items():
-        inside &= F.coalesce(value >= F.col(f"{k}_low"), F.lit(True)) & F.coalesce(value <= F.col(f"{k}_high"), F.lit(True))
+        _, _, _, noise, of, _ = FENCES[k]
+        stray = noise / F.sqrt(F.greatest(f[of], F.lit(1)))
+        above, below = value <= F.col(f"{k}_high") + stray, value >= F.col(f"{k}_low") - stray
+        inside &= F.coalesce(above, F.lit(True)) & F.coalesce(below, F.lit(True))
     return inside
 
 
