@@ -64,11 +64,11 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def shingle_words(text: Column) -> Column:
-    """Words of letters and digits, A-Z in lower case."""
+    """Words of letters and digits, A-Z in lower case.  White space becomes blanks, so that a plain
+    split cuts the words and the text goes through one pattern, once."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, lower), r"[^\p{L}\p{N} \t-\r]+", "")
-    bare = F.btrim(bare, F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t-\r]+"))
+    even = F.translate(F.coalesce(text, F.lit("")), upper + SPACE, lower + " " * len(SPACE))
+    return F.array_remove(F.split(F.regexp_replace(even, r"[^\p{L}\p{N} ]+", ""), " "), "")
 
 
 def _each(w: Column, make) -> Column:
