@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vocatio.operators import courses, evidence, guards, imports, matching, planned, profiles, roles, search
@@ -195,3 +196,21 @@ def test_streaming(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
     clean = streaming.clean_postings(streaming.landed_files(spark, src))
     assert clean.isStreaming and "fate" in clean.columns
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.7])
+def test_fuzzy_titles_lose_no_pair(spark, least):
+    """The prefix of each trigram set is enough: the same as comparing every title with every name."""
+    names = ["Data Analyst", "Data Engineer", "Software Engineer", "Registered Nurse", "Nurse", "Sales Lead", "Lead Cook", ""]
+    titles = [f"{a} {b}".strip() for a in ("", "Senior", "Junior", "Chief") for b in [*names, "Poet", "Data  analysts", "nurses"]]
+    grams = lambda t: {f"  {t} "[i : i + 3] for i in range(len(t) + 1)}
+    key = lambda t: " ".join(t.lower().split())
+    want = {}
+    for i, t in enumerate(titles):
+        g = grams(key(t))
+        found = [(-len(g & grams(key(n))) / len(g | grams(key(n))), n) for n in names]
+        if -min(found)[0] >= least:
+            want[i] = min(found)[1]
+    p = spark.createDataFrame([*enumerate(titles), (99, None)], "posting_id int, title string")
+    n = spark.createDataFrame([(x, x) for x in names], "code string, name string")
+    assert {r.posting_id: r.code for r in planned.fuzzy_titles(p, n, least).collect()} == want

@@ -69,14 +69,22 @@ def exact_titles(postings: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def fuzzy_titles(postings: DataFrame, names: DataFrame, least: float = 0.5) -> DataFrame:
-    """Tier 2: best code by trigram Jaccard of ``least`` or more, confidence from 0.70 to 0.85."""
+    """Tier 2: best code by trigram Jaccard of ``least`` or more, confidence from 0.70 to 0.85.  Sets
+    meet on the first trigrams of each in one order, which loses no pair; null titles find nothing."""
     titles = postings.select(title_key(F.col("title")).alias("key")).distinct()
     p = titles.select("key", trigrams(F.col("key")).alias("g"))
     n = names.select("code", title_key(F.col("name")).alias("name_key")).distinct().select("code", "name_key", trigrams(F.col("name_key")).alias("ng"))
-    common = p.select("key", F.size("g").alias("a"), F.explode("g").alias("gram")).join(
-        n.select("code", "name_key", F.size("ng").alias("b"), F.explode("ng").alias("gram")), "gram"
+
+    def head(g: Column) -> Column:
+        # in one order for all, sets that agree in `least` share a gram of these
+        order = F.sort_array(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("gram"))))
+        return F.slice(order["gram"], F.lit(1), F.size(g) - F.ceil(least * F.size(g) - 1e-9).cast("int") + 1)
+
+    met = p.select("key", "g", F.explode(head(F.col("g"))).alias("gram")).join(
+        n.select("code", "name_key", "ng", F.explode(head(F.col("ng"))).alias("gram")), "gram"
     )
-    both = common.groupBy("key", "a", "code", "name_key", "b").agg(F.count("*").alias("n"))
+    pairs = met.groupBy("key", "code", "name_key").agg(F.first("g").alias("g"), F.first("ng").alias("ng"))
+    both = pairs.select("key", "code", "name_key", F.size("g").alias("a"), F.size("ng").alias("b"), F.size(F.array_intersect("g", "ng")).alias("n"))
     both = both.withColumn("similarity", F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).filter(F.col("similarity") >= least)
     best = both.groupBy("key").agg(F.min_by(F.struct("code", "similarity"), F.struct(-F.col("similarity"), "code")).alias("b"))
     scaled = F.round(0.70 + 0.15 * (F.col("b.similarity") - least) / (1 - least), 6)
