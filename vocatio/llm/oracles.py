@@ -103,6 +103,98 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+NEAR_VECTORS = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in e if x <> 0]) > 0),
+links AS (
+  SELECT a.row AS a, b.row AS b FROM ok a JOIN ok b ON a.row <> b.row
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE false END),
+reach AS (
+  SELECT row AS a, row AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a AS row, min(vec_id) AS component_id FROM reach JOIN v ON reach.b = v.row GROUP BY a),
+n AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (row) LEFT JOIN n USING (row)
+"""
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS x
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+  FROM w, unnest([1, 2, 3, 4]) t(k), unnest(range(1, len(w) - k + 2)) u(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, g AS phrase, string_split(g, ' ') AS w, f AS a FROM g WHERE k > 1 AND f >= 30),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a AS longer
+  FROM c, unnest([2, 3]) t(m), unnest(range(1, words - m + 2)) u(i) WHERE m < words),
+gone AS (
+  SELECT DISTINCT lang, phrase FROM c JOIN inside USING (lang, phrase) WHERE 100 * longer::HUGEINT >= 80 * a::HUGEINT),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+  FROM c ANTI JOIN gone USING (lang, phrase), unnest(range(1, words)) t(cut)),
+s AS (
+  SELECT cuts.lang, phrase, a, l.f AS l, r.f AS r, (2000000 * a::HUGEINT // (l.f + r.f))::BIGINT AS score,
+         row_number() OVER (PARTITION BY cuts.lang, phrase ORDER BY 2000000 * a::HUGEINT // (l.f + r.f), cut) AS weakest
+  FROM cuts JOIN g l ON l.lang = cuts.lang AND l.g = head JOIN g r ON r.lang = cuts.lang AND r.g = tail),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s WHERE weakest = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def _crc32_steps() -> list[int]:
+    """What each value of a checksum's last byte adds when it is shifted out (reflected polynomial)."""
+    steps = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(value)
+    return steps
+
+
+def spelling() -> str:
+    return rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+h AS (
+  SELECT run, times,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || x[2 * i + 1:2 * i + 2])::BIGINT for i in range(0, len(x) // 2)]),
+                         lambda c, y: xor(c >> 8, list_extract({_crc32_steps()}::BIGINT[], (xor(c, y) & 255) + 1))), 4294967295) AS h
+  FROM b),
+e AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times
+  FROM h),
+n AS (SELECT word, sum(times)::BIGINT AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+d AS (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS less FROM n, unnest(range(0, length(word))) u(i)),
+near AS (
+  SELECT d.word, o.word AS near, o.n AS near_n FROM d JOIN n o ON d.less = o.word
+  UNION SELECT o.word, d.word, d.n FROM d JOIN n o ON d.less = o.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+f AS (
+  SELECT n.word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM n LEFT JOIN best USING (word)),
+root AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT root.word, f.form FROM root JOIN f ON root.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, root.root, f.n, f.n_near, f.form_n
+FROM f JOIN root ON root.word = f.word JOIN f last ON last.word = root.root WHERE last.form IS NULL
+"""
+
 
 def license_scan() -> str:
     values = ", ".join("({!r}, {!r})".format(*n) for n in NOTICES)

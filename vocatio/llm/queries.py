@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocatio.llm import (
+    collocations,
     hmm,
+    itq,
     langid,
     license_scan,
     mixing,
@@ -19,6 +21,7 @@ from vocatio.llm import (
     quality,
     scratch,
     simhash,
+    spelling,
     topk,
     wavelet,
 )
@@ -99,6 +102,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -111,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_wavelet_tokens": op9_wavelet_tokens,
         "op10_top_k": op10_top_k,
+        "op11_itq": op11_itq,
+        "op12_collocations": op12_collocations,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -120,4 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": oracles.QUALITY,
         "op7_mixing": oracles.MIXING,
         "op10_top_k": oracles.TOP_K,
+        "op11_itq": oracles.NEAR_VECTORS,
+        "op12_collocations": oracles.COLLOCATIONS,
+        "op13_spelling": oracles.spelling(),
     }
