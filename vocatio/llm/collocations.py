@@ -39,7 +39,7 @@ SUBSUMED = 80
 END = 0
 SEGMENTS = 64
 HOT = 1000
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 6 << 20
 BROADCAST_ROWS = 500_000
 SALTS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
