@@ -182,6 +182,13 @@ def test_words_that_share_a_hash_are_counted_with_another_seed(spark, monkeypatc
     assert ordered(rows_of(collocations.phrases(docs, 3, 100))) == ordered(best_phrases([r[1:] for r in rows], 3, 100))
 
 
+def test_more_words_than_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_WORDS", 5)  # words travel as hashes
+    rows = prose(12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert ordered(rows_of(collocations.phrases(docs, 3, 5000))) == ordered(best_phrases([r[1:] for r in rows], 3, 5000))
+
+
 def test_hot_stripes_are_cut(spark, monkeypatch):
     monkeypatch.setattr(collocations, "HOT", 1_000_000)  # every word and pair counts as hot
     rows = prose(11)

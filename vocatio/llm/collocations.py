@@ -1,18 +1,20 @@
 """Phrases of two to four words that stand together more often than their parts, by stripes.
 
 Every prefix of one to three words keys a stripe: an associative counter of its next words, with
-``END`` for a prefix that ends its piece or goes on with a word that cannot be part of a phrase.
+``END`` for a word that ends its piece or goes on with a word that cannot be part of a phrase.
 Stripes of a batch are built in one pass over its tokens, dealt out by prefix and merged
 elementwise.  A merged stripe holds all three things that scoring needs: the frequent extensions
-(the phrases themselves), its total (the prefix's own count, for phrases as parts of others) and
+(the phrases themselves, and so the totals of longer prefixes), its own total (a word's count) and
 its largest extension (which may subsume the prefix on its right; the mirror image, by suffix, is
 taken from the extensions).
 
 Three passes read the texts: words, stripes of one word, stripes of two and three.  A phrase as
 frequent as ``least`` has only words, and only neighbouring pairs, that are as frequent; the others
 are kept out of the stripes by bitmaps of bounded size (``bitmaps``), which lose nothing.  Words
-travel as 64-bit hashes; whether two words of a language share one is looked up in the vocabulary,
-and if so the words are counted anew with another seed, so results are exact.  The stripe of a
+have 64-bit hashes; whether two words of a language share one is looked up in the vocabulary, and if
+so the words are counted anew with another seed, so results are exact.  Up to ``MOST_WORDS`` frequent
+words are numbered (their sorted hashes are broadcast) and travel as four bytes, beyond that as their
+hashes, with the same result.  The stripe of a
 prefix that makes up a thousandth of all words is cut by next word into ``SEGMENTS`` rows, so that
 no task merges a hot prefix alone.
 
@@ -43,8 +45,9 @@ SLICE_BYTES = 6 << 20
 BROADCAST_ROWS = 500_000
 SALTS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-STRIPE = "lang string, p1 long, p2 long, p3 long, segment int, nexts array<long>, counts array<long>"
-MERGED = "lang string, p1 long, p2 long, p3 long, total long, best long, nexts array<long>, counts array<long>, keys array<long>"
+MOST_WORDS = 8_000_000
+STRIPE = "lang string, p1 {0}, p2 {0}, p3 {0}, segment int, nexts array<{0}>, counts array<int>"
+MERGED = "lang string, p1 {0}, p2 {0}, p3 {0}, total long, best long, nexts array<{0}>, counts array<long>, keys array<long>"
 KEY = ["lang", "p1", "p2", "p3"]
 
 
@@ -122,28 +125,71 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * MIX[0] + b) * MIX[1]
 
 
-def _stripes(w: Words, prefix: list[np.ndarray], following: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+class Numbers:
+    """Words as numbers: places in the sorted hashes of all frequent words from 1 on, or their hashes
+    where there are more of them than ``MOST_WORDS``.  ``END`` for a word that is not frequent."""
+
+    def __init__(self, often: DataFrame) -> None:
+        self.context = often.sparkSession.sparkContext
+        self.placed = often.count() <= MOST_WORDS
+        self.kind = "int" if self.placed else "long"
+        if self.placed:
+            found = often.select("h").toArrow().column("h").to_numpy().view(np.uint64)
+            self.known = self.context.broadcast(np.unique(found))
+        else:
+            self.known = bitmaps.shared(often, "h")
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.placed:
+            return np.where(bitmaps.perhaps(self.known.value, hashes), hashes, np.uint64(END)).view(np.int64)
+        known = self.known.value
+        if not len(known):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at + 1, END).astype(np.int32)
+
+    def named(self, words: DataFrame) -> DataFrame:
+        """``words`` (lang, h, word) with their numbers as h."""
+        of = self.of
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = pa.array(of(batch.column(1).to_numpy().view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), h, batch.column(2)], names=["lang", "h", "word"])
+
+        return words.select("lang", "h", "word").mapInArrow(run, f"lang string, h {self.kind}, word string")
+
+    def __getstate__(self) -> dict:  # tasks have no context
+        return {k: v for k, v in self.__dict__.items() if k != "context"}
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unsigned key of a pair of numbers."""
+    return _mixed(a.astype(np.int64).view(np.uint64), b.astype(np.int64).view(np.uint64))
+
+
+def _stripes(w: Words, number: np.ndarray, prefix: list[np.ndarray], following: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
     """Stripes of prefixes (a row of word positions each) with their next word's position, or -1."""
     start = prefix[0].astype(np.int64)
     for more in prefix[1:]:  # number the different prefixes
         start = np.unique(start << 32 | more, return_inverse=True)[1]
-    hashes = np.append(w.hashes, np.uint64(END))
-    segment = np.where(hot, hashes[following] % np.uint64(SEGMENTS), 0).astype(np.int64)
+    numbers = np.append(number, number.dtype.type(END))
+    segment = np.where(hot, numbers[following] % SEGMENTS, 0).astype(np.int64)
     row = np.unique(start * SEGMENTS + segment, return_inverse=True)[1]
     entry, first, count = np.unique(row << 32 | (following + 1), return_index=True, return_counts=True)
     heads = np.flatnonzero(np.diff(entry >> 32, prepend=-1))
     offsets = pa.array(np.append(heads, len(entry)), pa.int32())
     of = first[heads]
-    columns = [w.hashes[p[of]].view(np.int64) for p in prefix] + [np.zeros(len(of), np.int64)] * (3 - len(prefix))
+    columns = [number[p[of]] for p in prefix] + [np.zeros(len(of), number.dtype)] * (3 - len(prefix))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([w.languages[x] for x in w.lang[prefix[0][of]].tolist()], pa.string()),
             *map(pa.array, columns),
             pa.array(segment[of].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, pa.array(hashes[following[first]].view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64))),
+            pa.ListArray.from_arrays(offsets, pa.array(numbers[following[first]])),
+            pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
         ],
-        names=[c.split()[0] for c in STRIPE.split(", ")],
+        names=["lang", "p1", "p2", "p3", "segment", "nexts", "counts"],
     )
 
 
@@ -162,7 +208,7 @@ def _merge(stripes: DataFrame, least: int) -> DataFrame:
             group = np.cumsum(new) - 1
             flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
             size = pc.list_value_length(rows.column("nexts")).to_numpy()
-            owner, following, count = np.repeat(group, size), flat("nexts"), flat("counts")
+            owner, following, count = np.repeat(group, size), flat("nexts"), flat("counts").astype(np.int64)
             order = np.lexsort((following, owner))
             owner, following, count = owner[order], following[order], count[order]
             differs = (owner[1:] != owner[:-1]) | (following[1:] != following[:-1])
@@ -175,7 +221,7 @@ def _merge(stripes: DataFrame, least: int) -> DataFrame:
                 at = heads[-1]
                 kept = groups.slice(groups.num_rows - 1).select(KEY + ["segment"])
                 kept = kept.append_column("nexts", pa.array([following[at:]], rows.schema.field("nexts").type))
-                kept = kept.append_column("counts", pa.array([count[at:]], rows.schema.field("counts").type))
+                kept = kept.append_column("counts", pa.array([count[at:]], pa.list_(pa.int64())))
                 owner, following, count, heads = owner[:at], following[:at], count[:at], heads[:-1]
                 groups = groups.slice(0, groups.num_rows - 1)
             total = np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)
@@ -184,24 +230,25 @@ def _merge(stripes: DataFrame, least: int) -> DataFrame:
             best = np.zeros(len(total), np.int64)
             np.maximum.at(best, owner, count)
             cuts = pa.array(np.searchsorted(owner, np.arange(len(total) + 1)), pa.int32())
-            p1 = groups.column("p1").to_numpy()
-            key = _mixed(p1[owner].view(np.uint64), following.view(np.uint64)).view(np.int64)
+            key = _key(groups.column("p1").to_numpy()[owner], following).view(np.int64)
             arrays = [groups.column(c).combine_chunks() if groups.num_rows else pa.array([], groups.schema.field(c).type) for c in KEY]
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (following, count, key)]
-            batch = pa.RecordBatch.from_arrays([*arrays, pa.array(total), pa.array(best), *lists], names=[c.split()[0] for c in MERGED.split(", ")])
-            return batch, kept
+            found = pa.RecordBatch.from_arrays([*arrays, pa.array(total), pa.array(best), *lists], names=[*KEY, "total", "best", "nexts", "counts", "keys"])
+            return found, kept
 
         for batch in batches:
             if batch.num_rows:
                 rows = pa.Table.from_batches([batch])
+                rows = rows.set_column(6, "counts", rows.column("counts").cast(pa.list_(pa.int64())))
                 rows = pa.concat_tables([held, rows]) if held is not None else rows
                 found, held = out(rows, last=False)
                 yield found
         if held is not None:
             yield out(held, last=True)[0]
 
+    kind = stripes.schema["p1"].dataType.simpleString()
     dealt = stripes.repartition(*KEY, "segment").sortWithinPartitions(*KEY, "segment")
-    return dealt.mapInArrow(run, MERGED)
+    return dealt.mapInArrow(run, MERGED.format(kind))
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -211,32 +258,32 @@ def _small(table: DataFrame) -> DataFrame:
 
 def _columns(words: Column, names: str) -> list[Column]:
     """An array of one to three hashes as three columns, ``END`` where there is none."""
-    return [F.coalesce(F.get(words, k), F.lit(END).cast("long")).alias(f"{names}{k + 1}") for k in range(3)]
+    return [F.coalesce(F.get(words, k), F.lit(END)).alias(f"{names}{k + 1}") for k in range(3)]
 
 
-def stripes(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
-    """Merged stripes of all prefixes of one to three words (``MERGED``)."""
+def stripes(docs: DataFrame, words: DataFrame, number: Numbers, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Merged stripes (``MERGED``) of prefixes of one word, and of two and three."""
     context = docs.sparkSession.sparkContext
     first = words.select("seed").first()
     seed = first.seed if first else 0
     total = words.agg(F.sum("n")).first()[0] or 0
-    often = words.filter(F.col("n") >= least)
-    known = bitmaps.shared(often, "h")
     hot = words.filter(F.col("n") * HOT >= total).select("h").collect()  # HOT words at most
     hot_words = context.broadcast(np.array([r.h for r in hot], np.int64).view(np.uint64))
+    kind = number.kind
 
     def of_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _slices(batches):
             w = Words(langs, texts, seed)
-            frequent = bitmaps.perhaps(known.value, w.hashes)[w.word]
-            goes_on = np.append(w.piece[1:] == w.piece[:-1], False) & np.append(frequent[1:], False)[: len(frequent)]
+            numbers = number.of(w.hashes)
+            frequent = (numbers != END)[w.word]
+            goes_on = np.append((w.piece[1:] == w.piece[:-1]) & frequent[1:], False)[: len(frequent)]
             at = np.flatnonzero(frequent)
             if len(at):
                 following = np.where(goes_on[at], np.append(w.word, -1)[at + 1], -1)
-                yield _stripes(w, [w.word[at]], following, np.isin(w.hashes, hot_words.value)[w.word[at]])
+                yield _stripes(w, numbers, [w.word[at]], following, np.isin(w.hashes, hot_words.value)[w.word[at]])
 
-    singles = scratch.written(_merge(_read(docs).mapInArrow(of_one, STRIPE), least), "stripes-of-one")
-    pairs = singles.select("p1", F.explode(F.arrays_zip("nexts", "counts", "keys")).alias("x")).select("x.counts", "x.keys")
+    singles = scratch.written(_merge(_read(docs).mapInArrow(of_one, STRIPE.format(kind)), least), "stripes-of-one")
+    pairs = singles.select(F.explode(F.arrays_zip("counts", "keys")).alias("x")).select("x.counts", "x.keys")
     pairs = scratch.written(pairs, "pairs")
     joined = bitmaps.shared(pairs, "keys")
     hot = pairs.filter(F.col("counts") * HOT >= total).select("keys").collect()  # HOT pairs at most
@@ -245,20 +292,21 @@ def stripes(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
     def of_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _slices(batches):
             w = Words(langs, texts, seed)
-            if len(w.word) < 2:
+            if len(w.word) < 3:
                 continue
-            key = _mixed(w.hashes[w.word[:-1]], w.hashes[w.word[1:]])
-            pair = np.append(bitmaps.perhaps(joined.value, key) & (w.piece[1:] == w.piece[:-1]), [False, False, False])
-            word = np.append(w.word, [-1, -1, -1])
-            two = np.flatnonzero(pair[:-1])
-            three = two[pair[two + 1]]
-            for at, size in ((two, 2), (three, 3)):
+            numbers = number.of(w.hashes)
+            one = numbers[w.word]
+            key = _key(one[:-1], one[1:])
+            pair = bitmaps.perhaps(joined.value, key) & (w.piece[1:] == w.piece[:-1]) & (one[:-1] != END) & (one[1:] != END)
+            three = np.flatnonzero(pair[:-1] & pair[1:])  # where three words go on, and four
+            four = np.flatnonzero(pair[:-2] & pair[1:-1] & pair[2:])
+            for at, size in ((three, 2), (four, 3)):
                 if len(at):
-                    following = np.where(pair[at + size - 1], word[at + size], -1)
-                    yield _stripes(w, [word[at + k] for k in range(size)], following, np.isin(key[at], hot_pairs.value))
+                    prefix = [w.word[at + k] for k in range(size)]
+                    yield _stripes(w, numbers, prefix, w.word[at + size], np.isin(key[at], hot_pairs.value))
 
-    longer = scratch.written(_merge(_read(docs).mapInArrow(of_more, STRIPE), least), "longer-stripes")
-    return singles.unionByName(longer)
+    longer = scratch.written(_merge(_read(docs).mapInArrow(of_more, STRIPE.format(kind)), least), "longer-stripes")
+    return singles, longer
 
 
 def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int = SUBSUMED) -> DataFrame:
@@ -266,12 +314,18 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int =
     occurrences or more that no longer one with ``subsumed`` percent of theirs contains, by the score
     of their weakest cut."""
     words = vocabulary(docs)
-    merged = stripes(docs, words, least)
-    parts = merged.groupBy(*KEY).agg(F.sum("total").alias("f"), F.max("best").alias("best")).filter(F.col("f") >= least)
-    parts = scratch.written(parts, "parts")
-    entry = merged.select(*KEY, F.explode(F.arrays_zip("nexts", "counts")).alias("x"))
+    often = words.filter(F.col("n") >= least)
+    number = Numbers(often)
+    singles, longer = stripes(docs, words, number, least)
+    both = singles.unionByName(longer)
+    entry = both.select(*KEY, F.explode(F.arrays_zip("nexts", "counts")).alias("x"))
     own = F.filter(F.array("p1", "p2", "p3", "x.nexts"), lambda h: h != END)
     found = scratch.written(entry.select("lang", own.alias("w"), F.col("x.counts").alias("a")), "phrases")
+    totals = singles.groupBy(*KEY).agg(F.sum("total").alias("f")).filter(F.col("f") >= least)
+    parts = found.filter(F.size("w") < 4).select("lang", *_columns(F.col("w"), "p"), F.col("a").alias("f"))
+    parts = scratch.written(totals.unionByName(parts), "parts")
+    rights = both.filter("best > 0").groupBy(*KEY).agg(F.max("best").alias("best"))
+    rights = scratch.written(rights, "prefixes")
 
     def exact(of: str, by: str) -> Column:
         return F.col(of).cast("decimal(20,0)") * F.lit(by).cast("decimal(8,0)")
@@ -284,7 +338,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int =
     small_parts = _small(parts)
     whole = found.filter(F.size("w") == 4).select("lang", "w", "a")
     inner = found.filter(F.size("w") < 4).select("lang", "w", "a", *_columns(F.col("w"), "o"))
-    inner = inner.join(named(small_parts, "o", right_best="best"), ["lang", "o1", "o2", "o3"], "left")
+    inner = inner.join(named(_small(rights), "o", right_best="best"), ["lang", "o1", "o2", "o3"], "left")
     inner = inner.join(_small(lefts), ["lang", "o1", "o2", "o3"], "left")
     largest = F.greatest(F.coalesce("right_best", F.lit(0)), F.coalesce("left_best", F.lit(0)))
     inner = inner.withColumn("largest", largest).filter(exact("largest", "100") < exact("a", str(subsumed)))
@@ -299,7 +353,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int =
     scored = cut.groupBy("lang", "w", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("weakest"))
     scored = scratch.written(scored.select("lang", "w", "a", "weakest.l", "weakest.r", "weakest.score"), "scored")
 
-    name = _small(scratch.written(words.filter(F.col("n") >= least).select("lang", "h", "word"), "frequent-words"))
+    name = _small(scratch.written(number.named(often), "frequent-words"))
     part = scored.select("lang", "w", F.posexplode("w").alias("at", "h")).join(name, ["lang", "h"])
     text = part.groupBy("lang", "w").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("x"))
     text = text.select("lang", "w", F.array_join("x.word", " ").alias("phrase"))
