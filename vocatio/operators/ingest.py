@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vocatio.functions.location import classify
 from vocatio.functions.redaction import redacted, redacted_by_spans, still_personal
 from vocatio.functions.text import company_key, content_hash, employment_type
-from vocatio.operators.tables import absent, keep_last, outcome_counts, payload_rows, versioned_upsert
+from vocatio.operators.tables import absent, outcome_counts, payload_rows, versioned_fold
 from vocatio.plans.stored import written
 from vocatio.sources.files import job_records
 
@@ -24,18 +24,23 @@ def resolve_companies(existing: DataFrame, mentions: DataFrame, now: Column) ->
     """Next companies, and (mention_id, company_id, ambiguous) for ``mentions`` (mention_id, name,
     domain, in the order of ``seq``).
 
-    A name that one company has is that company, whose missing domain is filled in; among several
-    the exact domain decides; a name that none has, or a domain that none of several has, makes a
-    company.  Without a domain, several candidates make one new company a batch.
+    Each mention sees what those before it made.  A name that one company has is that company, whose
+    missing domain is filled in; among several the exact domain decides; a name that none has, or a
+    domain that none of several has, makes a company; a mention without a domain makes one of its own
+    where there are several, as nothing says which is meant.  No name has to be gone through in order
+    for that: one that no company had gets one company from its first mention and keeps to it, one
+    that a single company had never gets a second, and among several only domains and the mentions
+    without one matter, which do not depend on each other.
     """
-    m = mentions.withColumn("normalized_name", company_key(F.col("name")))
+    m = mentions.withColumn("normalized_name", company_key(F.col("name"))).withColumn("domain", F.nullif("domain", F.lit("")))
     counts = existing.groupBy("normalized_name").agg(
         F.count("*").alias("n"), F.min("company_id").alias("only")
     )
     exact = existing.filter("domain IS NOT NULL").groupBy("normalized_name", "domain").agg(F.min("company_id").alias("exact"))
     m = m.join(counts, "normalized_name", "left").join(exact, ["normalized_name", "domain"], "left")
     several = F.coalesce(F.col("n"), F.lit(0)) > 1
-    made = company_id(F.col("normalized_name"), F.when(several, F.coalesce("domain", F.lit("?"))))
+    alone = F.concat(F.lit("?"), F.col("mention_id").cast("string"))  # a blank domain is none
+    made = company_id(F.col("normalized_name"), F.when(several, F.coalesce("domain", alone)))
     found = F.coalesce("exact", F.when(F.col("n") == 1, F.col("only")))
     m = m.withColumn("company_id", F.coalesce(found, made)).withColumn("is_new", found.isNull())
     m = m.withColumn("ambiguous", several & F.col("exact").isNull())
@@ -96,16 +101,16 @@ class Ingested:
 def ingest(
     landed: DataFrame, postings: DataFrame, companies: DataFrame, raw_documents: DataFrame, now: Column
 ) -> Ingested:
-    """One batch of landed payloads (source_id, url, fetched_at, payload).  Of several payloads of a
-    posting the latest counts; a row that fails never stops the others."""
+    """One batch of landed payloads (source_id, url, fetched_at, payload).  Several payloads of a
+    posting count one after the other, as they were fetched, so every change writes a version; a row
+    that fails never stops the others."""
     p = written(prepared(landed), "prepared")  # parsed and redacted once for all tables
-    fit = keep_last(p.filter("fate IS NULL"), ["source_id", "source_posting_id"], [F.col("fetched_at"), F.col("clean")])
-    mention = F.concat_ws("\n", "source_id", "source_posting_id")
-    mentions = fit.select(
-        mention.alias("mention_id"),
-        F.col("company_name").alias("name"),
-        F.lit(None).cast("string").alias("domain"),
-        F.struct("fetched_at", "source_posting_id").alias("seq"),
+    fit = p.filter("fate IS NULL")
+    # a posting names its company once a batch and by one id, so that a rerun finds what it made
+    mention = F.concat_ws("\n", "source_id", "source_posting_id", company_key(F.col("company_name")))
+    order = F.struct("fetched_at", "source_posting_id", "company_name")
+    mentions = fit.groupBy(mention.alias("mention_id")).agg(
+        F.min_by("company_name", order).alias("name"), F.lit(None).cast("string").alias("domain"), F.min(order).alias("seq")
     )
     next_companies, resolved = resolve_companies(companies, mentions, now)
     batch = fit.withColumn("mention_id", mention).join(resolved.select("mention_id", "company_id"), "mention_id").select(
@@ -123,9 +128,12 @@ def ingest(
         F.col("loc.reason").alias("scope_reason"),
         "posted_at",
         content_hash(F.col("title"), F.col("clean")).alias("content_hash"),
+        "fetched_at",
     )
     keys = ["source_id", "source_posting_id"]
-    head, versions, outcomes = versioned_upsert(postings, batch, keys, batch.columns[2:], "content_hash", now)
+    content = [c for c in batch.columns if c not in (*keys, "fetched_at")]
+    in_order = [F.col("fetched_at"), F.col("content_hash"), F.hash(*content)]
+    head, versions, outcomes = versioned_fold(postings, batch, keys, content, "content_hash", in_order, now)
     api = landed.select("source_id", "url", F.lit("api_response").alias("doc_type"), "payload", "fetched_at")
     clean = fit.select("source_id", "url", F.lit("posting_description").alias("doc_type"), F.col("clean").alias("payload"), now.alias("fetched_at"))
     both = api.unionByName(clean)

@@ -1,8 +1,9 @@
 """Profiles against demand: which asked-for skills a profile supports, and by what.
 
-Phrases meet texts on words, not by comparing every pair: a phrase is keyed by one of its words, a
-text by all of its different ones, and only pairs that share a key are verified.  A verified phrase
-always has its key in the text, so nothing is lost.
+Phrases meet texts in one pass over each text, by an automaton over all phrases (``phrases``).  More
+phrases than one automaton holds meet texts on words: a phrase is keyed by one of its words, a text
+by all of its different ones, and only pairs that share a key are verified.  A verified phrase always
+has its key in the text, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions.text import slug, stands_alone, trimmed
+from vocatio.operators import phrases as scan
 
 WORD = r"[a-z0-9]+"
 TIERS = ("verified", "coursework", "transferable", "not_verified")
@@ -31,8 +33,8 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     the text; all columns of both.  The empty phrase and null text match nothing.
 
     ``on``: columns that must be equal besides; a value of theirs has few phrases (the skills that a
-    role asks for), so each text meets all of them.  Without it, up to ``broadcast`` phrases go to
-    every executor, and texts never move.  More of them are joined by word with the texts' hashes,
+    role asks for), so each text meets all of them.  Without it, up to ``broadcast`` phrases become
+    one automaton, and texts are read once and never move.  More of them are joined by word with the texts' hashes,
     hot words split over several tasks; a text moves once, to its candidates.
     """
     phrases = phrases.filter("phrase <> ''")
@@ -40,13 +42,14 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, on: list[str] | None =
     named = F.when(F.contains(F.lower("text"), F.lower("phrase")), stands_alone(F.col("text"), F.col("phrase"))).otherwise(False)
     if on:
         return texts.join(phrases, on).filter(named)
+    known = scan.collected(phrases, most=broadcast)
+    if known is not None:
+        hits = scan.scanned(texts, known).withColumn("_hit", F.explode("hits")).drop("hits")
+        lower = phrases.withColumn("_hit", F.lower("phrase"))
+        return hits.join(F.broadcast(lower) if lower.count() <= broadcast else lower, "_hit").drop("_hit")
     # a phrase without a letter or digit meets texts on its first sign
     keys = F.explode(_parts(F.col("text"), WORD + "|[^a-z0-9]"))
     first_sign = F.substring(F.lower("phrase"), 1, 1)
-    if phrases.count() <= broadcast:
-        longest = F.array_max(F.transform(words_of(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-        keyed = phrases.withColumn("_word", F.coalesce(longest, first_sign))
-        return texts.withColumn("_word", keys).join(F.broadcast(keyed), "_word").drop("_word").filter(named)
     own = words_of(F.col("phrase"))
     parts = phrases.select("phrase", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(first_sign))).alias("_word")).distinct()
     hashed = texts.withColumn("_text", F.xxhash64("text"))
@@ -169,10 +172,22 @@ def ranked_jobs(jobs: DataFrame, supported: DataFrame, top: int | None = None) -
     return mine.join(hits, "mine").select("profile_id", "job_id", "pos", "asked", "matched", "place")
 
 
+def named_phrases(texts: DataFrame, phrases: DataFrame, broadcast: int = BROADCAST_PHRASES) -> DataFrame:
+    """(text_id, phrase), each once, of ``texts`` (text_id, text) and ``phrases`` (phrase) that stand
+    alone in them.  Texts are not carried along; beyond ``broadcast`` phrases they are read once for
+    each part of the phrases."""
+    out = None
+    for part in scan.parts(phrases, broadcast):
+        hits = scan.scanned(texts, part, ["text_id"]).select("text_id", F.explode("hits").alias("_hit"))
+        out = hits if out is None else out.unionByName(hits)
+    lower = phrases.select("phrase", F.lower("phrase").alias("_hit")).distinct()
+    return out.join(lower, "_hit").select("text_id", "phrase").distinct()
+
+
 def skill_frequency(postings: DataFrame, skills: DataFrame) -> DataFrame:
     """Share of ``postings`` (posting_id, text) that name each skill (phrase), ranked."""
     texts = postings.select(F.col("posting_id").alias("text_id"), "text")
-    hits = phrase_matches(texts, skills.select("phrase")).groupBy("phrase").agg(F.count_distinct("text_id").alias("n_postings"))
+    hits = named_phrases(texts, skills.select("phrase")).groupBy("phrase").agg(F.count("*").alias("n_postings"))
     total = postings.agg(F.count_distinct("posting_id")).first()[0]
     share = F.round(F.col("n_postings") / total, 6) if total else F.lit(0.0)
     every = skills.select("phrase").distinct().join(hits, "phrase", "left").fillna(0, ["n_postings"])
@@ -182,7 +197,8 @@ def skill_frequency(postings: DataFrame, skills: DataFrame) -> DataFrame:
 
 def tagged(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``texts`` with the array of vocabulary entries (pos, phrase) they name, in vocabulary order."""
-    hits = phrase_matches(texts, vocabulary).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("pos", "phrase"))).alias("t"))
+    found = named_phrases(texts, vocabulary).join(vocabulary.select("pos", "phrase"), "phrase")
+    hits = found.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("pos", "phrase"))).alias("t"))
     rows = texts.join(hits, "text_id", "left")
     return rows.withColumn("skills", F.coalesce(F.transform("t", lambda x: x["phrase"]), F.array().cast("array<string>"))).drop("t")
 

@@ -88,6 +88,62 @@ def versioned_upsert(
     return both.select(*columns), versions, both.filter(seen).select(*keys, "outcome")
 
 
+def versioned_fold(
+    head: DataFrame, batch: DataFrame, keys: list[str], content: list[str], hash_column: str, order: list[Column], now: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Next head, versions to append, and an outcome for every row of ``batch``, whose rows of a key
+    count one after the other in ``order``.
+
+    A row whose hash differs from what its key had just before (the row before it, or the head for
+    the first) writes that as a version, numbered by ``change_no``, and is the key's content from
+    then on; the head ends with the content of the last such row, so a batch with two changes writes
+    two versions.  Other rules are those of ``versioned_upsert``; the company of a known posting
+    stays, and of a new one it is that of its first row.  A key's rows meet in one task, sorted and
+    spilled, without its texts.
+    """
+    old = [c for c in ("title", "description_sha256", hash_column) if c in head.columns]
+    known = head.select(*keys, F.struct(*old).alias("_head"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = batch.join(known, keys, "left").withColumn("_place", F.row_number().over(w))
+    rows = rows.withColumn("_was", F.coalesce(F.lag(F.struct(*old)).over(w), F.col("_head")))
+    same = F.col(f"_was.{hash_column}").eqNullSafe(F.col(hash_column))
+    rows = rows.withColumn("outcome", F.when(F.col("_was").isNull(), "new").when(same, "unchanged").otherwise("updated"))
+    rows = rows.withColumn("change_no", F.count_if(F.col("outcome") == "updated").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    versions = rows.filter("outcome = 'updated'").select(*keys, *[F.col(f"_was.{c}").alias(c) for c in old], now.alias("recorded_at"), "change_no")
+    wrote = F.when(F.col("outcome") != "unchanged", F.col("_place"))
+    last = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*content), wrote).alias("_new"), F.min_by(F.struct(*content), "_place").alias("_first"), F.max(wrote).alias("_wrote")
+    )
+    both = head.withColumn("_known", F.lit(True)).join(last.withColumn("_seen", F.lit(True)), keys, "full_outer")
+    seen, known_before = F.col("_seen").isNotNull(), F.col("_known").isNotNull()
+
+    def value(c: str) -> Column:
+        now_has = F.col(c)
+        if c in keys:
+            return now_has
+        if c == "first_seen_at":
+            return F.when(known_before, now_has).otherwise(now)
+        if c == "last_seen_at":
+            return F.when(seen, now).otherwise(now_has)
+        if c == "status":
+            return F.when(seen, F.lit("active")).otherwise(now_has)
+        if c == "closed_at":
+            return F.when(~seen, now_has)
+        if c == "company_id":
+            return F.when(known_before, now_has).otherwise(F.col("_first.company_id"))
+        return F.when(F.col("_wrote").isNotNull(), F.col(f"_new.{c}")).otherwise(now_has) if c in content else now_has
+
+    return both.select(*[value(c).alias(c) for c in head.columns]), versions, rows.select(*keys, "outcome")
+
+
+def fresh_payloads(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """Rows of ``payload_rows`` that the store lacks.  Only the store's partitions that the batch
+    touches are read: their prefixes (256 at most) become a filter on the partition column."""
+    touched = [r.prefix for r in rows.select("prefix").distinct().collect()]
+    there = store.filter(F.col("prefix").isin(touched)).select("prefix", "sha256")
+    return rows.join(there, ["prefix", "sha256"], "left_anti")
+
+
 def change_chain(batch: DataFrame, keys: list[str], hash_column: str, order: Column) -> DataFrame:
     """Several rows of one key in a batch: those whose hash differs from the row before, with it."""
     w = Window.partitionBy(*keys).orderBy(order)

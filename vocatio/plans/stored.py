@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-The cluster names that folder in ``spark.checkpoint.dir``; a temporary folder is set only where
-the session leaves it unset (tests, one-machine runs).
+The cluster names that folder in ``spark.checkpoint.dir``.  Only where one process runs all tasks
+(a local master: tests, one-machine runs) does a temporary folder stand in for it; elsewhere the
+tables would be spread over machines that do not see each other's, so that is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ def root(spark: SparkSession) -> str:
     """The shared folder of this session."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vocatio-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -71,7 +71,14 @@ TABLES = {
     ),
     "posting_versions": Table(
         "source_id string, source_posting_id string, title string, description_sha256 string, content_hash string, "
-        "recorded_at timestamp",
-        ("source_id", "source_posting_id", "content_hash", "recorded_at"),
+        "recorded_at timestamp, change_no int",
+        ("source_id", "source_posting_id", "recorded_at", "change_no"),
+    ),
+    "payloads": Table("prefix string, key string, sha256 string, n_bytes long, payload string", ("sha256",)),
+    "rejected": Table("source_id string, url string, fate string, rejected string, reason string, at timestamp", ("source_id", "url", "at")),
+    "counters": Table(
+        "source_id string, seen long, new long, updated long, unchanged long, excluded_non_us long, parse_failed long, "
+        "quarantined long, at timestamp",
+        ("source_id", "at"),
     ),
 }

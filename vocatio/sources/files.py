@@ -146,5 +146,10 @@ def triaged(files: DataFrame, least: int = 1, most: int = 15 * 1024 * 1024) -> D
 
 
 def stored_payloads(documents: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Documents with their payloads, read by content hash."""
-    return documents.join(payloads.select("sha256", "payload"), "sha256")
+    """Documents with their payloads, read by content hash.  Of a store that is partitioned by
+    prefix only the partitions of the documents asked for are read."""
+    if "prefix" not in payloads.columns:
+        return documents.join(payloads.select("sha256", "payload"), "sha256")
+    prefix = F.substring("sha256", 1, 2)
+    asked = documents.drop("prefix").withColumn("prefix", prefix)
+    return asked.join(payloads.select("prefix", "sha256", "payload"), ["prefix", "sha256"]).drop("prefix")
