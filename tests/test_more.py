@@ -110,9 +110,9 @@ def test_credentials_and_headings(spark):
     assert got == {
         "5+ years of SQL.": ("required", [], None),
         "AWS Certified or CISSP.": ("required", ["aws_certified", "cissp"], None),
-        "A master's degree.": ("preferred", [], "masters"),
+        "A master's degree.": ("preferred", [], "master"),
         "PMP holders smile.": ("unknown", ["pmp"], None),
     }
     good, bad = planned.evidenced(found)
     assert good.count() == 4 and bad.count() == 0
-    assert {r.credential for r in planned.asked_credentials(found).collect()} == {"aws_certified", "cissp", "masters", "pmp"}
+    assert {r.credential for r in planned.asked_credentials(found).collect()} == {"aws_certified", "cissp", "master", "pmp"}

@@ -3,26 +3,37 @@ majors, freshness, review, and the questions they answer."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions.text import collapsed
+from vocatio.operators import phrases as scan
 
-MAX_REFERENCES = 20_000
-YEARS = r"(?i)(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*(?:years|yrs)|(\d{1,2})\s*(\+?)\s*(?:or more\s+)?(?:years|yrs)"
+PART_REFERENCES = 20_000
+YEARS = r"(?i)(?<![\d.])(?:(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*(?:years|yrs)|(\d{1,2})\s*(\+?)\s*(?:or more\s+)?(?:years|yrs))"
+# The seven levels of a degree.  How they are written is this module's own.
 DEGREE_WORDS = [
-    ("doctorate", r"(?i)\b(ph\.?d|doctorate|doctoral)\b"),
-    ("masters", r"(?i)\b(master'?s?|m\.?s\.?c?|mba)\b"),
-    ("bachelors", r"(?i)\b(bachelor'?s?|b\.?s\.?c?|b\.?a\.?)\b"),
-    ("associate", r"(?i)\bassociate'?s? degree\b"),
-    ("certificate", r"(?i)\bcertificate\b"),
-    ("high_school", r"(?i)\b(high school|ged)\b"),
+    ("doctorate", r"(?i)\b(ph\.?\s?d\b|doctorate|doctoral)"),
+    (
+        "professional",
+        r"(?i)\b(juris doctor|doctor of (medicine|pharmacy|dental|veterinary)|professional degree|pharm\.?\s?d\b|[jm]\.d\.|d\.d\.s\.|d\.v\.m\.|(jd|md|dds|dvm) (degree|required|preferred))",
+    ),
+    (
+        "master",
+        r"(?i)(\bmaster['’]s\b|(?<!scrum )\bmasters\b(?! of)|\bmasters? (of (arts|science|business|engineering|education|public|fine|social|laws)|in|degree)\b"
+        r"|\bmba\b|\bmsc\b|\bm\.\s?(s|a|sc|ed|eng)\.|\b(ms|ma) (degree|in)\b|\b(bs|ba) ?(/|or) ?(ms|ma)\b)",
+    ),
+    ("bachelor", r"(?i)(\bbachelor['’]?s?\b|\bbsc\b|\bb\.\s?(s|a|sc|eng)\.|\b(bs|ba) (degree|in|or)\b|\b(bs|ba) ?/)"),
+    ("associate", r"(?i)(\bassociate['’]?s? degree\b|\bassociate of (arts|science|applied)|\ba\.a\.(s\.)?)"),
+    ("bootcamp_certificate", r"(?i)\b(boot ?camp|certificate)\b"),
+    ("hs_diploma", r"(?i)\b(high[- ]school|secondary school|h\.?s\.? diploma|ged)\b"),
 ]
-# Certifications that postings name, and how they are written.
+# Certifications that postings name, and how they are written: a hand-made list, to be added to.
 CERTIFICATIONS = [
     ("aws_certified", r"(?i)\baws certified\b"),
     ("cissp", r"(?i)\bcissp\b"),
@@ -47,9 +58,38 @@ CERTIFICATIONS = [
 ]
 CUE_PREFERRED = r"(?i)\b(preferred|nice to have|a plus|bonus|desired)\b"
 CUE_REQUIRED = r"(?i)\b(required|must|minimum|need)\b"
-HEADING = r"^\s*(?:#+\s*)?[A-Za-z][A-Za-z '&/]{2,60}:?\s*$"
-HEADING_PREFERRED = r"(?i)\b(preferred|nice to have|bonus|desired)\b"
-HEADING_REQUIRED = r"(?i)\b(required|requirements|qualifications|must have|minimum)\b"
+HEADING_PREFERRED = r"(?i)\b(preferred|nice[- ]to[- ]haves?|bonus|desired)\b"
+HEADING_REQUIRED = r"(?i)\b(required|requirements?|qualifications|must[- ]haves?|minimum|(you['’]ll|you will|you) (need|bring))\b"
+#: A sentence ends at its sign or at the line's end, but not inside a number or after an initial.
+SENTENCE_END = re.compile(r"(?<=[!?\n])|(?<=\.)(?<!\b[A-Za-z]\.)(?<!\bPh\.)(?:(?<!\d\.)|(?!\d))")
+BULLET = re.compile(r"\s*(?:[-*•‣▪–]+|\d{1,2}[.)])\s+|\s+")
+_KIND = r"(?:minimum|basic|required|preferred|desired|additional|key|job|core|main|our|your|the|position|other|technical)"
+_HEAD = (
+    r"(?:requirements?|qualifications?|skills|experience|education|responsibilities|duties|benefits|perks|compensation"
+    r"|nice[- ]to[- ]haves?|must[- ]haves?|bonus(?: points)?|preferred|required|desired|about (?:us|you|the (?:role|job|team|company|position))"
+    r"|who (?:you|we) are|what (?:you['’]ll|you will|you|we) (?:do|need|bring|offer|have)|how to apply|equal opportunity)"
+)
+HEADING = re.compile(rf"\s*(?:#+\s*\S[^\n]*|[^\n.!?\d]{{1,70}}:|(?:{_KIND}\s+)*{_HEAD}(?:\s*(?:and|&|/)\s*(?:{_KIND}\s+)*{_HEAD})*)\s*", re.I)
+
+
+def sentences(text: str) -> Iterator[tuple[int, str, str]]:
+    """(start from 1, sentence, heading above it) of a text, line by line: a line is a heading (a mark
+    before it, a colon behind it, or nothing but the words that headings are made of), an entry of a
+    list, or part of a paragraph.  A heading holds until the next one."""
+    at, above, line_start = 0, "", True
+    for piece in SENTENCE_END.split(text):
+        end = at + len(piece)
+        bullet = BULLET.match(piece) if line_start else None
+        listed = bullet is not None and bullet[0].strip() != ""
+        if line_start and not listed and (piece.endswith("\n") or end == len(text)) and HEADING.fullmatch(piece):
+            above = piece.strip()
+        else:
+            lead = len(bullet[0]) if bullet else len(piece) - len(piece.lstrip())
+            sentence = piece[lead:].rstrip()
+            if sentence:
+                yield at + lead + 1, sentence, above
+        line_start = piece.endswith("\n")
+        at = end
 
 
 def title_key(title: Column) -> Column:
@@ -92,35 +132,67 @@ def fuzzy_titles(postings: DataFrame, names: DataFrame, least: float = 0.5) -> D
     return postings.select("posting_id", title_key(F.col("title")).alias("key")).join(hit, "key").drop("key")
 
 
-def cosine_titles(vectors: DataFrame, references: DataFrame, least: float = 0.5) -> DataFrame:
+def _nearest(known: dict[int, tuple[list, np.ndarray]], vectors: pa.Array, least: float) -> tuple[list, list]:
+    """Code (or none) and cosine of the best reference of each vector, of those of its own length."""
+    codes: list = [None] * len(vectors)
+    best = np.zeros(len(vectors))
+    size = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for dim, (names, units) in known.items():
+        at = np.flatnonzero(size == dim)
+        if not len(at) or not dim:
+            continue
+        v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+        length = np.sqrt((v * v).sum(1))
+        cos = v @ units.T / np.maximum(length, 1e-300)[:, None]
+        place = cos.argmax(1)
+        top = cos[np.arange(len(at)), place]
+        for k in np.flatnonzero((top >= least) & (length > 0)).tolist():
+            codes[at[k]], best[at[k]] = names[place[k]], top[k]
+    return codes, best.tolist()
+
+
+def cosine_titles(vectors: DataFrame, references: DataFrame, least: float = 0.5, part: int = PART_REFERENCES) -> DataFrame:
     """Tier 3 (not in the default cascade): for each of ``vectors`` (posting_id, vector) the best of
-    ``references`` (code, reference) by cosine, ties to the lower code.  References are the vectors of
-    the occupations, a stated set: at most ``MAX_REFERENCES`` rows, which go to every task, and each
-    vector meets them in one product.  Null vectors, and those without length, are left out."""
-    rows = references.filter("reference IS NOT NULL").orderBy("code").limit(MAX_REFERENCES + 1).collect()
-    if len(rows) > MAX_REFERENCES:
-        raise ValueError(f"there are more than {MAX_REFERENCES} reference vectors")
-    vectors = vectors.filter("vector IS NOT NULL")
+    ``references`` (code, reference) by cosine, ties to the lower code.
+
+    References go to the tasks in parts of about ``part`` by hash, one part in memory at a time; each
+    part gives each vector its best, and the best of these counts, so there is no limit to their
+    number.  Vectors meet references of their own length only; null vectors, those with a null in
+    them, and those of length zero are left out on both sides."""
     kind = vectors.schema["posting_id"].dataType.simpleString()
-    schema = f"posting_id {kind}, code string, confidence double, method string"
-    if not rows:
-        return vectors.select("posting_id", F.lit("").alias("code"), F.lit(0.0).alias("confidence"), F.lit("vector").alias("method")).limit(0)
-    codes = np.array([r["code"] for r in rows], object)
-    known = np.array([r["reference"] for r in rows], np.float64)
-    known /= np.maximum(np.sqrt((known**2).sum(1, keepdims=True)), 1e-300)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            v = np.array(batch["vector"].tolist(), np.float64).reshape(len(batch), -1)
-            length = np.sqrt((v**2).sum(1))
-            cos = v @ known.T / np.maximum(length, 1e-300)[:, None] if len(batch) else np.zeros((0, 1))
-            best = cos.argmax(1)
-            top = cos[np.arange(len(batch)), best]
-            value = np.minimum(0.5 + 0.2 * (top - least) / (1 - least), 0.7)
-            out = pd.DataFrame({"posting_id": batch["posting_id"], "code": codes[best], "confidence": value, "method": "vector"})
-            yield out[(top >= least) & (length > 0)]
 
-    return vectors.select("posting_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(nearest, schema)
+    def usable(vector: str) -> Column:
+        v = F.col(vector)
+        return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
+
+    known = references.select("code", F.col("reference").cast("array<double>").alias("reference")).filter(usable("reference"))
+    asked = vectors.select("posting_id", F.col("vector").cast("array<double>").alias("vector")).filter(usable("vector"))
+    asked = asked.withColumn("_row", F.monotonically_increasing_id())
+    parts = max(1, int(np.ceil(known.count() / part)))
+    context, found = vectors.sparkSession.sparkContext, None
+    for k in range(parts):
+        rows = known.filter(F.pmod(F.xxhash64("code", "reference"), F.lit(parts)) == k).orderBy("code").collect()
+        by_dim: dict[int, list] = {}
+        for r in rows:
+            by_dim.setdefault(len(r["reference"]), []).append(r)
+        held = {}
+        for dim, members in by_dim.items():
+            m = np.array([r["reference"] for r in members], np.float64)
+            held[dim] = [r["code"] for r in members], m / np.sqrt((m * m).sum(1, keepdims=True))
+        shared = context.broadcast(held)
+
+        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes, best = _nearest(shared.value, batch.column(1), least)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.string()), pa.array(best)], names=["posting_id", "_row", "code", "cosine"])
+
+        one = asked.mapInArrow(nearest, f"posting_id {kind}, _row long, code string, cosine double").filter("code IS NOT NULL")
+        found = one if found is None else found.unionByName(one)
+    if parts > 1:
+        best = F.min_by(F.struct("posting_id", "code", "cosine"), F.struct(-F.col("cosine"), "code"))
+        found = found.groupBy("_row").agg(best.alias("b")).select("b.*")
+    confidence = F.least(0.5 + 0.2 * (F.col("cosine") - least) / (1 - least), F.lit(0.7))
+    return found.select("posting_id", "code", confidence.alias("confidence"), F.lit("vector").alias("method"))
 
 
 def cascade(*tiers: DataFrame) -> DataFrame:
@@ -177,22 +249,23 @@ def certifications(text: Column) -> Column:
 
 
 def requirements(postings: DataFrame) -> DataFrame:
-    """Sentences of ``postings`` (posting_id, text) that state years, a degree, a certification or a
-    clearance, with their offsets in code points (start counts from 1).  Required or preferred by a
-    cue, else by the last heading (a short line of letters) before the sentence."""
-    pieces = F.filter(F.split("text", r"(?<=[.!?\n])"), lambda s: s != "")
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(s)))
-    above = F.aggregate(
-        pieces,
-        F.array().cast("array<string>"),
-        lambda a, s: F.array_append(a, F.when(s.rlike(HEADING), s).otherwise(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")))),
-    )
-    rows = postings.select("posting_id", "text", F.posexplode(pieces).alias("k", "sentence"), ends.alias("ends"), above.alias("above"))
-    start = F.coalesce(F.get(F.col("ends"), F.col("k") - 1), F.lit(0)) + 1
-    s = F.col("sentence")
-    rows = rows.select(
-        "posting_id", "text", start.alias("start"), F.substring(s, 1, 300).alias("excerpt"), years(s).alias("years"),
-        degree_level(s).alias("degree"), s.rlike(r"(?i)\b(clearance|ts/sci)\b").alias("clearance"), strength(s, F.get("above", F.col("k"))).alias("strength"),
+    """Sentences and list entries of ``postings`` (posting_id, text) that state years, a degree, a
+    certification or a clearance, with their offsets in code points (start counts from 1).  Required
+    or preferred by a cue, else by the heading above (``sentences``)."""
+    rows = postings.select("posting_id", "text")
+    kind = rows.schema["posting_id"].dataType.simpleString()
+    item = pa.struct([("start", pa.int32()), ("sentence", pa.string()), ("above", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[dict(zip(("start", "sentence", "above"), x)) for x in sentences(t.as_py() or "")] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(item))], names=["posting_id", "text", "s"])
+
+    rows = rows.mapInArrow(cut, f"posting_id {kind}, text string, s array<struct<start:int,sentence:string,above:string>>")
+    s = F.col("x.sentence")
+    rows = rows.select("posting_id", "text", F.explode("s").alias("x")).select(
+        "posting_id", "text", F.col("x.start").alias("start"), F.substring(s, 1, 300).alias("excerpt"), years(s).alias("years"),
+        degree_level(s).alias("degree"), s.rlike(r"(?i)\b(clearance|ts/sci)\b").alias("clearance"), strength(s, F.col("x.above")).alias("strength"),
         certifications(s).alias("certifications"),
     )
     return rows.filter("years IS NOT NULL OR degree IS NOT NULL OR clearance OR size(certifications) > 0")
@@ -212,6 +285,38 @@ def explicit_links(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return best.select("posting_id", "b.cip_code", F.lit("explicit").alias("link_type")).distinct()
 
 
+def alias_codes(aliases: DataFrame) -> DataFrame:
+    """(alias, cip_code): the most specific major that an alias (alias, cip_code) supports: its only
+    code, or the family that all its codes are in, of four digits or two; none if they have none in
+    common.  Codes under a code that is there as well do not make an alias less certain."""
+    rows = aliases.select(F.lower("alias").alias("alias"), "cip_code").filter("alias <> ''").distinct()
+    shared = lambda n: F.when(F.count_distinct(F.substring("cip_code", 1, n)) == 1, F.min(F.substring("cip_code", 1, n)))
+    deepest = F.max(F.length("cip_code")).over(Window.partitionBy("alias"))
+    rows = rows.withColumn("_deepest", deepest).filter(F.length("cip_code") == F.col("_deepest"))
+    one = F.when(F.count("*") == 1, F.min("cip_code"))
+    return rows.groupBy("alias").agg(F.coalesce(one, shared(5), shared(2)).alias("cip_code")).filter("cip_code IS NOT NULL")
+
+
+def majors_named(postings: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Majors that ``postings`` (posting_id, text) name by an alias (alias, cip_code) that stands
+    alone, in any case: posting_id, cip_code, alias, start (from 1) and link_type, one row for each
+    place.  Of overlapping aliases the longest counts ("Computer Engineering" is not "Engineering"),
+    and a code gives way to one below it that the posting names too.  Offsets are those of the
+    lower-cased text."""
+    codes = alias_codes(aliases)
+    found = None
+    for part in scan.parts(codes.select(F.col("alias").alias("phrase"))):
+        hits = scan.scanned(postings, part, ["posting_id"], spans=True)
+        hits = hits.select("posting_id", F.explode("hits").alias("x")).select("posting_id", "x.start", "x.end", F.col("x.phrase").alias("alias"))
+        found = hits if found is None else found.unionByName(hits)
+    found = found.join(codes, "alias")
+    named = found.select("posting_id", "cip_code").distinct()
+    families = named.select("posting_id", F.explode(F.array(F.substring("cip_code", 1, 2), F.substring("cip_code", 1, 5))).alias("above"), "cip_code")
+    below = families.filter("above <> cip_code").select("posting_id", F.col("above").alias("cip_code")).distinct()
+    kept = found.join(below, ["posting_id", "cip_code"], "left_anti")
+    return kept.select("posting_id", "cip_code", "alias", (F.col("start") + 1).alias("start"), F.lit("explicit").alias("link_type"))
+
+
 def inferred_links(classified: DataFrame, pairs: DataFrame) -> DataFrame:
     """Postings to majors through occupations: confidence falls with the occupation's fan-out."""
     fan = pairs.groupBy("code").agg(F.count_distinct("cip_code").alias("fan_out"))

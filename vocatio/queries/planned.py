@@ -60,8 +60,8 @@ TITLE_CONFUSION = f"WITH {_CLASSIFIED}, g AS ({plain(_TRUTH)}) SELECT c.code, g.
 
 _SENTENCES = [
     ("3-5 years of SQL required.", 3, 5, None, "required"),
-    ("Bachelor degree preferred.", None, None, "bachelors", "preferred"),
-    ("At least 7+ years and a Master of Arts.", 7, None, "masters", "unknown"),
+    ("Bachelor degree preferred.", None, None, "bachelor", "preferred"),
+    ("At least 7+ years and a Master of Arts.", 7, None, "master", "unknown"),
     ("You must hold a clearance.", None, None, None, "required"),
     ("A CISSP is desired.", None, None, None, "preferred"),
     ("Free lunch.", None, None, None, None),
@@ -134,6 +134,77 @@ SELECT strength AS degree, count(min_years) AS n, quantile_cont(min_years, 0.25)
 FROM ({SECTIONED_REQUIREMENTS}) WHERE min_years IS NOT NULL GROUP BY 1
 """
 
+_ENTRIES = [
+    ("- Bachelor's degree", None, "bachelor", ""),
+    ("MS Office", None, None, None),
+    ("* 3 yrs in a lab", 3, None, ""),
+    ("2. Doctorate or CISSP", None, "doctorate", "cissp"),
+    ("Scrum Master with 5 ms latency", None, None, None),
+    ("Juris Doctor", None, "professional", ""),
+    ("High school diploma", None, "hs_diploma", ""),
+]
+_LISTED_ADS = f"""
+SELECT p_partkey AS posting_id, concat(p_name, chr(10), CASE WHEN p_size % 2 = 0 THEN 'Nice to have' ELSE 'Minimum Qualifications:' END, chr(10),
+  {pick([e[0].replace("'", "''") for e in _ENTRIES], 'p_partkey')}, chr(10), 'About us', chr(10), 'We pay an MBA', chr(10)) AS text FROM @part
+"""
+
+
+def listed_requirements(spark, sf_dir):
+    """Requirements in lists whose lines end without a full stop."""
+    found, _ = planned.evidenced(planned.requirements(derived(spark, sf_dir, _LISTED_ADS)))
+    return found.select("posting_id", "start", "excerpt", F.col("years.min_years").alias("min_years"), "degree", F.array_join("certifications", ",").alias("certifications"), "strength")
+
+
+def _listed_oracle() -> str:
+    bare = [e[0].split(" ", 1)[1] if e[0][0] in "-*2" else e[0] for e in _ENTRIES]
+    rows = ", ".join(
+        f"({i}, {len(e[0]) - len(b)}, '{b.replace(chr(39), chr(39) * 2)}', {'NULL' if e[1] is None else e[1]}::INT, {'NULL' if e[2] is None else repr(e[2])}::VARCHAR, '{e[3]}')"
+        for i, (e, b) in enumerate(zip(_ENTRIES, bare))
+        if e[3] is not None
+    )
+    return f"""
+WITH p AS (SELECT p_partkey, p_partkey % {len(_ENTRIES)} AS i, CASE WHEN p_size % 2 = 0 THEN 'preferred' ELSE 'required' END AS strength,
+  length(p_name) + 1 + CASE WHEN p_size % 2 = 0 THEN 12 ELSE 23 END + 2 AS line, {pick([str(len(e[0])) for e in _ENTRIES], 'p_partkey')}::INT AS width FROM part)
+SELECT p_partkey AS posting_id, (line + lead)::INT AS start, excerpt, years AS min_years, degree, certifications, strength FROM p JOIN (VALUES {rows}) v(i, lead, excerpt, years, degree, certifications) USING (i)
+UNION ALL SELECT p_partkey, (line + width + 1 + 8 + 1)::INT, 'We pay an MBA', NULL, 'master', '', 'unknown' FROM p
+"""
+
+
+LISTED_REQUIREMENTS = _listed_oracle()
+
+# each language's documents name the words of the benchmark's items as majors
+_MAJOR_ALIASES = """
+SELECT DISTINCT lower(split_part(text, ' ', 1)) AS alias, concat(substr(CAST(100 + item_id % 7 AS STRING), 2, 2), '.', CASE WHEN item_id % 3 = 0 THEN '01' ELSE CAST(1000 + item_id % 9000 AS STRING) END) AS cip_code FROM @benchmark
+UNION ALL SELECT DISTINCT lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))), concat(substr(CAST(100 + item_id % 11 AS STRING), 2, 2), '.0101') FROM @benchmark WHERE split_part(text, ' ', 1) <> split_part(text, ' ', 2)
+"""
+
+
+def named_majors(spark, sf_dir):
+    """Majors by the longest alias in whole documents, where the aliases are words of the benchmark."""
+    d = table(spark, sf_dir, "documents")
+    found = planned.majors_named(d.select(F.col("doc_id").alias("posting_id"), "text"), derived(spark, sf_dir, _MAJOR_ALIASES))
+    return found.groupBy("posting_id", "cip_code").agg(F.count("*").alias("n_places"))
+
+
+NAMED_MAJORS = rf"""
+WITH a AS (SELECT DISTINCT alias, cip_code FROM ({plain(_MAJOR_ALIASES)}) WHERE alias <> ''),
+deep AS (SELECT alias, cip_code FROM a QUALIFY length(cip_code) = max(length(cip_code)) OVER (PARTITION BY alias)),
+c AS (
+  SELECT alias, CASE WHEN count(*) = 1 THEN min(cip_code) WHEN count(DISTINCT substr(cip_code, 1, 5)) = 1 THEN min(substr(cip_code, 1, 5))
+    WHEN count(DISTINCT substr(cip_code, 1, 2)) = 1 THEN min(substr(cip_code, 1, 2)) END AS cip_code FROM deep GROUP BY alias),
+w AS (SELECT * FROM c WHERE cip_code IS NOT NULL),
+t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+k AS (SELECT doc_id, t, alias, cip_code, string_split(t, alias) AS parts FROM t JOIN w ON contains(t, alias)),
+p AS (SELECT doc_id, t, alias, cip_code, i, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(alias))::BIGINT AS pos FROM k, unnest(range(1, len(parts))) u(i)),
+h AS (SELECT doc_id, alias, cip_code, pos, pos + length(alias) AS stop FROM p
+  WHERE NOT regexp_matches(substr(t, pos, CASE WHEN pos = 0 THEN 0 ELSE 1 END), '[a-z0-9]') AND NOT regexp_matches(substr(t, pos + length(alias) + 1, 1), '[a-z0-9]')),
+s AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
+f AS (SELECT * FROM s WHERE before IS NULL OR stop > before),
+low AS (SELECT DISTINCT doc_id, unnest([substr(cip_code, 1, 2), substr(cip_code, 1, 5)]) AS above, cip_code FROM f)
+SELECT doc_id AS posting_id, cip_code, count(*) AS n_places FROM f
+WHERE NOT EXISTS (SELECT 1 FROM low WHERE low.doc_id = f.doc_id AND above = f.cip_code AND low.cip_code <> f.cip_code) GROUP BY ALL
+"""
+
 _CROSS = "SELECT DISTINCT CAST(c_nationkey AS STRING) AS cip_code, concat('n', CAST((c_nationkey + c_custkey % (1 + c_nationkey % 3)) % 5 AS STRING)) AS code FROM @customer"
 
 
@@ -290,6 +361,8 @@ QUERIES = {
     "requirements": (requirements, REQUIREMENTS),
     "years_by_degree": (years_by_degree, YEARS_BY_DEGREE),
     "sectioned_requirements": (sectioned_requirements, SECTIONED_REQUIREMENTS),
+    "listed_requirements": (listed_requirements, LISTED_REQUIREMENTS),
+    "named_majors": (named_majors, NAMED_MAJORS),
     "years_percentiles": (years_percentiles, YEARS_PERCENTILES),
     "top_credentials": (top_credentials, TOP_CREDENTIALS),
     "inferred_links": (inferred_links, INFERRED_LINKS),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocatio.operators import ingest, reference, tables
+from vocatio.plans.jobs import ingest_and_publish
+from vocatio.plans.snapshots import Snapshots
+from vocatio.plans.stored import new_path
 from vocatio.queries import text
 from vocatio.queries.adapters import LANDED, LOCATIONS, TITLES, derived, pick, plain, table
 from vocatio.sources import files
@@ -126,6 +129,31 @@ FROM j WHERE outcome IS NOT NULL GROUP BY ROLLUP (source_id)
 """
 
 
+_USERS = "SELECT DISTINCT user_id AS k, 'view' AS title, 'u' AS content_hash FROM @events WHERE user_id % 3 <> 0"
+
+
+def folded_changes(spark, sf_dir):
+    """The events of a user one after the other, against the head of two users of three."""
+    head = derived(spark, sf_dir, _USERS).withColumn("content_hash", F.sha2("title", 256)).withColumn("status", F.lit("closed"))
+    batch = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("title"), F.sha2("event_type", 256).alias("content_hash"), "event_id")
+    heads, versions, outcomes = tables.versioned_fold(head, batch, ["k"], ["title", "content_hash"], "content_hash", [F.col("event_id")], now())
+    told = versions.select("k", "title", "change_no", F.lit("version").alias("kind"))
+    told = told.unionByName(heads.select("k", "title", F.lit(0).alias("change_no"), F.lit("head").alias("kind")))
+    counts = outcomes.groupBy("k", "outcome").agg(F.count("*").cast("int").alias("change_no"))
+    return told.unionByName(counts.select("k", F.col("outcome").alias("title"), "change_no", F.lit("outcomes").alias("kind")))
+
+
+FOLDED_CHANGES = """
+WITH e AS (
+  SELECT user_id AS k, event_id, event_type AS title,
+    coalesce(lag(event_type) OVER w, CASE WHEN user_id % 3 <> 0 THEN 'view' END) AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+o AS (SELECT *, CASE WHEN was IS NULL THEN 'new' WHEN was = title THEN 'unchanged' ELSE 'updated' END AS outcome FROM e)
+SELECT k, was AS title, row_number() OVER (PARTITION BY k ORDER BY event_id)::INT AS change_no, 'version' AS kind FROM o WHERE outcome = 'updated'
+UNION ALL SELECT k, max_by(title, event_id), 0, 'head' FROM o GROUP BY k
+UNION ALL SELECT k, outcome, count(*)::INT, 'outcomes' FROM o GROUP BY k, outcome
+"""
+
+
 def change_chains(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     return tables.change_chain(e, ["user_id"], "event_type", F.col("event_id"))
@@ -392,6 +420,50 @@ def ingest_rerun(spark, sf_dir):
     return ingest.ingest(landed, first.postings, first.companies, first.raw_documents, now()).counters
 
 
+INGESTED_POSTINGS = f"""
+SELECT j.source_id, employment_type, reason AS scope_reason, 'active' AS status, count(*) AS n,
+  count(DISTINCT split_part(company, ' ', 1)) AS n_companies
+FROM ({_JOBS}) j JOIN ({text.QUERIES['location_scope'][1]}) l ON j.k = l.id JOIN ({text.QUERIES['employment'][1]}) e ON j.k = e.posting_id
+WHERE rejected IS NULL AND is_us GROUP BY ALL
+"""
+
+_SECOND = f"""
+SELECT source_id, url, TIMESTAMP '2026-01-06 00:00:00' AS fetched_at, replace(payload, '"title": "', CASE WHEN length(url) % 2 = 0 THEN '"title": "Senior ' ELSE '"title": "' END) AS payload
+FROM ({LANDED}) x WHERE CAST(substr(url, 26) AS INT) % 3 = 0
+"""
+
+
+def published_tables(spark, sf_dir):
+    """Two batches published one after the other and read back from disk: the second holds a third of
+    the postings, some with another title.  Rows of each table, and of the postings by title."""
+    root = new_path(spark, "published")
+    ingest_and_publish(spark, derived(spark, sf_dir, LANDED), root, now())
+    ingest_and_publish(spark, derived(spark, sf_dir, _SECOND), root, F.lit("2026-01-11 00:00:00").cast("timestamp"))
+    store = Snapshots(spark, root)
+    out = None
+    for name in sorted(store.tables):
+        one = store.read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    titles = store.read("postings").groupBy("title").agg(F.count("*").alias("n")).select(F.concat(F.lit("title "), "title").alias("name"), "n")
+    seen = store.read("postings").groupBy("last_seen_at").agg(F.count("*").alias("n")).select(F.concat(F.lit("seen "), F.date_format("last_seen_at", "yyyy-MM-dd")).alias("name"), "n")
+    return out.unionByName(titles).unionByName(seen)
+
+
+PUBLISHED_TABLES = f"""
+WITH j AS (SELECT j.*, rejected IS NULL AND is_us AS fits, k % 3 = 0 AS again, k % 3 = 0 AND length(url) % 2 = 0 AND rejected IS NULL AS changed
+  FROM ({_JOBS}) j JOIN ({text.QUERIES['location_scope'][1]}) l ON j.k = l.id),
+p AS (SELECT count(*) FILTER (fits) AS ok, count(*) FILTER (fits AND changed) AS turned, count(*) FILTER (changed) AS changed, count(*) AS n,
+  count(*) FILTER (rejected = 'invalid_json') AS broken, count(DISTINCT a) FILTER (fits) AS texts, count(DISTINCT split_part(company, ' ', 1)) FILTER (fits) AS companies,
+  count(*) FILTER (NOT fits) + count(*) FILTER (NOT fits AND again) AS refused, count(DISTINCT source_id) + 1 + count(DISTINCT source_id) FILTER (again) + 1 AS counters FROM j)
+SELECT 'postings' AS name, ok AS n FROM p UNION ALL SELECT 'companies', companies FROM p UNION ALL SELECT 'posting_versions', turned FROM p
+UNION ALL SELECT 'raw_documents', n + ok + changed FROM p
+UNION ALL SELECT 'payloads', n - greatest(broken - 1, 0) + changed + 1 FROM p
+UNION ALL SELECT 'rejected', refused FROM p UNION ALL SELECT 'counters', counters FROM p
+UNION ALL SELECT 'title ' || CASE WHEN changed THEN 'Senior ' ELSE '' END || title, count(*) FROM j WHERE fits GROUP BY 1
+UNION ALL SELECT CASE WHEN again THEN 'seen 2026-01-11' ELSE 'seen 2026-01-10' END, count(*) FROM j WHERE fits GROUP BY 1
+"""
+
+
 def resolved_companies(spark, sf_dir):
     """Suppliers as companies, customers' names as mentions."""
     old = derived(spark, sf_dir, f"SELECT concat('id', CAST(s_suppkey AS STRING)) AS company_id, {pick(_COMPANIES, 's_suppkey')} AS canonical_name, CAST(CASE WHEN s_suppkey < 4 THEN NULL ELSE concat('d', CAST(s_suppkey AS STRING), '.com') END AS STRING) AS domain, TIMESTAMP '2026-01-01 00:00:00' AS first_seen_at, TIMESTAMP '2026-01-01 00:00:00' AS last_seen_at FROM @supplier WHERE s_suppkey < 6 AND s_suppkey <> 2")
@@ -404,6 +476,21 @@ def resolved_companies(spark, sf_dir):
     return companies.join(n, "company_id").select("canonical_name", "normalized_name", "domain", "n_mentions", "n_ambiguous")
 
 
+_KEYED = "CASE split_part({0}, ' ', 1) WHEN 'Acme' THEN 'acme' WHEN 'Globex' THEN 'globex' WHEN 'Initech' THEN 'initech' ELSE 'hooli' END"
+RESOLVED_COMPANIES = f"""
+WITH e AS (SELECT 'id' || s_suppkey AS id, {pick(_COMPANIES, 's_suppkey')} AS canonical_name, {_KEYED.format(pick(_COMPANIES, 's_suppkey'))} AS key,
+  CASE WHEN s_suppkey >= 4 THEN 'd' || s_suppkey || '.com' END AS domain FROM supplier WHERE s_suppkey < 6 AND s_suppkey <> 2),
+m AS (SELECT c_custkey AS seq, {pick([*_COMPANIES, 'Hooli Ltd'], 'c_custkey')} AS name, {_KEYED.format(pick([*_COMPANIES, 'Hooli Ltd'], 'c_custkey'))} AS key,
+  CASE WHEN c_custkey % 7 = 0 THEN 'd' || (c_custkey % 9) || '.com' END AS domain FROM customer),
+n AS (SELECT key, count(*) AS n, min(id) AS only_id FROM e GROUP BY key),
+r AS (SELECT m.*, coalesce(n, 0) AS n, x.id AS exact, CASE WHEN n = 1 THEN only_id END AS single FROM m LEFT JOIN n USING (key) LEFT JOIN e x ON x.key = m.key AND x.domain = m.domain),
+c AS (SELECT *, coalesce(exact, single, CASE WHEN n = 0 THEN 'new ' || key WHEN domain IS NOT NULL THEN 'new ' || key || ' ' || domain ELSE 'new ' || seq END) AS id FROM r)
+SELECT coalesce(min(e.canonical_name), min_by(name, seq)) AS canonical_name, min(c.key) AS normalized_name,
+  coalesce(min(e.domain), min_by(c.domain, seq) FILTER (c.domain IS NOT NULL)) AS domain, count(*) AS n_mentions, count(*) FILTER (n > 1 AND exact IS NULL) AS n_ambiguous
+FROM c LEFT JOIN e ON c.id = e.id GROUP BY c.id
+"""
+
+
 QUERIES = {
     "row_counts": (row_counts, ROW_COUNTS),
     "upserted_customers": (upserted_customers, UPSERTED_CUSTOMERS),
@@ -430,7 +517,9 @@ QUERIES = {
     "source_registry": (source_registry, SOURCE_REGISTRY),
     "job_records": (job_records, JOB_RECORDS),
     "ingest_fates": (ingest_fates, INGEST_FATES),
-    "ingested_postings": (ingested_postings, None),
+    "ingested_postings": (ingested_postings, INGESTED_POSTINGS),
+    "folded_changes": (folded_changes, FOLDED_CHANGES),
+    "published_tables": (published_tables, PUBLISHED_TABLES),
     "ingest_rerun": (ingest_rerun, INGEST_RERUN),
-    "resolved_companies": (resolved_companies, None),
+    "resolved_companies": (resolved_companies, RESOLVED_COMPANIES),
 }
