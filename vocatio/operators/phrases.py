@@ -31,11 +31,12 @@ def _automaton(phrases: tuple[str, ...]) -> ahocorasick.Automaton:
     return found
 
 
-def places(automaton: ahocorasick.Automaton, text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, phrase) of every phrase that stands alone in a lower-cased text, by end."""
+def places(automaton: ahocorasick.Automaton, text: str, alone: bool = True) -> Iterator[tuple[int, int, str]]:
+    """(start, end, phrase) of every phrase in a lower-cased text, by end; by default of those that
+    stand ``alone``."""
     for last, phrase in automaton.iter(text):
         start, end = last + 1 - len(phrase), last + 1
-        if (start == 0 or text[start - 1] not in _SIGNS) and (end == len(text) or text[end] not in _SIGNS):
+        if not alone or (start == 0 or text[start - 1] not in _SIGNS) and (end == len(text) or text[end] not in _SIGNS):
             yield start, end, phrase
 
 
@@ -48,10 +49,11 @@ def longest(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def scanned(texts: DataFrame, phrases: list[str], keep: list[str] | None = None, spans: bool = False) -> DataFrame:
+def scanned(texts: DataFrame, phrases: list[str], keep: list[str] | None = None, spans: bool = False, alone: bool = True) -> DataFrame:
     """Columns ``keep`` (default: all) of ``texts`` (text, ...) and ``hits``: the different phrases
     that stand alone in the text, lower-cased, in order; with ``spans`` the (start, end, phrase) of
-    all places that lie in no longer one, in code points of the lower-cased text.
+    all places that lie in no longer one, in code points of the lower-cased text.  Not ``alone``:
+    wherever they occur, inside words too.
 
     ``phrases`` are lower-cased and at most ``MOST_PHRASES``.  Null texts have no hits, and neither
     has the empty phrase.
@@ -71,7 +73,7 @@ def scanned(texts: DataFrame, phrases: list[str], keep: list[str] | None = None,
             lower = batch.column(batch.num_columns - 1)
             hits: list = []
             for text in lower:  # one text at a time in Python's memory
-                found = places(automaton, text.as_py()) if automaton and text.is_valid else ()
+                found = places(automaton, text.as_py(), alone) if automaton and text.is_valid else ()
                 if spans:
                     hits.append([{"start": a, "end": b, "phrase": p} for a, b, p in longest(list(found))])
                 else:

@@ -356,6 +356,32 @@ def review_queue(classified: DataFrame, failed: DataFrame, ambiguous: DataFrame,
     return unsure.unionByName(lost).unionByName(names).unionByName(seen).distinct()
 
 
+# Confidences below which each kind of entity is reviewed.
+REVIEWED_BELOW = {"posting_occupation": 0.60, "posting_major": 0.70, "posting_requirement": 0.50}
+
+
+def review_items(confidences: DataFrame, misplaced: DataFrame, ambiguous: DataFrame, views: DataFrame, below: dict[str, float] | None = None, top: int = 20) -> DataFrame:
+    """Items to review: entity_type, entity_id, reason, priority and status ``pending``.
+
+    ``confidences`` (entity_type, entity_id, confidence) below their kind's threshold, the more so the
+    further below; ``misplaced`` requirements (entity_id) whose excerpt is not at its offset, before
+    all others; ``ambiguous`` company names (entity_id); and, whatever their confidence, the ``top``
+    most viewed pairs of major and company of ``views`` (cip_code, company_id, n_views; a pair's rows
+    add up).  One row for each entity and reason."""
+    limits = F.create_map(*[F.lit(x) for kind in (below or REVIEWED_BELOW).items() for x in kind])
+    limit = F.try_element_at(limits, F.col("entity_type"))
+    unsure = confidences.filter(F.col("confidence") < limit).groupBy("entity_type", "entity_id").agg(F.max(F.round(limit - F.col("confidence"), 6)).alias("priority"))
+    unsure = unsure.select("entity_type", "entity_id", F.lit("low_confidence").alias("reason"), "priority")
+
+    def all_of(rows: DataFrame, kind: str, reason: str, priority: float) -> DataFrame:
+        return rows.select(F.lit(kind).alias("entity_type"), "entity_id", F.lit(reason).alias("reason"), F.lit(priority).alias("priority")).distinct()
+
+    seen = views.groupBy("cip_code", "company_id").agg(F.sum("n_views").alias("n")).orderBy(F.desc("n"), "cip_code", "company_id").limit(top)
+    seen = seen.select(F.concat_ws(" ", "cip_code", "company_id").alias("entity_id"))
+    items = unsure.unionByName(all_of(misplaced, "posting_requirement", "evidence_offset", 1.0)).unionByName(all_of(ambiguous, "company_merge", "ambiguous_company", 0.8))
+    return items.unionByName(all_of(seen, "posting_major", "high_traffic", 0.5)).withColumn("status", F.lit("pending"))
+
+
 def corrected(classified: DataFrame, corrections: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Classifications with the reviewers' codes (posting_id, code, reviewer) in place, and the log
     rows to append."""

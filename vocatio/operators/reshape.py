@@ -97,6 +97,16 @@ def skills_line(verified: Column, claimed: Column) -> Column:
     return F.array_join(F.concat(verified, extra), " · ")
 
 
+def require_allowed(rows: DataFrame, domains: DataFrame, column: str = "domain") -> DataFrame:
+    """``rows`` if all their domains are allowed; raises, naming some, if one is not.  A null domain is
+    not allowed."""
+    _, others = allowed(rows, domains, column)
+    some = [r[0] for r in others.select(column).distinct().limit(5).collect()]
+    if some:
+        raise PermissionError(f"not on the allowlist: {', '.join(map(repr, some))}")
+    return rows
+
+
 def allowed(rows: DataFrame, domains: DataFrame, column: str = "domain") -> tuple[DataFrame, DataFrame]:
     """Rows of an allowed domain, and the others."""
     key = F.lower(trimmed(F.col(column)))

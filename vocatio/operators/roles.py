@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_INDEX = 500
+from vocatio.operators import phrases as scan
+
+SALTS = 32
 
 # Patterns of role texts in order of precedence, and their keys.
 ROLE_KEYS = [
@@ -50,20 +52,24 @@ def keyed(roles: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def local_hits(queries: DataFrame, index: DataFrame, limit: int = 8) -> DataFrame:
-    """First ``limit`` index entries, in index order, whose name or alternate contains the query.
-    The index is a short hand-kept list: it becomes a literal, and is refused beyond ``MAX_INDEX`` rows."""
-    if index.count() > MAX_INDEX:
-        raise ValueError(f"the index has more than {MAX_INDEX} rows")
-    rows = index.select("pos", "name", F.coalesce("alternates", F.array().cast("array<string>")).alias("alternates")).orderBy("pos", "name").collect()
-    lower = lambda s: F.lower(F.lit(s))
-    entries = [
-        F.struct(F.lit(r["name"]).alias("name"), F.array(*[lower(s) for s in (r["name"], *r["alternates"])]).alias("forms")) for r in rows
-    ]
-    if not entries:
-        return queries.filter(F.lit(False)).select("query_id", F.array().cast("array<string>").alias("names"))
-    hits = F.filter(F.array(*entries), lambda e: F.exists(e["forms"], lambda f: F.contains(f, F.lower("query"))))
-    names = F.slice(F.transform(hits, lambda e: e["name"]), 1, limit)
-    return queries.select("query_id", names.alias("names")).filter(F.size("names") > 0)
+    """First ``limit`` index entries (pos, name, alternates), in index order, whose name or alternate
+    contains the query in any case; the empty query is in all of them.
+
+    An automaton over the different queries reads each name once, so neither side has a limit; a
+    query's entries are ranked once for all who ask it, first in ``SALTS`` parts."""
+    forms = F.concat(F.array("name"), F.coalesce("alternates", F.array().cast("array<string>")))
+    entries = index.select("pos", "name", F.explode(forms).alias("text"))
+    asked = queries.select("query_id", F.lower("query").alias("asked")).filter("asked IS NOT NULL")
+    found = index.select("pos", "name", F.lit("").alias("asked"))
+    for part in scan.parts(asked.select(F.col("asked").alias("phrase"))):
+        hits = scan.scanned(entries, part, ["pos", "name"], alone=False)
+        found = found.unionByName(hits.select("pos", "name", F.explode("hits").alias("asked")))
+    found = found.distinct()
+    some = Window.partitionBy("asked", F.pmod(F.xxhash64("pos", "name"), F.lit(SALTS))).orderBy("pos", "name")
+    found = found.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= limit)
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("pos", "name"))).filter(F.col("place") <= limit)
+    names = found.groupBy("asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
+    return asked.join(names, "asked").select("query_id", "names")
 
 
 def analysed(role_key: str, frequencies: DataFrame, n: int = 10) -> DataFrame:

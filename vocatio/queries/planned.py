@@ -295,6 +295,29 @@ UNION SELECT * FROM (SELECT c_custkey::VARCHAR, 'top_viewed' FROM customer ORDER
 """
 
 
+_CONFIDENCES = """
+SELECT CASE o_orderkey % 4 WHEN 0 THEN 'posting_occupation' WHEN 1 THEN 'posting_major' WHEN 2 THEN 'posting_requirement' ELSE 'company_merge' END AS entity_type,
+  CAST(o_orderkey AS STRING) AS entity_id, CAST(o_custkey % 100 AS DOUBLE) / 100 AS confidence FROM @orders
+"""
+_VIEWS = "SELECT CAST(o_custkey % 50 AS STRING) AS cip_code, o_orderpriority AS company_id, o_orderkey % 10 AS n_views FROM @orders"
+
+
+def review_items(spark, sf_dir):
+    misplaced = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").cast("string").alias("entity_id"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity_id"))
+    return planned.review_items(derived(spark, sf_dir, _CONFIDENCES), misplaced, names, derived(spark, sf_dir, _VIEWS))
+
+
+REVIEW_ITEMS = f"""
+WITH v AS (SELECT cip_code || ' ' || company_id AS id, sum(n_views) AS n, cip_code, company_id FROM ({plain(_VIEWS)}) GROUP BY ALL ORDER BY n DESC, cip_code, company_id LIMIT 20),
+b AS (SELECT * FROM (VALUES ('posting_occupation', 0.6::DOUBLE), ('posting_major', 0.7::DOUBLE), ('posting_requirement', 0.5::DOUBLE)) b(entity_type, below))
+SELECT *, 'pending' AS status FROM (
+  SELECT entity_type, entity_id, 'low_confidence' AS reason, round(below - confidence, 6) AS priority FROM ({plain(_CONFIDENCES)}) JOIN b USING (entity_type) WHERE confidence < below
+  UNION ALL SELECT DISTINCT 'posting_requirement', l_orderkey::VARCHAR, 'evidence_offset', 1.0::DOUBLE FROM lineitem WHERE l_quantity > 49
+  UNION ALL SELECT 'company_merge', n_name, 'ambiguous_company', 0.8::DOUBLE FROM nation UNION ALL SELECT 'posting_major', id, 'high_traffic', 0.5::DOUBLE FROM v)
+"""
+
+
 def corrected_titles(spark, sf_dir):
     fixes = derived(spark, sf_dir, "SELECT c_custkey AS posting_id, 'n7' AS code, 'r1' AS reviewer FROM @customer WHERE c_custkey % 9 = 0")
     rows, _ = planned.corrected(_classified(spark, sf_dir), fixes, F.lit("2026-01-10").cast("timestamp"))
@@ -370,6 +393,7 @@ QUERIES = {
     "link_counts": (link_counts, LINK_COUNTS),
     "refreshed_postings": (refreshed_postings, REFRESHED_POSTINGS),
     "run_ledger": (run_ledger, RUN_LEDGER),
+    "review_items": (review_items, REVIEW_ITEMS),
     "review_queue": (review_queue, REVIEW_QUEUE),
     "corrected_titles": (corrected_titles, CORRECTED_TITLES),
     "hiring_companies": (hiring_companies, HIRING_COMPANIES),

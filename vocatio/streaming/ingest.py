@@ -38,16 +38,33 @@ def clean_postings(landed: DataFrame) -> DataFrame:
     return prepared(landed)
 
 
+LANDED_KEYS = ["part", "source_id", "url", "sha256"]
+
+
+def with_parts(landed: DataFrame) -> DataFrame:
+    """Landed rows with the hash of their payload and the part of the table that they belong to: one of
+    256, by a hash of all their keys, so that no source and no page fills one."""
+    rows = landed.withColumn("sha256", F.sha2("payload", 256))
+    return rows.withColumn("part", F.substring(F.sha2(F.concat_ws("\n", "source_id", "url", "sha256"), 256), 1, 2))
+
+
+def touched(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys of the parts of a landed table that ``rows`` belong to; the other parts' files stay closed."""
+    parts = [r.part for r in rows.select("part").distinct().collect()]  # 256 at most
+    return table.filter(F.col("part").isin(parts)).select(*LANDED_KEYS)
+
+
 def start_landing(landed: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append new documents to the Parquet table at ``table``.  A batch that is run again after a
-    failure finds its rows there and adds nothing."""
-    keys = ["source_id", "url", "sha256"]
+    """Append new documents to the Parquet table at ``table``, which is partitioned by ``part``.  A
+    batch reads the parts that it touches alone.  One that is run again after a failure finds its
+    rows there and adds nothing."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("sha256", F.sha2("payload", 256))
-        rows.limit(0).write.mode("append").parquet(table)  # the table exists from here on
-        there = spark.read.schema(rows.schema).parquet(table)
-        absent(there, rows, keys).write.mode("append").parquet(table)
+        rows = with_parts(batch)
+        rows.limit(0).write.mode("append").partitionBy("part").parquet(table)  # the table exists from here on
+        there = touched(spark.read.schema(rows.schema).parquet(table), rows)
+        new = absent(there, rows, LANDED_KEYS)
+        new.repartition("part").write.mode("append").partitionBy("part").parquet(table)
 
     return landed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
