@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vocatio.operators import planned, reshape, roles
+from vocatio.operators import courses, planned, reshape, roles
 from vocatio.sources import files, registry
 from vocatio.streaming import ingest as streaming
 
@@ -70,6 +70,18 @@ def test_names_that_hold_a_query(spark, monkeypatch):
     assert got == want
 
 
+def test_transcript_courses_in_one_chain(spark):
+    labels = [(1, 0, "CS 101 — Intro", "Computer Science"), (1, 1, "ENGL 1301 — Comp", "Computer Science"), (1, 2, "CS 999 — Topics", "Computer Science"), (1, 3, "MATH 251", "Computer Science"), (2, 0, "no code", None), (2, 1, "HIST 4100 — Europe", "Nursing")]
+    catalog = [(0, ["CS"], 100, 199, "Programming", "Python, then git and SQL."), (1, ["MATH"], 200, 299, "Calculus", "Uses python and statistics"), (2, ["HIST"], 1, 9999, "History", "SQL")]
+    l = spark.createDataFrame(labels, "profile_id int, pos int, label string, major string").withColumn("degree", F.lit(None).cast("string"))
+    c = spark.createDataFrame(catalog, "pos int, subjects array<string>, lo int, hi int, title string, description string")
+    v = spark.createDataFrame([(0, "SQL"), (1, "Python"), (2, "Statistics"), (3, "Git")], "pos int, phrase string")
+    out = courses.processed(l, c, v, spark.createDataFrame([(1, "GIT"), (2, "sql")], "profile_id int, skill string"))
+    assert sorted((r.profile_id, r.pos, r.catalog_title) for r in out.relevant.collect()) == [(1, 0, "Programming"), (1, 2, None), (1, 3, "Calculus")]
+    assert sorted((r.profile_id, r.pos) for r in out.excluded.collect()) == [(1, 1), (2, 0), (2, 1)] and [r.pos for r in out.unresolved.collect()] == [2]
+    assert sorted(tuple(r) for r in out.adopted.collect()) == [(1, 1, "SQL"), (1, 2, "Python"), (1, 3, "Statistics")]
+
+
 def test_review_items(spark):
     conf = spark.createDataFrame([("posting_occupation", "1", 0.5), ("posting_major", "2", 0.69), ("posting_requirement", "3", 0.5), ("other", "4", 0.0), ("posting_major", "5", None)], "entity_type string, entity_id string, confidence double")
     ids = lambda *x: spark.createDataFrame([(v,) for v in x], "entity_id string")

@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions.text import trimmed
+from vocatio.operators import matching
 
 CODE = r"(?i)([A-Z]{1,5})\s?-?\s?(\d{3,4})"
 
 # Subjects of general education.
-CORE = (
-    "ENGL ENG RHET WRIT HIST HIS GOV POLS PSCI PHIL RELS SOCI SOC ANTH MUSC MUS ART ARTS THEA DANC SPAN FREN GERM "
-    "CHIN JAPN LATN KINE PHED HLTH UNIV FYS SEM COLL LIBS GEOG ASTR ENVS NUTR SPCH"
-).split()
+CORE = [
+    "ENGL", "ENG", "RHET", "WRIT", "HIST", "HIS", "GOV", "POLS", "PSCI", "PHIL", "RELS", "SOCI", "SOC", "ANTH", "MUSC",
+    "MUS", "ART", "ARTS", "THEA", "DANC", "SPAN", "FREN", "GERM", "CHIN", "JAPN", "LATN", "KINE", "PHED", "HLTH",
+    "UNIV", "FYS", "SEM", "COLL", "LIBS", "GEOG", "ASTR", "ENVS", "NUTR", "SPCH",
+]
 
 # Families of majors by pattern, in order, and their subjects.
 FAMILIES = [
-    (r"computer science|comp\.? ?sci|software|softw|computing|informatics|computer programming",
-     "CS CSCE COSC CPSC ECEN EE ECE MATH M STAT MIS ITEC INFO ITSE ITNW ITSC ITSY INEW IMED"),
-    (r"data science|analytics|statistics", "STAT STA DATA CS CSCE MATH M BANA MIS ISQS INFO"),
-    (r"mechanical engineer", "MEEN ME MECH MATH M PHYS MSEN AERO"),
-    (r"civil engineer|construction", "CVEN CE CIVE COSC ARCH MATH M MEEN"),
-    (r"electrical|computer engineer", "ECEN EE ECE CS CSCE MATH M PHYS"),
-    (r"petroleum|energy engineer", "PETE PGE GEOL MATH M MEEN CHEN"),
-    (r"chemical engineer", "CHEN CHE CHEM CH MATH M"),
-    (r"industrial|systems engineer", "ISEN IE MEEN STAT MATH M"),
-    (r"accounting", "ACCT ACC ACCY FIN FINC BUSI MGMT ECON"),
-    (r"finance", "FIN FINC ACCT ACC ECON BANA MATH M"),
-    (r"marketing", "MKTG MKT BUSI MGMT COMM BANA"),
-    (r"supply chain|logistics|operations", "SCMT SCM ISQS MGMT BUSI STAT"),
-    (r"management|business administration|entrepreneur", "MGMT BUSI BUAD ACCT FIN MKTG SCMT ECON"),
-    (r"economics", "ECON ECO MATH M STAT FIN"),
-    (r"management information|information systems", "MIS ITEC INFO ISQS CS CSCE BANA"),
-    (r"nursing", "NURS NUR BIOL BIO CHEM CH ANAT PHYS"),
-    (r"biology|pre-?med|pre-?health|biomedical", "BIOL BIO CHEM CH BICH GENE MICR PHYS MATH M"),
-    (r"chemistry", "CHEM CH BICH PHYS MATH M"),
-    (r"kinesiology|exercise science|athletic training", "KINE KIN HLTH BIOL BIO NUTR"),
-    (r"psychology", "PSYC PSY STAT BIOL SOCI"),
-    (r"education|teaching", "EDUC EDCI TEED EPSY READ SPED"),
-    (r"communication|journalism|public relations", "COMM JOUR PR ADV MDIA"),
-    (r"criminal justice|criminology|forensic", "CRIJ CJ SOCI PSYC FORS"),
-    (r"agricultur|animal science|agribusiness|soil|crop", "AGEC AGRI ANSC SCSC POSC HORT RENR"),
-    (r"architecture", "ARCH ARCC ENDS COSC ARTS"),
-    (r"design|graphic|visualization", "ARTS DSGN VIZA ARCH COMM"),
-    (r"mathematics", "MATH M STAT CS CSCE"),
-    (r"physics", "PHYS MATH M ASTR"),
+    (r"computer science|comp\.? ?sci|software|softw|computing|informatics|computer programming", ["CS", "CSCE", "COSC", "CPSC", "ECEN", "EE", "ECE", "MATH", "M", "STAT", "MIS", "ITEC", "INFO", "ITSE", "ITNW", "ITSC", "ITSY", "INEW", "IMED"]),
+    (r"data science|analytics|statistics", ["STAT", "STA", "DATA", "CS", "CSCE", "MATH", "M", "BANA", "MIS", "ISQS", "INFO"]),
+    (r"mechanical engineer", ["MEEN", "ME", "MECH", "MATH", "M", "PHYS", "MSEN", "AERO"]),
+    (r"civil engineer|construction", ["CVEN", "CE", "CIVE", "COSC", "ARCH", "MATH", "M", "MEEN"]),
+    (r"electrical|computer engineer", ["ECEN", "EE", "ECE", "CS", "CSCE", "MATH", "M", "PHYS"]),
+    (r"petroleum|energy engineer", ["PETE", "PGE", "GEOL", "MATH", "M", "MEEN", "CHEN"]),
+    (r"chemical engineer", ["CHEN", "CHE", "CHEM", "CH", "MATH", "M"]),
+    (r"industrial|systems engineer", ["ISEN", "IE", "MEEN", "STAT", "MATH", "M"]),
+    (r"accounting", ["ACCT", "ACC", "ACCY", "FIN", "FINC", "BUSI", "MGMT", "ECON"]),
+    (r"finance", ["FIN", "FINC", "ACCT", "ACC", "ECON", "BANA", "MATH", "M"]),
+    (r"marketing", ["MKTG", "MKT", "BUSI", "MGMT", "COMM", "BANA"]),
+    (r"supply chain|logistics|operations", ["SCMT", "SCM", "ISQS", "MGMT", "BUSI", "STAT"]),
+    (r"management|business administration|entrepreneur", ["MGMT", "BUSI", "BUAD", "ACCT", "FIN", "MKTG", "SCMT", "ECON"]),
+    (r"economics", ["ECON", "ECO", "MATH", "M", "STAT", "FIN"]),
+    (r"management information|information systems", ["MIS", "ITEC", "INFO", "ISQS", "CS", "CSCE", "BANA"]),
+    (r"nursing", ["NURS", "NUR", "BIOL", "BIO", "CHEM", "CH", "ANAT", "PHYS"]),
+    (r"biology|pre-?med|pre-?health|biomedical", ["BIOL", "BIO", "CHEM", "CH", "BICH", "GENE", "MICR", "PHYS", "MATH", "M"]),
+    (r"chemistry", ["CHEM", "CH", "BICH", "PHYS", "MATH", "M"]),
+    (r"kinesiology|exercise science|athletic training", ["KINE", "KIN", "HLTH", "BIOL", "BIO", "NUTR"]),
+    (r"psychology", ["PSYC", "PSY", "STAT", "BIOL", "SOCI"]),
+    (r"education|teaching", ["EDUC", "EDCI", "TEED", "EPSY", "READ", "SPED"]),
+    (r"communication|journalism|public relations", ["COMM", "JOUR", "PR", "ADV", "MDIA"]),
+    (r"criminal justice|criminology|forensic", ["CRIJ", "CJ", "SOCI", "PSYC", "FORS"]),
+    (r"agricultur|animal science|agribusiness|soil|crop", ["AGEC", "AGRI", "ANSC", "SCSC", "POSC", "HORT", "RENR"]),
+    (r"architecture", ["ARCH", "ARCC", "ENDS", "COSC", "ARTS"]),
+    (r"design|graphic|visualization", ["ARTS", "DSGN", "VIZA", "ARCH", "COMM"]),
+    (r"mathematics", ["MATH", "M", "STAT", "CS", "CSCE"]),
+    (r"physics", ["PHYS", "MATH", "M", "ASTR"]),
 ]
 
 # What abbreviated words of course titles stand for.
@@ -75,7 +78,7 @@ def subjects_of(major: Column, degree: Column) -> Column:
     field = F.concat_ws(" ", F.coalesce(major, F.lit("")), F.coalesce(degree, F.lit("")))
     out = F.when(F.lit(False), F.array(F.lit("")))
     for pattern, subjects in FAMILIES:
-        out = out.when(field.rlike("(?i)" + pattern), F.array(*map(F.lit, subjects.split())))
+        out = out.when(field.rlike("(?i)" + pattern), F.array(*map(F.lit, subjects)))
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
@@ -134,3 +137,34 @@ def titles(labels: DataFrame, looked_up: DataFrame, technologies: list[str]) ->
     made = best.select("profile_id", "pos", readable_title(F.col("label"), F.col("catalog_title"), technologies).alias("title")).filter("title <> ''")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"])
     return made.groupBy("profile_id").agg(F.array_distinct(ordered).alias("titles"))
+
+
+@dataclass
+class Coursework:
+    """What a transcript's courses come to: labels that bear on the major, those that do not, those of
+    the first that the catalog lacks, and the skills to take over (profile_id, place, skill)."""
+
+    relevant: DataFrame
+    excluded: DataFrame
+    unresolved: DataFrame
+    adopted: DataFrame
+
+
+def processed(labels: DataFrame, catalog: DataFrame, vocabulary: DataFrame, claimed: DataFrame) -> Coursework:
+    """Labels (profile_id, pos, label, major, degree) filtered by relevance, looked up in the catalog
+    (``resolved``), their official descriptions searched for the vocabulary (pos, phrase), and each
+    skill found that a profile does not claim (profile_id, skill) in any case adopted once, in the
+    order of its courses and then of the vocabulary."""
+    marked = relevance(labels)
+    kept = resolved(marked.filter("relevant"), catalog)
+    texts = kept.filter("description IS NOT NULL").select(F.struct("profile_id", "pos").alias("text_id"), F.col("description").alias("text"))
+    found = matching.named_phrases(texts, vocabulary.select("phrase")).join(vocabulary.groupBy("phrase").agg(F.min("pos").alias("entry")), "phrase")
+    lower = F.lower("phrase").alias("lower")
+    first = found.groupBy(F.col("text_id.profile_id").alias("profile_id"), lower).agg(
+        F.min(F.struct(F.col("text_id.pos").alias("course"), "entry", "phrase")).alias("x")
+    )
+    mine = claimed.select("profile_id", F.lower("skill").alias("lower"))
+    new = first.join(mine, ["profile_id", "lower"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("profile_id").orderBy("x.course", "x.entry"))
+    adopted = new.select("profile_id", place.alias("place"), F.col("x.phrase").alias("skill"))
+    return Coursework(kept, marked.filter(~F.col("relevant")), kept.filter("catalog_title IS NULL"), adopted)

@@ -23,6 +23,7 @@ DEGREES = [
     (r"\bAssociate of (Arts|Science)\b", "Associate Degree", "Associate"),
     (r"\bDoctor of Philosophy\b|\bPh\.?D\.?\b", "Doctor of Philosophy", "Doctorate"),
 ]
+# Degrees written out, and their levels.
 SPELLED = [
     (r"(?i)\bBachelor\s+of\s+Science\s+in\s+Engineering\b", "Bachelor of Science in Engineering", "Bachelor's"),
     (r"(?i)\bBachelor\s+of\s+Science\b", "Bachelor of Science", "Bachelor's"),
@@ -36,6 +37,7 @@ SPELLED = [
     (r"(?i)\bAssociate\s+of\s+(?:Arts|Science|Applied Science)\b", "Associate Degree", "Associate"),
     (r"(?i)\bDoctor\s+of\s+Philosophy\b", "Doctor of Philosophy", "Doctorate"),
 ]
+# Degrees by their letters, and their levels.
 ABBREVIATED = [
     ("BBA", "Bachelor of Business Administration", "Bachelor's"),
     ("BFA", "Bachelor of Fine Arts", "Bachelor's"),
@@ -51,6 +53,7 @@ ABBREVIATED = [
     ("MASTERS", "Master's Degree", "Master's"),
     ("MASTER", "Master's Degree", "Master's"),
 ]
+# What stands before and behind a degree's letters.
 CUE_BEFORE = r"(?:degree|program(?:\s+of\s+study)?|major|awarded|conferred|candidate\s+for|pursuing)\s*[:\-]?\s*"
 CUE_AFTER = r"\s*(?:in\b|degree\b|,\s*[A-Z])"
 # Labels and shapes of fields.
@@ -68,20 +71,24 @@ LABELS = {
     "expected_graduation_date": r"(?i)Expected\s+Graduation(?:\s+Date)?\s*[:\-]\s*([A-Za-z0-9 ,/]+)",
     "graduation_date": r"(?i)(?:Graduation Date|Date Conferred|Conferred)\s*[:\-]\s*([A-Za-z0-9 ,/]+)",
 }
+# How grade averages are written.
 GPA = r"(?i)GPA\s*[:\-]?\s*(\d\.\d{1,2})\s*(?:/\s*(\d\.\d{1,2}))?"
 GPA_JS = r"(?i)\b(?:cumulative\s+)?(?:gpa|grade\s+point\s+average)\b[^\d]{0,12}(\d\.\d{1,3})\s*(?:/\s*(\d\.\d{1,2}))?"
+# Course lines.
 COURSE = (
     r"(?i)^\s*([A-Z]{2,5}\s?-?\d{3,4})\s*[-:]?\s*([A-Za-z][A-Za-z0-9 &,/'\-]{2,80})"
     r"(?:.*?(\d(?:\.\d)?)\s*(?:cr|credits?))?(?:.*?\bGrade\s*[:\-]?\s*([A-F][+-]?))?"
     r"(?:.*?\b((?:Fall|Spring|Summer|Winter)\s?\d{4}))?"
 )
 COURSE_JS = r"^\s*([A-Z]{1,5}\s?-?\s?\d{3,4}[A-Z]?)\s*[-:.\s]\s*([A-Za-z][A-Za-z0-9 &,/'\-.]{2,70}?)(?=\s{2,}|\s+\d|\s*$)"
+# Headings of sections.
 SECTIONS = {
     "coursework": r"(?i)coursework|courses taken|relevant courses",
     "skills": r"(?i)technical skills|skills(?:\s*&\s*technologies)?",
     "honors": r"(?i)honors|awards|dean'?s list",
     "certifications": r"(?i)certifications?|licenses?",
 }
+# Headings of sections, the wider set.
 SECTIONS_JS = {
     "coursework": r"coursework|courses? taken|relevant courses|course history|academic record",
     "skills": r"technical skills|skills(?:\s*(?:&|and)\s*(?:technologies|tools))?|competencies|proficiencies",
