@@ -147,8 +147,9 @@ def template_keys(h: Column, size: int) -> Column:
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, name, shingles (different ones of the template), found and containment, for each
-    template of which a text contains ``least`` or more.  ``templates`` (name, text) are looked up in
-    one pass over ``docs`` for every ``MAX_KEYS`` of their index keys."""
+    template of which a text contains ``least`` or more and that no other one explains better
+    (``explained``).  ``templates`` (name, text) are looked up in one pass over ``docs`` for every
+    ``MAX_KEYS`` of their index keys."""
     known = notices(docs.sparkSession) if templates is None else templates
     known = known.select("name", shingle_words(F.col("text")).alias("w"))
     known = known.select("name", hashes(F.col("w")).alias("h"), F.array_distinct(strings(F.col("w"))).alias("s"))
@@ -162,7 +163,27 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEA
     for part in range(max(1, parts)):
         found = _scanned(docs, known.filter(F.col("part") == part), least)
         out = found if out is None else out.unionByName(found)
-    return out
+    return explained(out)
+
+
+def explained(found: DataFrame) -> DataFrame:
+    """Matches without those that are an echo of another template in the same text: all their shingles
+    found there belong to the other one too, of which at least as large a share is there, and more
+    shingles or a larger share.  So a notice that names version 3 is not the one of version 2 with its
+    last word changed, and a phrase within a longer notice is not a second one."""
+    key = ["doc_id", "tie"]
+    match = F.struct("name", "shingles", "found", "hit", "times")
+    # equal rows count once, so that a document's list is no longer than the templates
+    counted = found.groupBy(*key, "name", "shingles", "found", "hit").agg(F.count("*").cast("int").alias("times"))
+    lists = counted.groupBy(*key).agg(F.collect_list(match).alias("m"))
+
+    def better(t: Column, u: Column) -> Column:
+        share = u["found"] * t["shingles"] - t["found"] * u["shingles"]
+        return (share >= 0) & ((share > 0) | (u["found"] > t["found"])) & (F.size(F.array_except(t["hit"], u["hit"])) == 0)
+
+    kept = F.filter("m", lambda t: ~F.exists("m", lambda u: better(t, u)))
+    rows = lists.select("doc_id", F.explode(kept).alias("t")).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("t.times"))))
+    return rows.select("doc_id", "t.name", "t.shingles", "t.found", (F.col("t.found") / F.col("t.shingles")).alias("containment"))
 
 
 def _scanned(docs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
@@ -189,8 +210,7 @@ def _scanned(docs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
     texts = spark.createDataFrame([(i, name, s) for i, (name, s, *_) in enumerate(rows)], "at int, name string, s array<string>")
     retrieved = met.select("row", "doc_id", "text", F.explode("hits").alias("key")).join(F.broadcast(index), "key")
     retrieved = retrieved.groupBy("row", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", "text")])
-    retrieved = retrieved.join(F.broadcast(texts), "at").select("doc_id", "name", "s", strings(words).alias("own"))
-    found = F.size(F.array_intersect("s", "own"))
-    verified = retrieved.select("doc_id", "name", F.size("s").cast("long").alias("shingles"), found.cast("long").alias("found"))
-    verified = verified.filter(F.col("found") >= least * F.col("shingles"))
-    return verified.select("doc_id", "name", "shingles", "found", (F.col("found") / F.col("shingles")).alias("containment"))
+    retrieved = retrieved.join(F.broadcast(texts), "at").select("doc_id", F.xxhash64("text").alias("tie"), "name", "s", strings(words).alias("own"))
+    verified = retrieved.select("doc_id", "tie", "name", F.size("s").cast("long").alias("shingles"), F.array_intersect("s", "own").alias("hit"))
+    verified = verified.withColumn("found", F.size("hit").cast("long"))
+    return verified.filter(F.col("found") >= least * F.col("shingles"))

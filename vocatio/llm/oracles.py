@@ -211,8 +211,11 @@ g AS (
   FROM w, unnest(range(1, greatest(2, len(w) - 3))) u(i) WHERE len(w) > 0),
 n AS (SELECT id AS name, count(*) AS shingles FROM g WHERE side = 't' GROUP BY id),
 m AS (
-  SELECT d.id::BIGINT AS doc_id, s.id AS name, count(*) AS found
-  FROM g d JOIN g s ON d.g = s.g AND d.side = 'd' AND s.side = 't' GROUP BY ALL)
+  SELECT d.id::BIGINT AS doc_id, s.id AS name, count(*) AS found, list(d.g) AS hit
+  FROM g d JOIN g s ON d.g = s.g AND d.side = 'd' AND s.side = 't' GROUP BY d.id, s.id),
+v AS (SELECT * FROM m JOIN n USING (name) WHERE found >= 0.8 * shingles)
 SELECT doc_id, name, shingles, found, found / shingles AS containment
-FROM m JOIN n USING (name) WHERE found >= 0.8 * shingles
+FROM v t WHERE NOT EXISTS (
+  SELECT 1 FROM v u WHERE u.doc_id = t.doc_id AND u.found * t.shingles >= t.found * u.shingles
+    AND (u.found * t.shingles > t.found * u.shingles OR u.found > t.found) AND list_has_all(u.hit, t.hit))
 """
