@@ -98,7 +98,7 @@ def relevant_courses(spark, sf_dir):
 
 
 def _families() -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower(major || ' ' || degree), '{p}') THEN '{s}'" for p, s in courses.FAMILIES)
+    cases = " ".join(f"WHEN regexp_matches(lower(major || ' ' || degree), '{p}') THEN '{' '.join(s)}'" for p, s in courses.FAMILIES)
     return f"(CASE {cases} ELSE '' END)"
 
 
