@@ -242,6 +242,21 @@ def test_segments_are_exact():
             assert np.allclose(got, sum(parts), rtol=1e-3, atol=1e-4)
 
 
+def test_hmm_takes_long_words_into_the_head(spark):
+    line = "=" * 300
+    rows = [(k, k % 5 == 0, f"{line} one two {'x' * 65}{k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string")
+    counts = hmm.word_counts(docs.filter("NOT held_out").select("text"))
+    lex = hmm.lexicon(counts, 16, 3)
+    assert len(lex.words) == 3 and {b"one", b"two"} < set(lex.words) and list(lex.counts) == [16, 16, 16]
+    assert max(map(len, lex.words)) <= hmm.LONGEST
+    got = {r["doc_id"]: r for r in rows_of(hmm.scored(docs, states=2, rounds=1))}
+    assert all(r["n_tokens"] == 5 and r["n_known"] == (4 if k % 5 == 0 else 5) for k, r in got.items())
+    n, v = 16 * 5, 3 + 16 + 1
+    base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in (16, 16, 16, 0, 16))
+    assert math.isclose(got[0]["base_score"], base, rel_tol=1e-9)
+
+
 def test_hmm_scores_against_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 8)
     monkeypatch.setattr(hmm, "SEGMENT", 16)
@@ -561,6 +576,39 @@ def test_mixing(spark, docs, empty):
     assert mixing.queued(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_cut_is_the_closed_form(spark):
+    """The sorted queue's cut against water filling, over sources that run out at different times."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    for n_sources, spread in ((1, 1), (7, 3), (12, 400)):
+        sizes = [[int(x) for x in rng.integers(0, 1 + spread ** rng.random() * 9, 15)] for _ in range(n_sources)]
+        rows = [(k, f"s{k % n_sources:02d}", " ".join(["w"] * sizes[k % n_sources][k // n_sources])) for k in range(15 * n_sources)]
+        got = rows_of(mixing.queued(spark.createDataFrame(rows, "doc_id long, source string, text string"), (2, 5, 3), keep=["source"]))
+        size = {f"s{k:02d}": sum(v) for k, v in enumerate(sizes)}
+        weight = {s: (2, 5, 3)[k % 3] for k, s in enumerate(sorted(size))}
+        budget, free, level = Fraction(sum(size.values())), set(size), Fraction(0)
+        while free:
+            level = budget / sum(weight[s] for s in free)
+            over = {s for s in free if level * weight[s] > 3 * size[s]}
+            if not over:
+                break
+            budget -= sum(3 * size[s] for s in over)
+            free -= over
+        for s in size:
+            target = min(Fraction(3 * size[s]), level * weight[s])
+            mine = [r for r in got if r["row"]["source"] == s]
+            assert all(math.isclose(r["target"], target, abs_tol=1e-9) for r in mine)
+            assert abs(sum(r["taken"] for r in mine) - target) <= 1 and all(r["taken"] <= 3 * r["size"] for r in mine)
+
+
+def test_mixing_spreads_rows_of_one_id(spark):
+    rows = [(None, "a", f"word {k}") for k in range(300)] + [(7, "b", f"word {k}") for k in range(300)]
+    got = rows_of(mixing.queued(spark.createDataFrame(rows, "doc_id long, source string, text string")))
+    assert sorted({r["before"] for r in got if r["row"]["source"] == "a"}) == list(range(0, 600, 2))
+    assert sum(r["taken"] for r in got) in range(1196, 1201)
+
+
 def slow_fingerprint(text):
     from xxhash import xxh64_intdigest
 

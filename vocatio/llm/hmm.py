@@ -12,9 +12,10 @@ after each segment are exact: products of the segment's step matrices, taken for
 by side, carry them over the borders.  So one very long text is no serial loop, and no step across a
 border is lost.
 
-Counts of the ``HEAD`` most frequent words (of at most ``LONGEST`` bytes) are broadcast; every other
-word of a text, once per text, is joined with the full count table.  Such words are rare by
-construction, so no key of that join is hot.
+Counts of the ``HEAD`` most frequent words are broadcast; every other word of a text, once per text,
+is joined with the full count table.  Such words are rare by construction, so no key of that join is
+hot.  A word of over ``LONGEST`` bytes (a separator line, an address) goes by a hash of 128 bits, so
+that it is held and sent like any other.
 
 Words and counts are bytes, so any text is scored.  Null and empty texts are the end alone.  With no
 training text every count is 0.  Repeated and null ids keep their rows.  An empty table gives an
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,10 @@ CHUNK = 1 << 20  # words that a task works on at once
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+    found = (text or b"").lower().split()
+    if found and len(max(found, key=len)) > LONGEST:
+        return [w if len(w) <= LONGEST else b"\n" + blake2b(w, digest_size=16).digest() for w in found]  # no word has a \n
+    return found
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def lexicon(counts: DataFrame, texts: int, head: int = HEAD, symbols: int = SYMB
     their counts, so that only the class in which the head ends is ordered, and no task meets all
     words."""
     sums = counts.agg(F.sum("n"), F.count("*")).first()
-    sized = counts.filter(F.length("word") <= LONGEST).withColumn("class", F.floor(16 * F.log2("n")).cast("int"))
+    sized = counts.withColumn("class", F.floor(16 * F.log2("n")).cast("int"))
     classes = sorted(sized.groupBy("class").count().collect(), key=lambda r: -r["class"])  # 16 an octave
     whole, last, room = [], None, head
     for c, n in classes:
