@@ -651,6 +651,17 @@ def test_simhash(spark, docs, empty):
     assert simhash.grouped(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
+def test_simhash_hot_keys(spark, docs, monkeypatch):
+    """Joins of fingerprints and of nodes with many rows give what plain joins give."""
+    want = Counter((r.doc_id, r.tie, r.fp, r.component_id) for r in simhash.grouped(docs).collect())
+    monkeypatch.setattr(simhash, "HOT_ROWS", 1)
+    assert Counter((r.doc_id, r.tie, r.fp, r.component_id) for r in simhash.grouped(docs).collect()) == want
+    edges = spark.createDataFrame([(1, k) for k in range(2, 40)] + [(50, 51)], "a long, b long")
+    nodes = spark.createDataFrame([(k, 100 - k) for k in [*range(1, 40), 50, 51]], "fp long, first long")
+    got = {r.node: r.root.first for r in simhash.components(edges, nodes).collect()}
+    assert got == {k: 61 for k in range(1, 40)} | {50: 49, 51: 49}
+
+
 def test_links_lose_nothing(spark, monkeypatch):
     """Chains and clusters of fingerprints, also through lists that are dealt out in blocks."""
     random.seed(9)

@@ -10,7 +10,8 @@ spanning forest: no list emits its pairs.  A list longer than ``block`` is split
 other positions (two fingerprints that share four bytes share one of those besides the three), and
 what is longer still is dealt out as pairs of blocks, so that no task holds more than two blocks.
 
-Only distinct fingerprints enter the index; copies follow their fingerprint.  Null and empty texts
+Only distinct fingerprints enter the index; copies follow their fingerprint, those of a fingerprint
+with very many rows without being gathered.  Null and empty texts
 have fingerprint zero and link like any other.  Null ids are carried along and are no group's
 smallest id unless it has no other.  An empty table gives an empty result.
 """
@@ -30,6 +31,7 @@ from vocatio.llm import scratch
 SHINGLE = 4
 SEED = 42
 BROADCAST_ROWS = 1_000_000
+HOT_ROWS = 100_000  # rows of a key that no join may gather in one task
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -159,15 +161,26 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def spread_join(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key).  Keys in the written table ``hot``, each of over
+    ``HOT_ROWS`` of the rows, are met where the rows are, the others by shuffle."""
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = small(hot)
+    few = scratch.written(table.join(hot, key, "left_semi"), "hot-keys")
+    return rows.join(small(few), key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and root for the nodes of ``edges`` (a, b): root is the least (none, first, fp) of its
     component, by the ids of ``nodes`` (fp, first), null last.  Least labels pass along edges and jump
     to their label's label until nothing changes."""
     both = scratch.written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    hubs = scratch.written(both.groupBy("b").count().filter(F.col("count") > HOT_ROWS).select("b"), "hubs")
     own = nodes.select(F.col("fp").alias("node"), F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("own"))
 
     def heard(labels: DataFrame) -> DataFrame:
-        met = both.join(labels.select(F.col("node").alias("b"), F.col(labels.columns[1]).alias("r")), "b")
+        met = spread_join(both, labels.select(F.col("node").alias("b"), F.col(labels.columns[1]).alias("r")), hubs, "b")
         return met.groupBy(F.col("a").alias("node")).agg(F.min("r").alias("heard"))
 
     label = own.join(heard(own), "node").select("node", F.least("own", "heard").alias("root"))
@@ -189,12 +202,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, max_bits: int = 4, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, tie, fp and component_id (the smallest doc_id of its group) of every row."""
     rows = scratch.written(fingerprints(docs, shingle), "fingerprints")
-    first = scratch.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    counted = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    counted = scratch.written(counted, "distinct-fingerprints")
+    first, hot = counted.drop("n"), counted.filter(F.col("n") > HOT_ROWS).select("fp")
     label = components(scratch.written(links(first, max_bits), "links"), first)
     linked = first.join(label, F.col("fp") == F.col("node"), "left")
     smallest = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("root.first"))
     of = linked.select("fp", smallest.alias("component_id"))
-    return rows.join(scratch.written(of, "components"), "fp").select("doc_id", "tie", "fp", "component_id")
+    found = spread_join(rows, scratch.written(of, "components"), hot, "fp")
+    return found.select("doc_id", "tie", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, max_bits: int = 4, shingle: int = SHINGLE) -> DataFrame:
