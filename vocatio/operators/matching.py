@@ -213,8 +213,10 @@ def suggestions(titles: DataFrame, vocabulary: DataFrame, claimed: DataFrame) ->
     return first.join(mine, (first.profile_id == mine.profile_id) & (F.lower("skill") == mine["_s"]), "left_anti")
 
 
-def added(values: DataFrame, more: DataFrame, key: str, value: str) -> DataFrame:
-    """Entries of ``more`` that ``values`` lacks in any case, each once."""
-    new = more.withColumn("_l", F.lower(trimmed(F.col(value)))).dropDuplicates([key, "_l"])
+def added(values: DataFrame, more: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """Entries of ``more`` that ``values`` lacks in any case, each once: the first by ``order``, by its
+    spelling without it."""
+    first = F.struct(*[F.col(c) for c in (order, value) if c])
+    rows = more.groupBy(key, F.lower(trimmed(F.col(value))).alias("_l")).agg(F.min_by(F.struct(*more.columns), first).alias("_r"))
     have = values.select(key, F.lower(trimmed(F.col(value))).alias("_l"))
-    return new.join(have, [key, "_l"], "left_anti").drop("_l")
+    return rows.select("_r.*", "_l").join(have, [key, "_l"], "left_anti").drop("_l")
