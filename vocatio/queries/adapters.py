@@ -30,10 +30,10 @@ def pick(values: list[str], key: str) -> str:
 
 
 LOCATIONS = [
-    "Dublin, CA", "Dublin, Ireland", "US-Remote", "Remote - US: Select locations", "Remote - Canada: Select locations",
-    "Remote", "San Francisco", "US-New York, US-Chicago", "CA-Toronto, CA-Montreal", "CA-San Francisco, CA-Oakland",
-    "In-Office", "Toronto, ON, Buffalo, NY", "Milwaukee", "Washington DC", "New York City", "London or Paris",
-    "Somewhere in the United States", "anywhere USA", "Office TX", "  ", "XX-Springfield", "Austin; Denver",
+    "Birmingham, AL", "Birmingham, England", "US-Anywhere", "Remote - US, any state", "Remote - Mexico: all offices", "remote", "Seattle",
+    "US-Boston, US-Denver", "CA-Ottawa, CA-Calgary", "CA-Fresno, CA-San Jose", "On campus", "Ottawa, ON, Albany, NY", "Omaha",
+    "District office, DC", "Greater Los Angeles", "Paris or Berlin", "Across the United States", "any town, USA", "Plant OH", "  ",
+    "ZZ-Springfield", "Boise; Tucson",
 ]
 TITLES = [
     "Software Engineer", "Software Engineering Intern", "Staff Nurse", "Part-time Barista", "Data Analyst (Contract)",
