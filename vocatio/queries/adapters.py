@@ -43,7 +43,7 @@ SUFFIXES = [", Inc.", " LLC", "", " Co", " Corporation", " Group", " L.L.C.", "
 MAJORS = ["Computer Science", "Nursing", "Accounting", "Philosophy", "Mechanical Engineering", "Data Science"]
 SKILLS = ["Python", "SQL", "Kubernetes", "C++", "Excel", "Go", "Machine Learning", "Git", "Node.js", "REST APIs", "Tableau", "Statistics"]
 COURSES = [
-    "CS 314 — Data Structures", "ITSE-1345-002 — Intro ORCL&SQL", "ENGL 1301 — Comp I", "MATH-251", "NURS 3310 — Patient Care",
+    "CS 314 — Data Structures", "ITSE-1420-011 — Intro ORCL&XML", "ENGL 1301 — Comp I", "MATH-251", "NURS 3310 — Patient Care",
     "PHIL 4100 — Logic", "HIST 3000 — Europe", "ACCT 2301 — Prin Acct", "CS 101 — Intro to Progr: Python", "no code here",
 ]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vocatio.functions.text import canonical_json
 from vocatio.operators import evidence, ingest, matching, roles, tables
+from vocatio.plans.jobs import build_reference
 from vocatio.queries.adapters import derived, plain, table
 from vocatio.queries.matching import PHRASE_FREQUENCY, phrase_frequency
 from vocatio.sources import files
@@ -210,7 +211,50 @@ def canonical_objects(spark, sf_dir):
 
 CANONICAL_OBJECTS = "SELECT c_custkey AS id, json_object('id', c_custkey, 'name', c_name, 'segment', c_mktsegment)::VARCHAR AS object FROM customer"
 
+_SOC = "concat(CAST(10 + {k} % 80 AS STRING), '-', lpad(CAST({k} AS STRING), 6, '0'))"
+_CIP = "concat(CAST(10 + {k} % 30 AS STRING), '.', lpad(CAST({k} % 100 AS STRING), 2, '0'))"
+_SUPPLIED = f"SELECT s_suppkey AS k, {_SOC.format(k='s_suppkey')} AS soc, {_CIP.format(k='s_suppkey')} AS cip, s_name AS title, s_nationkey AS nation FROM @supplier"
+_NAMED = f"SELECT p_partkey AS k, concat({_SOC.format(k='(p_partkey % 2000)')}, '.00') AS code, {_CIP.format(k='p_partkey')} AS cip, p_name, p_brand, p_type FROM @part"
+
+
+def reference_build(spark, sf_dir):
+    """Nations and parts as majors, suppliers as occupations and links, parts as their titles."""
+    suppliers, parts = derived(spark, sf_dir, _SUPPLIED), derived(spark, sf_dir, _NAMED)
+    code = F.concat(F.lit(" "), "soc", F.lit(".00 ")).alias("O*NET-SOC Code")
+    quoted = lambda c: F.concat(F.lit('="'), c, F.lit('"')).alias("CIPCode")
+    families = table(spark, sf_dir, "nation").select(
+        quoted((10 + F.col("n_nationkey")).cast("string")), F.col("n_name").alias("CIPTitle"), F.lit("").alias("CIPDefinition"), F.lit("").alias("Action")
+    )
+    groups = parts.select(
+        quoted(F.col("cip")), F.col("p_name").alias("CIPTitle"), F.lit("").alias("CIPDefinition"), F.when(F.col("k") % 300 < 20, "Deleted").otherwise("").alias("Action")
+    )
+    occupations = suppliers.select(code, F.col("title").alias("Title"), F.lit("").alias("Description"))
+    titles = parts.select(F.col("code").alias("O*NET-SOC Code"), F.col("p_name").alias("Job Title"), F.col("p_brand").alias("Short Title"), F.col("p_type").alias("Source(s)"))
+    zone = F.when(F.col("nation") % 6 == 5, "n/a").otherwise((F.col("nation") % 5 + 1).cast("string"))
+    zones = suppliers.select(code, zone.alias("Job Zone"))
+    links = suppliers.select(F.col("cip").alias("CIP2020Code"), F.when(F.col("k") % 7 == 0, "99-9").otherwise(F.col("soc")).alias("SOC2018Code"))
+    made = build_reference(families.unionByName(groups), occupations, titles, zones, links)
+    none = F.lit(None).cast("string")
+    told = [
+        made["cip_codes"].select(F.lit("major").alias("kind"), F.col("cip_code").alias("a"), F.col("parent_cip_code").alias("b"), F.col("is_active").cast("string").alias("c")),
+        made["occupations"].select(F.lit("occupation"), "onet_soc_code", "soc_2018_code", F.col("job_zone").cast("string")),
+        made["alt_titles"].select(F.lit("title"), "onet_soc_code", "alt_title", none),
+        made["crosswalk"].select(F.lit("link"), "cip_code", "onet_soc_code", none),
+    ]
+    return told[0].union(told[1]).union(told[2]).union(told[3])
+
+
+REFERENCE_BUILD = f"""
+WITH s AS ({plain(_SUPPLIED)}), p AS ({plain(_NAMED)}),
+m AS (SELECT (10 + n_nationkey)::VARCHAR AS code, NULL::VARCHAR AS parent, true AS active FROM nation UNION SELECT cip, substr(cip, 1, 2), k % 300 >= 20 FROM p)
+SELECT 'major' AS kind, code AS a, CASE WHEN parent IN (SELECT code FROM m) THEN parent END AS b, active::VARCHAR AS c FROM m
+UNION ALL SELECT 'occupation', concat(soc, '.00'), soc, CASE WHEN nation % 6 <> 5 THEN (nation % 5 + 1)::VARCHAR END FROM s
+UNION ALL SELECT DISTINCT 'title', code, p_name, NULL FROM p WHERE code IN (SELECT concat(soc, '.00') FROM s)
+UNION ALL SELECT DISTINCT 'link', cip, concat(soc, '.00'), NULL FROM s WHERE k % 7 <> 0 AND cip IN (SELECT code FROM m)
+"""
+
 QUERIES = {
+    "reference_build": (reference_build, REFERENCE_BUILD),
     "alternate_titles": (alternate_titles, ALTERNATE_TITLES),
     "page_hosts": (page_hosts, PAGE_HOSTS),
     "listed_stubs": (listed_stubs, LISTED_STUBS),

@@ -328,6 +328,15 @@ CORRECTED_TITLES = f"""
 WITH {_CLASSIFIED} SELECT CASE WHEN posting_id % 9 = 0 THEN 'n7' ELSE code END AS code, CASE WHEN posting_id % 9 = 0 THEN 'review' ELSE method END AS method, count(*) AS n FROM c GROUP BY ALL
 """
 
+def corrected_log(spark, sf_dir):
+    """What the reviewers' corrections add to the log."""
+    fixes = derived(spark, sf_dir, "SELECT c_custkey AS posting_id, 'n7' AS code, 'r1' AS reviewer FROM @customer WHERE c_custkey % 9 = 0")
+    _, log = planned.corrected(_classified(spark, sf_dir), fixes, F.lit("2026-01-10").cast("timestamp"))
+    return log.drop("at")
+
+
+CORRECTED_LOG = f"WITH {_CLASSIFIED} SELECT posting_id, code AS old_code, 'n7' AS new_code, 'r1' AS reviewer FROM c WHERE is_primary AND posting_id % 9 = 0"
+
 _ACTIVE = "SELECT c_custkey AS posting_id, CAST(c_custkey % 13 AS STRING) AS company_id, CASE WHEN c_custkey % 4 = 0 THEN 'closed' ELSE 'active' END AS status, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2025-01-01 00:00:00' ELSE TIMESTAMP '2026-01-01 00:00:00' END AS posted_at FROM @customer"
 
 
@@ -396,6 +405,7 @@ QUERIES = {
     "review_items": (review_items, REVIEW_ITEMS),
     "review_queue": (review_queue, REVIEW_QUEUE),
     "corrected_titles": (corrected_titles, CORRECTED_TITLES),
+    "corrected_log": (corrected_log, CORRECTED_LOG),
     "hiring_companies": (hiring_companies, HIRING_COMPANIES),
     "naming_postings": (naming_postings, NAMING_POSTINGS),
     "vector_titles": (vector_titles, VECTOR_TITLES),

@@ -140,7 +140,7 @@ def course_titles(spark, sf_dir):
 
 
 _TITLES = [
-    "Data Structures", "Introduction to Oracle & SQL", "Comp I", "Calculus II", "Patient Care", "Logic", "Europe", "Principles Acct",
+    "Data Structures", "Introduction to Oracle & XML", "Comp I", "Calculus II", "Patient Care", "Logic", "Europe", "Principles Acct",
     "Introduction to Programming: Python", "no code here",
 ]
 COURSE_TITLES = f"SELECT c_custkey AS profile_id, {pick(_TITLES, 'c_custkey')} AS titles FROM customer"
