@@ -279,10 +279,11 @@ def evidenced(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def explicit_links(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Postings (posting_id, alias) to majors by alias, the most specific level."""
-    met = texts.withColumn("alias", F.lower("alias")).join(aliases.withColumn("alias", F.lower("alias")), "alias")
-    best = met.groupBy("posting_id", "alias").agg(F.max_by(F.struct("cip_code", "level"), F.struct("level", "cip_code")).alias("b"))
-    return best.select("posting_id", "b.cip_code", F.lit("explicit").alias("link_type")).distinct()
+    """Postings (posting_id, alias) to majors by alias, the most specific level.  Which major an alias
+    stands for does not depend on the posting, so it is settled before the postings meet it."""
+    best = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.max_by("cip_code", F.struct("level", "cip_code")).alias("cip_code"))
+    met = texts.select("posting_id", F.lower("alias").alias("alias")).join(scan.sent(best), "alias")
+    return met.select("posting_id", "cip_code", F.lit("explicit").alias("link_type")).distinct()
 
 
 def alias_codes(aliases: DataFrame) -> DataFrame:
