@@ -1,6 +1,8 @@
 """Steps whose work has to grow with the input and no faster."""
 
-from vocatio.operators import planned
+import re
+
+from vocatio.operators import matching, planned
 
 
 def plan(df):
@@ -18,3 +20,21 @@ def test_an_alias_is_settled_before_the_postings_meet_it(spark):
         assert sorted(map(tuple, links.collect())) == [(1, "13", "explicit"), (2, "13", "explicit")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pairs_of_profile_and_skill_do_not_move(spark):
+    profiles = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "none")], "profile_id int, role_key string")
+    demand = spark.createDataFrame(
+        [(r, i, None, s, 10, 0.5) for r in "ab" for i, s in enumerate(["SQL", "Go", "C++"], 1)], "role_key string, rank int, id string, name string, posting_count int, frequency double"
+    )
+    evidence = spark.createDataFrame(
+        [(1, 3, 0, 0, "x0", "Wrote go and sql"), (1, 1, 0, 0, "skill_0", "sql"), (2, 2, 0, 0, "c0", "Intro to C++")],
+        "profile_id int, tier int, source int, pos int, evidence_id string, text string",
+    )
+    m = matching.match(profiles, evidence, demand)
+    assert not re.search(r"Join \[profile_id#\d+, (skill|name)#", plan(m))
+    got = {(r.profile_id, r.role_key, r.skill): (r.status, r.evidence) for r in m.collect()}
+    assert len(got) == 9 and got[1, "a", "SQL"] == got[1, "b", "SQL"] == ("verified", ["skill_0"])
+    assert got[1, "b", "Go"] == ("transferable", ["x0"]) and got[2, "a", "C++"] == ("coursework", ["c0"]) and got[2, "a", "Go"] == ("not_verified", [])
+    rows = matching.demand_with_verdict(demand, m)
+    assert rows.count() == 9 and not re.search(r"Join \[profile_id#\d+, role_key#\d+, rank#", plan(rows))

@@ -104,21 +104,25 @@ def match(profiles: DataFrame, evidence: DataFrame, demand: DataFrame, aliases:
     asked = demand.filter(F.col("rank") <= top).select(
         "role_key", "rank", F.coalesce("id", slug(F.col("name"))).alias("skill_id"), F.col("name").alias("skill"), "posting_count", "frequency"
     )
-    pairs = profiles.select("profile_id", "role_key").join(asked, "role_key")
-    wanted = pairs.select("profile_id", F.col("skill").alias("phrase")).distinct()
+    # a profile's evidence, hits and verdicts stay in one partition, by profile; a role's skills come to
+    # them, so that pairs of profile and skill never move
+    roles = profiles.select("profile_id", "role_key")
+    wanted = asked.select("role_key", F.col("skill").alias("phrase")).distinct()
     exact = evidence.filter("tier = 1").withColumn("name", F.lower("text"))
     if aliases is not None:
         named = exact.drop("name", "text").join(aliases, ["profile_id", "evidence_id"])
         exact = exact.unionByName(named.withColumn("name", F.lower("alias")).withColumnRenamed("alias", "text"))
-    exact = exact.join(wanted.withColumn("name", F.lower("phrase")), ["profile_id", "name"]).drop("name")
-    loose = phrase_matches(evidence.filter("tier > 1"), wanted, ["profile_id"])
+    exact = exact.join(roles, "profile_id").join(scan.sent(wanted.withColumn("name", F.lower("phrase"))), ["role_key", "name"])
+    loose = phrase_matches(evidence.filter("tier > 1").join(roles, "profile_id"), scan.sent(wanted), ["role_key"])
     hits = exact.select("profile_id", "phrase", "tier", "source", "pos", "evidence_id").unionByName(
         loose.select("profile_id", "phrase", "tier", "source", "pos", "evidence_id")
     )
     # within a tier: experience before projects, but one course by name or code counts by position
     order = F.struct("tier", F.when(F.col("tier") == 2, 0).otherwise(F.col("source")), "pos", "source")
     best = hits.groupBy("profile_id", "phrase").agg(F.min_by(F.struct("tier", "evidence_id"), order).alias("b"))
-    joined = pairs.join(best.withColumnRenamed("phrase", "skill"), ["profile_id", "skill"], "left")
+    best = best.groupBy("profile_id").agg(F.collect_list(F.struct("phrase", "b")).alias("best"))
+    joined = roles.join(best, "profile_id", "left").join(scan.sent(asked), "role_key")
+    joined = joined.withColumn("b", F.get(F.filter("best", lambda x: x["phrase"] == F.col("skill")), F.lit(0))["b"])
     status = F.coalesce(F.get(F.array(*map(F.lit, TIERS)), F.col("b.tier") - 1), F.lit("not_verified"))
     found = F.when(F.col("b").isNull(), F.array().cast("array<string>")).otherwise(F.array("b.evidence_id"))
     return joined.select(
@@ -138,9 +142,10 @@ def summary(matches: DataFrame) -> DataFrame:
 
 def demand_with_verdict(demand: DataFrame, matches: DataFrame) -> DataFrame:
     """All demand rows of a profile's role, with the verdict where there is one."""
-    verdicts = matches.select("profile_id", "role_key", "rank", "status")
-    people = matches.select("profile_id", "role_key").distinct()
-    rows = people.join(demand, "role_key").join(verdicts, ["profile_id", "role_key", "rank"], "left")
+    people = matches.groupBy("profile_id", "role_key").agg(F.collect_list(F.struct("rank", "status")).alias("_v"))
+    rows = people.join(scan.sent(demand), "role_key")
+    verdicts = F.transform(F.filter("_v", lambda v: v["rank"] == F.col("rank")), lambda v: v["status"])
+    rows = rows.select("profile_id", *demand.columns, F.explode_outer(verdicts).alias("status"))
     return rows.withColumn("status", F.coalesce("status", F.lit("not_verified")))
 
 
