@@ -1,8 +1,9 @@
 """Steps whose work has to grow with the input and no faster."""
 
 import re
+import time
 
-from vocatio.operators import matching, planned
+from vocatio.operators import matching, planned, profiles
 
 
 def plan(df):
@@ -38,3 +39,14 @@ def test_pairs_of_profile_and_skill_do_not_move(spark):
     assert got[1, "b", "Go"] == ("transferable", ["x0"]) and got[2, "a", "C++"] == ("coursework", ["c0"]) and got[2, "a", "Go"] == ("not_verified", [])
     rows = matching.demand_with_verdict(demand, m)
     assert rows.count() == 9 and not re.search(r"Join \[profile_id#\d+, role_key#\d+, rank#", plan(rows))
+
+
+def test_long_transcripts(spark):
+    lines = ["## Relevant Coursework", *[f"CS {100 + i % 800} Course {i}" for i in range(3000)], "# Technical Skills", "- SQL", "# Awards", "# Licenses", "CPA"]
+    rows = spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")
+    for mode, n_courses in (("py", 3000), ("js", 800)):
+        began = time.perf_counter()
+        [p] = profiles.from_text(rows, mode).collect()
+        assert len(p.coursework) == n_courses
+        assert (p.skills, p.honors, p.certifications) == (["SQL"], [], ["CPA"])
+        assert time.perf_counter() - began < 60

@@ -141,8 +141,9 @@ def unsupported_numbers(text: Column, evidence: Column) -> Column:
 
 def distinct_ci(values: Column, limit: int | None = None) -> Column:
     """An array without later entries that differ in case only; at most ``limit`` are kept."""
-    lower = F.transform(values, lambda v: F.lower(v))
-    first = F.filter(values, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)
+    # an array of one holds both forms, so that they are made once and not again for each entry
+    both = F.array(F.struct(values.alias("v"), F.transform(values, lambda v: F.lower(v)).alias("l")))
+    first = F.transform(both, lambda b: F.filter(b["v"], lambda v, i: F.array_position(b["l"], F.lower(v)) == i + 1))[0]
     return first if limit is None else F.slice(first, 1, limit)
 
 

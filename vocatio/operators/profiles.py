@@ -1,7 +1,8 @@
 """Academic profiles from transcript text, in two dialects, and the cleaning of extracted ones.
 
-A text is split to lines once; sections and fields are array and regex expressions over them, so a
-profile costs no shuffle.
+A text is split to lines once; sections and fields are array and regex expressions over them.  That is
+far more work than reading the rows, so texts are first dealt out to all tasks: a small file may hold
+very many of them.
 """
 
 from __future__ import annotations
@@ -116,15 +117,18 @@ def heading(line: Column, mode: str) -> Column:
     )
 
 
-def section(lines: Column, pattern: str, mode: str = "py") -> Column:
-    """Lines under the first heading that matches, up to the next heading.  ``lines``: array of
+def heading_at(lines: Column, pattern: str) -> Column:
+    """Place (from 1) of the first heading that matches, 0 if there is none.  ``lines``: array of
     structs line (trimmed, not blank) and head."""
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(x["head"].rlike(pattern), F.lit(False))), True)
-    after = F.filter(lines, lambda x, i: i >= at)
-    # array_position counts from 1, so index ``at`` is the line after the heading
-    until = F.array_position(F.transform(after, lambda x: x["head"].isNotNull()), True)
-    body = F.when(until > 0, F.slice(after, 1, F.greatest(until - 1, F.lit(0)).cast("int"))).otherwise(after)
-    body = F.transform(body, lambda x: x["line"])
+    return F.array_position(F.transform(lines, lambda x: F.coalesce(x["head"].rlike(pattern), F.lit(False))), True)
+
+
+def section(lines: Column, heads: Column, at: Column) -> Column:
+    """Lines under the heading at place ``at`` (from 1), up to the next of ``heads`` (from 0); none for
+    place 0.  Both should be columns that are there already: here every line asks for them."""
+    # the line after the heading is at ``at`` when counted from 0
+    until = F.coalesce(F.get(F.filter(heads, lambda h: h >= at), F.lit(0)), F.size(lines))
+    body = F.transform(F.slice(lines, at.cast("int") + 1, (until - at).cast("int")), lambda x: x["line"])
     return F.when(at > 0, body).otherwise(F.array().cast("array<string>"))
 
 
@@ -219,9 +223,14 @@ def from_text(texts: DataFrame, mode: str = "py") -> DataFrame:
     names = SECTIONS if mode == "py" else {k: "(?i)" + v for k, v in SECTIONS_JS.items()}
     t = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda v: trimmed(v)), lambda v: v != "")
-    rows = texts.select("doc_id", t.alias("t"), F.transform(lines, lambda v: F.struct(v.alias("line"), heading(v, mode).alias("head"))).alias("lines"))
-    parts = {k: section(F.col("lines"), p, mode) for k, p in names.items()}
-    d = degree(F.col("t"), mode)
+    dealt = texts.select("doc_id", "text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.select("doc_id", t.alias("t"), F.transform(lines, lambda v: F.struct(v.alias("line"), heading(v, mode).alias("head"))).alias("lines"))
+    # what many lines or fields ask for is a column first, so that it is evaluated once for a text
+    heads = F.filter(F.transform("lines", lambda x, i: F.when(x["head"].isNotNull(), i)), lambda i: i.isNotNull())
+    places = {k: heading_at(F.col("lines"), p) for k, p in names.items()}
+    rows = rows.select("*", heads.alias("heads"), degree(F.col("t"), mode).alias("d"), *[at.alias(f"at_{k}") for k, at in places.items()])
+    parts = {k: section(F.col("lines"), F.col("heads"), F.col(f"at_{k}")) for k in names}
+    d = F.col("d")
     fields = {
         "institution": institution(F.col("t"), mode),
         "degree": d["degree"],
@@ -233,7 +242,8 @@ def from_text(texts: DataFrame, mode: str = "py") -> DataFrame:
         fields["coursework"] = courses(parts["coursework"])
     else:
         whole = F.transform("lines", lambda x: x["line"])
-        fields["coursework"] = course_labels(F.when(F.size(parts["coursework"]) > 0, parts["coursework"]).otherwise(whole))
+        rows = rows.withColumn("courses", parts["coursework"])
+        fields["coursework"] = course_labels(F.when(F.size("courses") > 0, F.col("courses")).otherwise(whole))
     fields |= {k: listed(parts[k], mode) for k in ("skills", "honors", "certifications")}
     out = rows.select("doc_id", *[c.alias(k) for k, c in fields.items()])
     return out.withColumn("warnings", warnings({k: F.col(k) for k in fields}))
