@@ -62,6 +62,17 @@ def test_majors_in_text(spark):
     ]
 
 
+def test_an_alias_does_not_overlap_itself(spark):
+    """As its SQL splits a text by the alias, which a place inside a word uses up too."""
+    texts = ["der der der der der", "der der", "Inder der der", "der der, der der", "aha aha ahab aha aha aha"]
+    aliases = spark.createDataFrame([("der der", "09.0101"), ("aha aha", "06.01"), ("ahab aha", "11")], "alias string, cip_code string")
+    got = planned.majors_named(spark.createDataFrame(list(enumerate(texts)), "posting_id int, text string"), aliases)
+    assert sorted((r.posting_id, r.alias, r.start) for r in got.collect()) == [
+        (0, "der der", 1), (0, "der der", 9), (1, "der der", 1), (3, "der der", 1), (3, "der der", 10),
+        (4, "aha aha", 1), (4, "aha aha", 14), (4, "ahab aha", 9),
+    ]
+
+
 def test_prefixes_against_brute_force(spark):
     random.seed(4)
     word = lambda: "".join(random.choices("abé ", k=random.randint(1, 6)))

@@ -302,6 +302,7 @@ def majors_named(postings: DataFrame, aliases: DataFrame) -> DataFrame:
     """Majors that ``postings`` (posting_id, text) name by an alias (alias, cip_code) that stands
     alone, in any case: posting_id, cip_code, alias, start (from 1) and link_type, one row for each
     place.  Of overlapping aliases the longest counts ("Computer Engineering" is not "Engineering"),
+    an alias is counted from the left without overlapping itself ("der der" once in "der der der"),
     and a code gives way to one below it that the posting names too.  Offsets are those of the
     lower-cased text."""
     codes = alias_codes(aliases)
