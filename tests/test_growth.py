@@ -3,7 +3,9 @@
 import re
 import time
 
-from vocatio.operators import matching, planned, profiles
+from pyspark.sql import functions as F
+
+from vocatio.operators import ingest, matching, planned, profiles
 
 
 def plan(df):
@@ -50,3 +52,17 @@ def test_long_transcripts(spark):
         assert len(p.coursework) == n_courses
         assert (p.skills, p.honors, p.certifications) == (["SQL"], [], ["CPA"])
         assert time.perf_counter() - began < 60
+
+
+def test_payloads_of_one_small_file_go_to_all_tasks(spark, tmp_path):
+    payloads = [("s", f"https://jobs.example.com/{i}", f'{{"id": {i}, "title": "Nurse", "content": "Mail a@acme.com", "location": {{"name": "Boise"}}}}') for i in range(400)]
+    rows = spark.createDataFrame(payloads, "source_id string, url string, payload string").withColumn("fetched_at", F.lit("2026-01-05").cast("timestamp"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "landed"))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    assert landed.rdd.getNumPartitions() == 1
+    got = ingest.prepared(landed)
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f"RoundRobinPartitioning({n})" in plan(got)
+    # between the parsing and the file there is that exchange
+    assert re.search(r"from_json.*RoundRobinPartitioning.*Scan parquet", plan(got), re.DOTALL)
+    assert got.filter("rejected IS NULL").count() == 400

@@ -72,8 +72,11 @@ def ambiguous_names(companies: DataFrame) -> DataFrame:
 
 def prepared(landed: DataFrame, exact_spans: bool = True) -> DataFrame:
     """Records of landed payloads, redacted and located, each with its ``fate``: parse_failed,
-    quarantined (personal data survived redaction), excluded_non_us, or null."""
-    r = job_records(landed)
+    quarantined (personal data survived redaction), excluded_non_us, or null.
+
+    Parsing, redacting and locating a payload is far more work than reading it, so payloads are first
+    dealt out to all tasks: a small file may hold very many of them."""
+    r = job_records(landed.repartition(int(landed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     r = r.withColumn("clean", redacted_by_spans(F.col("description")) if exact_spans else redacted(F.col("description")))
     r = r.withColumn("loc", classify(F.col("location_raw")))
     fate = (
