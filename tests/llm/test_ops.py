@@ -108,6 +108,38 @@ def test_retrieved_neighbours_share_the_window():
     assert [p[0] for p in pieces[:2]] == [0, 2]
 
 
+def test_common_terms_are_rows_of_all_documents():
+    """Scores of an index with common and rare terms are those of the formula."""
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate([rng.integers(0, 6, 20), rng.integers(6, 400, rng.integers(1, 9))]) for _ in range(60)]
+    cuts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    idf, mean = np.linspace(0.1, 3.0, 400), cuts[-1] / 60
+    index = packing.Bm25Index(np.concatenate(docs), cuts, idf, mean, 1.2, 0.75)
+    common = np.flatnonzero(index.row >= 0)
+    assert set(range(6)) <= set(common.tolist()) and len(common) < 100 and index.weights.shape == (len(common), 60)
+    free = rng.random(60) < 0.7
+    for seed in range(60):
+        score = np.zeros(60)
+        for t in np.unique(docs[seed]):
+            tf = np.array([(d == t).sum() for d in docs])
+            length = np.array([len(d) for d in docs])
+            score += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+        got = index.neighbours(seed, free)
+        assert set(got.tolist()) == set(np.flatnonzero((score > 0) & free).tolist())
+        assert (np.diff(score[got]) <= 1e-9).all()
+
+
+def test_words_with_accents_without_normalizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100))) + "ªµºſıǆ"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "!?"]) for _ in range(3000)]
+    enc = tokens.Encoder(path, False)
+    ids, sizes = enc.encode(pa.array(words), 2)
+    want = [[*e.ids, 2] for e in enc.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_neighbours_score_by_all_terms():
     terms = np.arange(30)
     ids = np.concatenate([terms, terms[:1], terms[24:]])

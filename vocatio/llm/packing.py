@@ -61,12 +61,11 @@ def term_statistics(tokens: DataFrame, dtype: str, vocab: int) -> tuple[np.ndarr
         df = np.zeros(vocab + 2, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                rows = batch.column(0).slice(at, 1024).to_pylist()
-                ids = np.frombuffer(b"".join(rows), dtype)
-                doc = np.repeat(np.arange(len(rows)), [len(r) // ids.itemsize for r in rows])
-                df[:vocab] += np.bincount(np.unique(doc * vocab + ids) % vocab, minlength=vocab)
+                rows = [np.frombuffer(r, dtype) for r in batch.column(0).slice(at, 1024).to_pylist()]
+                for ids in rows:
+                    df[ids] += 1  # once an id, however often it is there
                 df[vocab] += len(rows)
-                df[vocab + 1] += len(ids)
+                df[vocab + 1] += sum(map(len, rows))
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "n"])
 
@@ -154,6 +153,14 @@ class Bm25Index:
         self.post_docs, self.post_weights = owner[order], weight[order]
         self.post_cuts = np.searchsorted(self.doc_terms[order], np.arange(vocab + 1))
         self.idf, self.n = idf, n
+        # terms in over an eighth of the documents hold most postings; as rows of all documents (eight
+        # times their postings at most) they are added without going through the postings
+        common = np.flatnonzero(np.diff(self.post_cuts) * 8 > n)
+        self.row = np.full(vocab, -1)
+        self.row[common] = np.arange(len(common))
+        self.weights = np.zeros((len(common), n))
+        at = self.row[self.doc_terms] >= 0
+        self.weights[self.row[self.doc_terms[at]], owner[at]] = weight[at]
 
     def neighbours(self, seed: int, unused: np.ndarray, query_terms: int | None = None) -> np.ndarray:
         """Unused documents that share one of the seed's terms (or of its ``query_terms`` rarest
@@ -161,10 +168,16 @@ class Bm25Index:
         terms = self.doc_terms[self.doc_cuts[seed] : self.doc_cuts[seed + 1]]
         if query_terms is not None and len(terms) > query_terms:
             terms = terms[np.argsort(-self.idf[terms], kind="stable")[:query_terms]]
-        spans = [slice(self.post_cuts[t], self.post_cuts[t + 1]) for t in terms]
-        docs = np.concatenate([self.post_docs[s] for s in spans])
-        weights = np.concatenate([self.post_weights[s] for s in spans])
-        score = np.bincount(docs, weights, self.n)
+        rows = self.row[terms]
+        rest = terms[rows < 0]
+        score = np.zeros(self.n)
+        if len(rest):
+            spans = [slice(*span) for span in zip(self.post_cuts[rest].tolist(), self.post_cuts[rest + 1].tolist())]
+            docs = np.concatenate([self.post_docs[s] for s in spans])
+            weights = np.concatenate([self.post_weights[s] for s in spans])
+            score = np.bincount(docs, weights, self.n)
+        for row in rows[rows >= 0].tolist():
+            score += self.weights[row]
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from unicodedata import normalize
 
 import numpy as np
@@ -27,6 +28,8 @@ _SPACED = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _UNEVEN = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Signs that are a token run of their own after a letter; the apostrophe is not one of them.
 _SIGNS = ".,;:!?&%$#*|<>()[]{}/\\+=-_\"@^~`"
+#: Words that normalizers leave as they are and patterns do not cut, where case does not count.
+_LOWER = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 #: Pieces a worker remembers, words in one call, and bytes of text worked on at once.
 MAX_PIECES, WORDS_A_CALL, BATCH = 900_000, 500, 16 << 20
 
@@ -70,10 +73,13 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # words of a-z (and A-Z, where case counts) need no normalizing and no pattern
+        # words of a-z (and A-Z, where case counts) need no normalizing and no pattern; neither do those of
+        # ``_LOWER`` where it does not, once their bytes are spelled as the vocabulary spells them
         self.of_words = Tokenizer.from_file(path)
         self.of_words.normalizer = normalizers.Sequence([])
         self.of_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {ord(c): spelled(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
@@ -122,8 +128,10 @@ class Encoder:
         exact = [key for key in keys if key[0] == "\0"]  # words without a blank before them
         spaced = [key for key in keys if key[0] != "\0"] if exact else keys
         for some, plain in ((spaced, False), (exact, True)):
-            simple = [key for key in some if key.isascii() and (self.keeps_space or key.islower())]
-            other = [key for key in some if not (key.isascii() and (self.keeps_space or key.islower()))]
+            fits = str.isascii if self.keeps_space else _LOWER.fullmatch
+            simple, other = [], []
+            for key in some:
+                (simple if fits(key) else other).append(key)
             for tokenizer, those in ((self.of_words, simple), (self.tokenizer, other)):
                 # byte-level vocabularies write the blank before a word, and the newline, as letters
                 bare = tokenizer is self.of_words
@@ -133,6 +141,8 @@ class Encoder:
                 groups = [those[k : k + WORDS_A_CALL] for k in range(0, len(those), WORDS_A_CALL)]
                 for at in range(0, len(groups), 100):
                     texts = [before + glue.join([key[1:] for key in g] if plain else g) for g in groups[at : at + 100]]
+                    if bare and not self.keeps_space:
+                        texts = [text.translate(self.letters) for text in texts]
                     for group, got in zip(groups[at : at + 100], tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                         self._cut(group, np.array(got.ids, self.dtype), plain)
 
@@ -205,11 +215,12 @@ class Encoder:
         """The row of each piece."""
         coded = pieces.dictionary_encode()
         keys = _strings(coded.dictionary)
-        rows = list(map(self.index.get, keys))
-        if new := [key for key, row in zip(keys, rows) if row is None]:
+        rows = np.array(list(map(self.index.get, keys, repeat(-1))), np.int64)
+        if (at := np.flatnonzero(rows < 0)).size:
+            new = [keys[i] for i in at.tolist()]
             self._learn(new)
-            rows = list(map(self.index.__getitem__, keys))
-        return np.array(rows, np.int64)[coded.indices.to_numpy()] if keys else np.zeros(0, np.int64)
+            rows[at] = list(map(self.index.__getitem__, new))
+        return rows[coded.indices.to_numpy()] if keys else np.zeros(0, np.int64)
 
     def _pieces(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         """The pieces of all texts, and the number of each text's."""
