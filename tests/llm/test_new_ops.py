@@ -280,6 +280,17 @@ def test_few_symbols_lose_nothing(spark, monkeypatch):
     assert ordered(rows_of(spelling.variants(docs))) == ordered(variants(rows))
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark takes compressed files, and edits sized by their words, for small enough to be sent to all."""
+    plans, rows, write = [], misspelt(6), spelling.scratch.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling.scratch, "written", lambda df, name: (plan(df), write(df, name))[1])
+    got = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan(got)
+    assert ordered(rows_of(got)) == ordered(variants(rows))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_no_words(spark):
     got = spelling.variants(spark.createDataFrame([], DOCS))
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"] and got.count() == 0

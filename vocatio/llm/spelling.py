@@ -32,7 +32,6 @@ from vocatio.llm import bitmaps, scratch
 
 NOISE, LETTERS, LEAST, RATIO = 97, 5, 3, 2
 SLICE_BYTES = 24 << 20
-BROADCAST_ROWS = 500_000
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 LEAST_SYMBOLS, SPREAD = 6, 4
@@ -166,6 +165,12 @@ def alphabet(words: DataFrame) -> int:
     return max(LEAST_SYMBOLS, int(np.ceil(most or 0)))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join that sends neither side through the driver.  All tables here grow with the vocabulary,
+    and Spark sizes them too low: by compressed files, and edits by the words that they come from."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def near(words: DataFrame) -> DataFrame:
     """word, n, near and near_n for every word of ``words`` (word, n) and each word one edit away."""
     reduction = Reduction(alphabet(words))
@@ -192,20 +197,17 @@ def near(words: DataFrame) -> DataFrame:
 
     met = forms.mapInArrow(edits, "form long, other long")
     other = reduced.select(F.col("form").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = met.join(other, "other").join(reduced, "form")
+    pairs = _shuffled(_shuffled(met, other, "other"), reduced, "form")
     close = (F.abs(F.char_length("word") - F.char_length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
     return pairs.filter(close).select("word", "n", "near", "near_n")
 
 
 def _roots(form: DataFrame) -> DataFrame:
     """word and root: where the chain of forms (word, form) ends, by pointers that double."""
-    def few(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
     at = scratch.written(form.select("word", F.col("form").alias("root")), "roots")
     while True:
-        ahead = few(at).select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        moved = scratch.written(at.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), "ahead"), "roots")
+        ahead = at.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
+        moved = scratch.written(_shuffled(at, ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), "ahead"), "roots")
         at = moved.select("word", "root")
         if moved.filter("ahead is not null").isEmpty():
             return at
@@ -217,11 +219,11 @@ def variants(docs: DataFrame, ratio: int = RATIO, **kinds: int) -> DataFrame:
     words = scratch.written(counted(docs, **kinds), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     found = near(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    found = words.join(found, "word", "left")
+    found = _shuffled(words, found, "word", "left")
     has = F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False))
     found = found.select(
         "word", F.when(has, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, -F.col("best.less")).alias("form_n")
     )
     found = scratch.written(found, "forms")
     roots = _roots(found.filter("form is not null"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _shuffled(found, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
