@@ -73,6 +73,22 @@ def test_an_alias_does_not_overlap_itself(spark):
     ]
 
 
+@pytest.mark.parametrize("most", [1, 3, 100_000])
+def test_the_number_of_parts_changes_no_major(spark, monkeypatch, most):
+    """Of overlapping aliases the longest counts, whichever parts they are looked up in."""
+    parts = planned.scan.parts
+    monkeypatch.setattr(planned.scan, "parts", lambda phrases: parts(phrases, most))
+    aliases = [("engineering", "14"), ("computer engineering", "15.0901"), ("computer", "11.01"), ("art", "50.07"), ("art of computer engineering", "16"), ("engineering art", "50.01"), ("of", "09")]
+    texts = ["Computer Engineering", "the art of computer engineering", "engineering; computer of", "computer engineering art", "art art", None]
+    rows = [*enumerate(texts), (0, "an art"), (0, texts[0]), (None, texts[0]), (None, "an art")]
+    got = planned.majors_named(spark.createDataFrame(rows, "posting_id int, text string"), spark.createDataFrame(aliases, "alias string, cip_code string"))
+    assert sorted((-1 if r.posting_id is None else r.posting_id, r.alias, r.start) for r in got.collect()) == [
+        (-1, "art", 4), (-1, "computer engineering", 1), (0, "art", 4), (0, "computer engineering", 1), (0, "computer engineering", 1),
+        (1, "art of computer engineering", 5), (2, "computer", 14), (2, "engineering", 1), (2, "of", 23), (3, "computer engineering", 1),
+        (3, "engineering art", 10), (4, "art", 1), (4, "art", 5),
+    ]
+
+
 def test_prefixes_against_brute_force(spark):
     random.seed(4)
     word = lambda: "".join(random.choices("abé ", k=random.randint(1, 6)))

@@ -304,14 +304,20 @@ def majors_named(postings: DataFrame, aliases: DataFrame) -> DataFrame:
     place.  Of overlapping aliases the longest counts ("Computer Engineering" is not "Engineering"),
     an alias is counted from the left without overlapping itself ("der der" once in "der der der"),
     and a code gives way to one below it that the posting names too.  Offsets are those of the
-    lower-cased text."""
+    lower-cased text.  Aliases are looked up in parts, and the longest of a text's places is found
+    over all of them, so that it does not matter how many there are.  Repeated rows count each time."""
     codes = alias_codes(aliases)
+    texts = postings.select("posting_id", F.xxhash64("text").alias("_text"), "text")
     found = None
     for part in scan.parts(codes.select(F.col("alias").alias("phrase"))):
-        hits = scan.scanned(postings, part, ["posting_id"], spans=True)
-        hits = hits.select("posting_id", F.explode("hits").alias("x")).select("posting_id", "x.start", "x.end", F.col("x.phrase").alias("alias"))
+        hits = scan.scanned(texts, part, ["posting_id", "_text"], spans=True)
+        hits = hits.select("posting_id", "_text", F.explode("hits").alias("x")).select("posting_id", "_text", "x.start", "x.end", F.col("x.phrase").alias("alias"))
         found = hits if found is None else found.unionByName(hits)
-    found = found.join(codes, "alias")
+    # by start, then the longer one first; places that are equal come from repeated rows
+    order = F.shiftleft(F.col("start").cast("long"), 32) - F.col("end")
+    before = Window.partitionBy("posting_id", "_text").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_before", F.max("end").over(before)).filter("_before IS NULL OR end > _before")
+    found = found.drop("_text", "_before").join(codes, "alias")
     named = found.select("posting_id", "cip_code").distinct()
     families = named.select("posting_id", F.explode(F.array(F.substring("cip_code", 1, 2), F.substring("cip_code", 1, 5))).alias("above"), "cip_code")
     below = families.filter("above <> cip_code").select("posting_id", F.col("above").alias("cip_code")).distinct()
