@@ -45,3 +45,13 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_a_missing_text_has_no_verdict(spark, tmp_path):
+    texts = [None, "", "call +1 (415) 555-0100 or a.b@c.org", "Contact: Ann Bee, 415-555-0100, 415.555.0101x", "Contact: Jane.Doe@acme.com", "x" * 100_000 + "@y.org"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["redacted_documents"](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(c.sql(__spark_entry__.oracle_sql()["redacted_documents"]).fetchall())
+    assert dict((r.doc_id, r.quarantined) for r in got)[0] is None

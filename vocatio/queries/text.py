@@ -51,9 +51,10 @@ FROM pages
 
 
 def redacted_documents(spark, sf_dir):
+    """Redacted and checked texts; where there is no text, there is neither a hash nor a verdict."""
     d = table(spark, sf_dir, "documents")
     clean = redaction.redacted(F.col("text"))
-    return d.select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), redaction.still_personal(clean).alias("quarantined"))
+    return d.select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), redaction.personal(clean).alias("quarantined"))
 
 
 _PHONE = r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}"
